@@ -5,7 +5,8 @@ Mappers call :func:`pack` with the keys of many documents. Keys are dealt to
 keys. Keys that a mapper already sees twice are settled there: it sends one witness
 and routes the answers by document, so a key that a third of all documents hold
 costs its part one entry per mapper batch, not one per document.
-:func:`shared_keys` returns, per document, the keys that occur elsewhere.
+:func:`shared_keys` returns, per document, the keys that occur elsewhere; answers
+travel back packed as well, so rows number parts times parts, not documents times parts.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ PART_BYTES = 16 << 20
 
 
 def parts_for(df: DataFrame, column: str = "text") -> int:
-    """Number of parts: in proportion to the bytes, and four for each shuffle partition at least."""
+    """Number of parts: in proportion to the bytes, and one for each shuffle partition at least."""
     total = df.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0]
-    return max(4 * shuffle_width(df.sparkSession), 1 + total // PART_BYTES)
+    return max(shuffle_width(df.sparkSession), 1 + total // PART_BYTES)
 
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -78,7 +79,7 @@ def pack(part: np.ndarray, key: np.ndarray, doc: np.ndarray, rids: np.ndarray, p
         yield _rows(ANSWER, to, doc1[known], key1[known], rids)
 
 
-def _settle(dtype):
+def _settle(dtype, parts: int):
     def settle(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         kind = table["kind"].to_numpy()
@@ -97,30 +98,48 @@ def _settle(dtype):
         hit[order[:-1][same]] = True
         hit = hit[: len(asked)]
         doc = np.concatenate([docs[QUESTION][hit], docs[ANSWER]])
-        key = np.concatenate([asked[hit], keys[ANSWER]])
+        return to_documents(doc, np.concatenate([asked[hit], keys[ANSWER]]), parts)
+
+    return settle
+
+
+def to_documents(doc: np.ndarray, values: np.ndarray, parts: int) -> pa.Table:
+    """Packed values on their way to the documents they belong to."""
+    rids, at = np.unique(doc, return_inverse=True)
+    return pa.Table.from_batches([_rows(QUESTION, part_of(mix(rids.astype(U)), parts)[at], at, values, rids)])
+
+
+def _by_document(dtype):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        column = lambda name: pa.concat_arrays(table[name].chunks)
+        doc = np.repeat(ragged(column("docs"), np.int64)[0], ragged(column("counts"), np.int32)[0])
+        values = ragged(column("keys"), dtype)[0]
         order = np.argsort(doc, kind="stable")
-        doc, key = doc[order], key[order]
+        doc, values = doc[order], values[order]
         at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-        return pa.table({"rid": pa.array(doc[at], pa.int64()), "keys": slice_binary(key, np.r_[at, len(doc)])})
+        return pa.table({"rid": pa.array(doc[at], pa.int64()), "found": slice_binary(values, np.r_[at, len(doc)])})
 
-    return settle
+    return run
+
+
+def by_document(packed: DataFrame, dtype) -> DataFrame:
+    """(rid, found: its packed values), one row per document."""
+    return packed.groupBy("part").applyInArrow(_by_document(dtype), "rid long, found binary")
 
 
-def shared_keys(packed: DataFrame, dtype) -> DataFrame:
-    """(rid, shared: array of packed keys) for every document that holds a shared key."""
-    return packed.groupBy("part").applyInArrow(_settle(dtype), "rid long, keys binary").groupBy("rid").agg(F.collect_list("keys").alias("shared"))
+def shared_keys(packed: DataFrame, dtype, parts: int) -> DataFrame:
+    """(rid, found: packed keys) for every document that holds a shared key."""
+    return by_document(packed.groupBy("part").applyInArrow(_settle(dtype, parts), PACKED_DDL), dtype)
 
 
 def membership(doc: np.ndarray, key: np.ndarray, answers: pa.Array, dtype) -> np.ndarray:
-    """Which (doc, key) are in ``answers``, the ``shared`` column of the same rows?
+    """Which (doc, key) are in ``answers``, the ``found`` column of the same rows?
 
     Both are compared as one 64-bit mix of row and key.
     """
-    per_row = np.diff(np.asarray(answers.offsets)) if len(answers) else np.zeros(0, np.int64)
-    if answers.null_count:
-        per_row = np.where(np.asarray(answers.is_valid()), per_row, 0)
-    flat, counts = ragged(answers.flatten(), dtype)
-    row = np.repeat(np.repeat(np.arange(len(answers)), per_row), counts)
+    flat, counts = ragged(answers, dtype)
+    row = np.repeat(np.arange(len(answers)), counts)
     join = lambda d, k: mix(k.astype(U) ^ (d.astype(U) * U(0x9E3779B97F4A7C15)))
     held = np.sort(join(row, flat))
     if not len(held) or not len(key):

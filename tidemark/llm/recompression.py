@@ -13,8 +13,9 @@ words occur. Of these, each window takes the one of least fingerprint as its anc
 
 1. Anchors' fingerprints meet in a shuffle of packed keys; those seen once end there.
 2. Windows whose anchor is shared are candidates. The few windows without an anchor
-   (long periodic stretches) are candidates too. Candidates meet by a fingerprint of
-   all their words (64 bits, and an independent hash for the part): this verifies.
+   (long periodic stretches) are candidates too. Candidates are dealt by anchor and
+   compared by a fingerprint of all their words (64 bits, besides the anchor's own):
+   this verifies.
 3. Words under a window that was met twice are removed.
 
 A row is a document. A null text has no words; a null id is kept as null. Rows that
@@ -31,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import PACKED_DDL, membership, pack, part_of, parts_for, shared_keys
-from .textarrays import WORD_SEPARATOR, U, chunks, covered, mix, rolling, span_lists, spans_of
+from .exchange import ANSWER, PACKED_DDL, QUESTION, WITNESS, by_document, membership, pack, part_of, parts_for, shared_keys, to_documents
+from .textarrays import WORD_SEPARATOR, U, chunks, mix, ragged, rolling, slice_binary, span_lists, spans_of
 
 ROUNDS = 3
-WORD_SEED, WINDOW_SEED, PART_SEED, CONTEXT_SEED = 11, 12, 13, 14
+WORD_SEED, WINDOW_SEED, CONTEXT_SEED = 11, 12, 13
 ODD, ODDER = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
@@ -113,7 +114,7 @@ def anchors(word: np.ndarray, row: np.ndarray, first: np.ndarray, width: int, ro
     chosen = best[used]
     number = np.full(len(key) + 1, -1, np.int64)
     number[chosen] = np.arange(len(chosen))
-    return key[chosen], b.at[chosen], number[best]
+    return mix(key[chosen] ^ ODD), b.at[chosen], number[best]  # mixed anew: least values crowd together
 
 
 def _starts(row: np.ndarray, width: int) -> np.ndarray:
@@ -155,27 +156,102 @@ def _window_keys(word: np.ndarray, width: int) -> np.ndarray:
     return mix(r.windows(r.prefix(word), width))
 
 
-def _name_windows(width: int, parts: int):
+RUNS_DDL = "part int, kind tinyint, docs binary, starts binary, counts binary, keys binary"
+RUNS = pa.schema([("part", pa.int32()), ("kind", pa.int8()), *((c, pa.binary()) for c in ("docs", "starts", "counts", "keys"))])
+
+
+def _run_rows(kind: int, part, doc, start, key) -> pa.RecordBatch:
+    """Windows in order of document and place, as runs of consecutive starts, one row per part."""
+    order = np.argsort(part, kind="stable")
+    part, doc, start = part[order], doc[order], start[order]
+    n = len(part)
+    turn = np.r_[True, part[1:] != part[:-1]] if n else np.zeros(0, bool)
+    at = np.flatnonzero(turn)
+    run = np.flatnonzero(turn | np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]) if n else at
+    border = np.r_[at, n]
+    by = np.r_[np.searchsorted(run, at), len(run)]
+    none = slice_binary(np.zeros(0, np.int64), np.zeros(len(border), np.int64))
+    runs = [none] * 3 if kind == WITNESS else [slice_binary(x, by) for x in (doc[run], start[run], np.diff(np.r_[run, n]).astype(np.int32))]
+    keys = none if kind == ANSWER else slice_binary(key[order], border)
+    return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array(np.full(len(at), kind, np.int8)), *runs, keys], schema=RUNS)
+
+
+def _send_windows(width: int, parts: int):
+    """Candidate windows, dealt by their anchor, so that neighbours travel and are answered as runs.
+
+    Windows that the batch holds twice are settled here, with one witness each.
+    """
+
     def run(batches):
         for batch in batches:
-            part, keys, docs = [], [], []
-            shared = batch.column("shared")
+            found = []
             for chunk, _, _, row, word in _parsed(batch):
                 first = _starts(row, width)
-                if len(first):
-                    key, place, anchor = anchors(word, row, first, width)
-                    hit = membership(row[place], key.astype(np.uint32), shared.slice(chunk.lo, chunk.rows), np.uint32)
-                    first = first[np.r_[hit, True][anchor]]  # -1: without an anchor
-                if len(first):
-                    r = rolling(PART_SEED)
-                    part.append(part_of(mix(r.windows(r.prefix(word), width)[first]), parts))
-                    keys.append(_window_keys(word, width)[first])
-                    docs.append(row[first] + chunk.lo)
-            yield from _packed(batch, parts, part, keys, docs)
+                if not len(first):
+                    continue
+                key, place, anchor = anchors(word, row, first, width)
+                hit = membership(row[place], key.astype(np.uint32), batch.column("found").slice(chunk.lo, chunk.rows), np.uint32)
+                some = np.r_[hit, True][anchor]  # -1: without an anchor
+                first, anchor = first[some], anchor[some]
+                r = rolling(WINDOW_SEED)
+                whole = mix(r.windows(r.prefix(word), width)[first])
+                deal = np.where(anchor < 0, mix(whole), np.r_[key, U(0)][anchor])
+                found.append((part_of(deal, parts), whole, row[first] + chunk.lo, first - np.searchsorted(row, row[first])))
+            if not found:
+                continue
+            part, key, row, start = (np.concatenate(x) for x in zip(*found, strict=True))
+            if not len(key):
+                continue
+            rids = batch.column("rid").to_numpy()
+            order = np.argsort(key, kind="stable")
+            ordered = key[order]
+            new = np.r_[True, ordered[1:] != ordered[:-1]]
+            name = np.cumsum(new) - 1
+            twice = np.zeros(len(key), bool)
+            twice[order] = (np.bincount(name) > 1)[name]
+            head = np.zeros(len(key), bool)
+            head[order[new]] = True
+            ask, seen = ~twice, twice & head
+            yield _run_rows(QUESTION, part[ask], rids[row[ask]], start[ask], key[ask])
+            if seen.any():
+                yield _run_rows(WITNESS, part[seen], row[seen], start[seen], key[seen])
+                yield _run_rows(ANSWER, part_of(mix(rids.astype(U)), parts)[row[twice]], rids[row[twice]], start[twice], key[twice])
 
     return run
 
 
+def _settle_windows(width: int, parts: int):
+    """Spans of words under windows that were met twice, on their way back."""
+
+    def settle(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        kind = table["kind"].to_numpy()
+
+        def values(name, k, dtype):
+            column = table[name].filter(pa.array(kind == k))
+            return ragged(pa.concat_arrays(column.chunks), dtype)[0] if len(column) else np.zeros(0, dtype)
+
+        doc, start = values("docs", QUESTION, np.int64), values("starts", QUESTION, np.int64)
+        counts = values("counts", QUESTION, np.int32).astype(np.int64)
+        key = values("keys", QUESTION, U)
+        every = np.concatenate([key, values("keys", WITNESS, U)])
+        order = np.argsort(every, kind="stable")
+        same = every[order[1:]] == every[order[:-1]]
+        hit = np.zeros(len(every), bool)
+        hit[order[1:][same]] = True
+        hit[order[:-1][same]] = True
+        run = np.repeat(np.arange(len(doc)), counts)
+        place = start[run] + np.arange(len(run)) - (np.cumsum(counts) - counts)[run]
+        first, end = spans_of(hit[: len(key)], run)
+        settled = values("starts", ANSWER, np.int64)
+        begin = np.concatenate([place[first], settled])
+        stop = np.concatenate([place[end - 1] + width, settled + values("counts", ANSWER, np.int32) - 1 + width])
+        owner = np.concatenate([doc[run[first]], values("docs", ANSWER, np.int64)])
+        return to_documents(np.repeat(owner, 2), np.stack([begin, stop], axis=1).reshape(-1), parts)
+
+    return settle
+
+
 def joined_words(chunk, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> pa.Array:
     """Each row's words, joined by one space."""
     length = end - start
@@ -191,15 +267,17 @@ def joined_words(chunk, start: np.ndarray, end: np.ndarray, row: np.ndarray) ->
     return pa.Array.from_buffers(pa.large_string(), chunk.rows, [None, pa.py_buffer(border), pa.py_buffer(text)]).cast(pa.string())
 
 
-def _remove(width: int):
+def _remove():
     def run(batches):
         for batch in batches:
-            for chunk, start, end, row, word in _parsed(batch):
+            for chunk in chunks(batch.column("text")):
+                start, end, row = chunk.words(WORD_SEPARATOR)
                 part = batch.slice(chunk.lo, chunk.rows)
-                first = _starts(row, width)
-                if len(first):
-                    first = first[membership(row[first], _window_keys(word, width)[first], part.column("shared"), np.uint64)]
-                gone = covered(first, width, len(word))
+                flat, counts = ragged(part.column("found"), np.int64)
+                shift = np.searchsorted(row, np.repeat(np.arange(chunk.rows), counts // 2))
+                n = len(row)
+                step = np.bincount(flat[0::2] + shift, minlength=n + 1) - np.bincount(flat[1::2] + shift, minlength=n + 1)
+                gone = np.cumsum(step[:n]) > 0
                 s, e = spans_of(gone, row)
                 base = np.searchsorted(row, np.arange(chunk.rows))
                 spans = span_lists(s - base[row[s]], e - base[row[s]], row[s], chunk.rows)
@@ -229,7 +307,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id",
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
     parts = parts_for(docs)
     named = docs.select("rid", "text").mapInArrow(_name_anchors(width, parts), PACKED_DDL)
-    candidates = docs.select("rid", "text").join(shared_keys(named, np.uint32), "rid", "left")
-    windows = candidates.mapInArrow(_name_windows(width, parts), PACKED_DDL)
-    repeated = docs.join(shared_keys(windows, np.uint64), "rid", "left")
-    return repeated.mapInArrow(_remove(width), f"doc_id {id_type}, {RESULT}")
+    candidates = docs.select("rid", "text").join(shared_keys(named, np.uint32, parts), "rid", "left")
+    windows = candidates.mapInArrow(_send_windows(width, parts), RUNS_DDL)
+    spans = by_document(windows.groupBy("part").applyInArrow(_settle_windows(width, parts), PACKED_DDL), np.int64)
+    return docs.join(spans, "rid", "left").mapInArrow(_remove(), f"doc_id {id_type}, {RESULT}")

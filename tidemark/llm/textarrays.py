@@ -149,12 +149,6 @@ def ragged(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.diff(offset) // size
 
 
-def covered(start: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Mask over ``n`` positions of those inside any ``[s, s + width)``."""
-    step = np.bincount(start, minlength=n + 1) - np.bincount(np.minimum(start + width, n), minlength=n + 1)
-    return np.cumsum(step[:n]) > 0
-
-
 def spans_of(mask: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True that stay within one row."""
     if not mask.any():
