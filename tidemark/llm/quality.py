@@ -162,4 +162,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, **levels) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", "lang")
     rows = _repeats(_counts(rows)).withColumns(_scores()).withColumn("base_failed", base_failed())
     rows = rows.join(cutoffs, F.col("lang").eqNullSafe(F.col("q_lang")), "left")
-    return rows.filter(~(F.col("base_failed") | _rejected())).select("row.*")
+    # A sum, not a conjunction: no part of it moves below the join, where the optimizer
+    # would write out the definition of each count anew for each use.
+    return rows.filter(F.col("base_failed").cast("int") + _rejected().cast("int") == 0).select("row.*")

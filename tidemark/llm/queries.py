@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, quality, recompression, sharding, tokencount, urlfilter
+from . import chat, decontamination, jaccard, mixing, quality, recompression, sharding, suffixdedup, tokencount, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +53,23 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes under 50-byte strings that start in an earlier document, removed from every document."""
+    kept = suffixdedup.remove_later(table(spark, sf_dir, "documents"), width=50)
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words in every document."""
     found = decontamination.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    return jaccard.classes(table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 TOKENIZER, TOKEN_LIMIT = "piece_bpe_32k.model", 4096
 
 
@@ -70,4 +81,4 @@ def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_recompression, op4_urlfilter, op5_chatformat, op6_quality, op8_decontamination, op10_tokencount)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_recompression, op4_urlfilter, op5_chatformat, op6_quality, op7_suffixdedup, op8_decontamination, op9_jaccard, op10_tokencount)}
