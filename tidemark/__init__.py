@@ -1,0 +1 @@
+"""Forecast-event analytics as Spark DataFrame operators."""
