@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, mixing, quality, recompression, sharding, suffixdedup, tokencount, urlfilter
+from . import chat, decontamination, jaccard, mixing, oracle, quality, recompression, sharding, suffixdedup, tokencount, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,3 +82,5 @@ def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_recompression, op4_urlfilter, op5_chatformat, op6_quality, op7_suffixdedup, op8_decontamination, op9_jaccard, op10_tokencount)}
+
+SQL = oracle.SQL
