@@ -12,13 +12,19 @@ from ..functions.text import strict_date
 
 ALPHA, RAMP, BUFFER_DAYS = 0.7, 1e-3, 2
 WEIGHT_DIGITS = 9
-_days = Window.partitionBy("event_id").orderBy("pos")
-_event = Window.partitionBy("event_id")
+
+
+def _event():
+    return Window.partitionBy("event_id")
+
+
+def _days():
+    return _event().orderBy("pos")
 
 
 def belief_delta_binary(rows: DataFrame) -> DataFrame:
     """Adds delta = |p - p of the day before|; 0 on the first day and beside a null."""
-    return rows.withColumn("delta", F.coalesce(F.abs(F.col("p") - F.lag("p").over(_days)), F.lit(0.0)))
+    return rows.withColumn("delta", F.coalesce(F.abs(F.col("p") - F.lag("p").over(_days())), F.lit(0.0)))
 
 
 def belief_delta_multi(legs: DataFrame) -> DataFrame:
@@ -52,7 +58,7 @@ def resolution_date(close: Column, legs_closed: Column, resolution: Column, end:
 
 def peak_share(x: str) -> Column:
     """x over the event's peak; zeros where the peak is not positive."""
-    peak = F.max(x).over(_event)
+    peak = F.max(x).over(_event())
     return F.when(peak > 0, F.col(x) / peak).otherwise(0.0)
 
 
@@ -61,7 +67,7 @@ def trim_for_leakage(rows: DataFrame, buffer_days: int = BUFFER_DAYS) -> DataFra
     if buffer_days <= 0:
         return rows
     fits = F.coalesce(F.datediff("resolution", F.to_date("day")) >= buffer_days, F.lit(True))
-    marked = rows.withColumn("_fits", fits).withColumn("_any", F.max("_fits").over(_event))
+    marked = rows.withColumn("_fits", fits).withColumn("_any", F.max("_fits").over(_event()))
     return marked.filter(F.col("_fits") | ~F.col("_any")).drop("_fits", "_any")
 
 
@@ -87,7 +93,7 @@ def select_dates(rows: DataFrame, k: int | None = None, alpha: float = ALPHA, ra
     if not 0.0 <= alpha <= 1.0:
         raise ValueError("alpha is in [0, 1]")
     signals = rows.withColumn("news", F.coalesce(F.col("news").cast("double"), F.lit(0.0))).withColumns({"belief": peak_share("delta"), "volume": peak_share("news")})
-    pool = trim_for_leakage(signals, buffer_days).withColumns({"n": F.count("*").over(_event), "t": F.row_number().over(_days) - 1})
+    pool = trim_for_leakage(signals, buffer_days).withColumns({"n": F.count("*").over(_event()), "t": F.row_number().over(_days()) - 1})
     pool = pool.withColumn("k", F.lit(k) if k is not None else auto_k(F.col("n"), k_min, k_max, c))
     weight = F.lit(alpha) * F.col("belief") + F.lit(1.0 - alpha) * F.col("volume") + F.lit(ramp) * (F.col("t") / F.greatest(F.col("n") - 1, F.lit(1)))
     pool = pool.withColumns({"weight": F.round(weight, WEIGHT_DIGITS), "bin": F.when(F.col("n") <= F.col("k"), F.col("t").cast("long")).otherwise(bin_of(F.col("t"), F.col("n"), F.col("k")))})
