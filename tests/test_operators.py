@@ -251,7 +251,11 @@ def test_articles_with_optional_columns(spark, tmp_path):
     spark.createDataFrame([("t", "x", "1", "u")], "title string, text string, article_id string, url string").write.parquet(str(tmp_path / "a" / "shard=2025-01"))
     rows = files.articles(spark, str(tmp_path / "a"))
     assert rows.first().summary is None
-    meta = spark.createDataFrame([("2025-01", "t", 8000)], "shard string, tokenizer string, token_budget int")
+    (tmp_path / "m" / "shard=2025-01").mkdir(parents=True)
+    (tmp_path / "m" / "shard=2025-01" / "metadata.json").write_text('{"day_offsets": {"2025-01-01": [0, 1]}, "scrape_truncation": {"tokenizer": "t", "token_budget": 8000}}')
+    meta = files.shard_metadata(spark, str(tmp_path / "m" / "*" / "metadata.json"))
+    assert (meta.first().shard, meta.first().day_offsets) == ("2025-01", {"2025-01-01": [0, 1]})
+    assert retrieval.render_articles(rows).first().article == "id: 1\ntitle: t\nurl: u\npublished: (no date)\n\nx"
     assert files.served_text(rows, meta, "t", 8000).first().cached is None
 
 

@@ -87,3 +87,11 @@ def volume_json(spark: SparkSession, path: str) -> DataFrame:
     each = pairs.select("m", F.posexplode("keys").alias("pos", "key"))
     rows = each.select("pos", F.substring("key", 1, 10).alias("day"), F.element_at("m", F.col("key")).alias("n"))
     return rows.groupBy("day").agg(F.max_by("n", "pos").alias("n"))
+
+
+def shard_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, tokenizer, token_budget, day_offsets) from the metadata.json of each shard folder; bad JSON gives nulls."""
+    kind = "day_offsets map<string, array<int>>, scrape_truncation struct<tokenizer: string, token_budget: int>"
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("m"), F.col("_metadata.file_path").alias("file"))
+    shard = F.regexp_replace(F.element_at(F.split("file", "/"), -2), "^shard=", "")
+    return rows.select(shard.alias("shard"), F.col("m.scrape_truncation.tokenizer").alias("tokenizer"), F.col("m.scrape_truncation.token_budget").alias("token_budget"), F.col("m.day_offsets").alias("day_offsets"))
