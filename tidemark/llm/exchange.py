@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import shuffle_width
-from .textarrays import U, mix, ragged, slice_binary
+from .textarrays import U, give_back, mix, ragged, slice_binary
 
 PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("docs", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 PACKED_DDL = "part int, kind tinyint, docs binary, counts binary, keys binary"
@@ -26,10 +26,10 @@ QUESTION, WITNESS, ANSWER = 0, 1, 2
 PART_BYTES = 16 << 20
 
 
-def parts_for(df: DataFrame, column: str = "text") -> int:
+def parts_for(df: DataFrame, column: str = "text", part_bytes: int = PART_BYTES) -> int:
     """Number of parts: in proportion to the bytes, and one for each shuffle partition at least."""
     total = df.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0]
-    return max(shuffle_width(df.sparkSession), 1 + total // PART_BYTES)
+    return max(shuffle_width(df.sparkSession), 1 + total // part_bytes)
 
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -79,7 +79,7 @@ def pack(part: np.ndarray, key: np.ndarray, doc: np.ndarray, rids: np.ndarray, p
         yield _rows(ANSWER, to, doc1[known], key1[known], rids)
 
 
-def _settle(dtype, parts: int):
+def _settle(dtype, parts: int, distinct: bool):
     def settle(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         kind = table["kind"].to_numpy()
@@ -90,12 +90,22 @@ def _settle(dtype, parts: int):
             docs[k] = np.repeat(ragged(column("docs", k), np.int64)[0], ragged(column("counts", k), np.int32)[0])
         asked = keys[QUESTION]
         every = np.concatenate([asked, keys[WITNESS]])
-        order = np.argsort(every, kind="stable")
-        ordered = every[order]
-        same = ordered[1:] == ordered[:-1] if len(ordered) else np.zeros(0, bool)
-        hit = np.zeros(len(every), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
+        if distinct:  # a key is shared if it has two documents; a witness stands for more than one
+            who = np.concatenate([docs[QUESTION], np.full(len(keys[WITNESS]), np.iinfo(np.int64).max)])
+            order = np.lexsort((who, every))
+            ordered, who = every[order], who[order]
+            new = np.r_[True, ordered[1:] != ordered[:-1]] if len(ordered) else np.zeros(0, bool)
+            at = np.flatnonzero(new)
+            last = np.r_[at[1:], len(ordered)] - 1 if len(at) else at
+            hit = np.zeros(len(every), bool)
+            hit[order] = (who[at] != who[last])[np.cumsum(new) - 1] if len(at) else False
+        else:
+            order = np.argsort(every, kind="stable")
+            ordered = every[order]
+            same = ordered[1:] == ordered[:-1] if len(ordered) else np.zeros(0, bool)
+            hit = np.zeros(len(every), bool)
+            hit[order[1:][same]] = True
+            hit[order[:-1][same]] = True
         hit = hit[: len(asked)]
         doc = np.concatenate([docs[QUESTION][hit], docs[ANSWER]])
         return to_documents(doc, np.concatenate([asked[hit], keys[ANSWER]]), parts)
@@ -104,7 +114,8 @@ def _settle(dtype, parts: int):
 
 
 def to_documents(doc: np.ndarray, values: np.ndarray, parts: int) -> pa.Table:
-    """Packed values on their way to the documents they belong to."""
+    """Packed values on their way to the documents they belong to: the end of a part's work."""
+    give_back()
     rids, at = np.unique(doc, return_inverse=True)
     return pa.Table.from_batches([_rows(QUESTION, part_of(mix(rids.astype(U)), parts)[at], at, values, rids)])
 
@@ -128,9 +139,12 @@ def by_document(packed: DataFrame, dtype) -> DataFrame:
     return packed.groupBy("part").applyInArrow(_by_document(dtype), "rid long, found binary")
 
 
-def shared_keys(packed: DataFrame, dtype, parts: int) -> DataFrame:
-    """(rid, found: packed keys) for every document that holds a shared key."""
-    return by_document(packed.groupBy("part").applyInArrow(_settle(dtype, parts), PACKED_DDL), dtype)
+def shared_keys(packed: DataFrame, dtype, parts: int, distinct: bool = False) -> DataFrame:
+    """(rid, found: packed keys) for every document that holds a shared key.
+
+    distinct: entries of one document from several mappers count once.
+    """
+    return by_document(packed.groupBy("part").applyInArrow(_settle(dtype, parts, distinct), PACKED_DDL), dtype)
 
 
 def membership(doc: np.ndarray, key: np.ndarray, answers: pa.Array, dtype) -> np.ndarray:

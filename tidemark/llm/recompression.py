@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import ANSWER, PACKED_DDL, QUESTION, WITNESS, by_document, membership, pack, part_of, parts_for, shared_keys, to_documents
-from .textarrays import WORD_SEPARATOR, U, chunks, mix, ragged, rolling, slice_binary, span_lists, spans_of
+from .storage import bounded_batches
+from .textarrays import WORD_SEPARATOR, U, chunks, mix, portions, ragged, rolling, slice_binary, span_lists, spans_of
 
 ROUNDS = 3
 WORD_SEED, WINDOW_SEED, CONTEXT_SEED = 11, 12, 13
@@ -137,7 +138,7 @@ def _packed(batch, parts, part, key, doc):
 
 def _name_anchors(width: int, parts: int):
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             part, keys, docs = [], [], []
             for chunk, _, _, row, word in _parsed(batch):
                 first = _starts(row, width)
@@ -183,7 +184,7 @@ def _send_windows(width: int, parts: int):
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             found = []
             for chunk, _, _, row, word in _parsed(batch):
                 first = _starts(row, width)
@@ -269,7 +270,7 @@ def joined_words(chunk, start: np.ndarray, end: np.ndarray, row: np.ndarray) ->
 
 def _remove():
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             for chunk in chunks(batch.column("text")):
                 start, end, row = chunk.words(WORD_SEPARATOR)
                 part = batch.slice(chunk.lo, chunk.rows)
@@ -303,6 +304,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id",
     if width < 2:
         raise ValueError("a window has two words at least")
     id_type = docs.schema[id_column].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
     parts = parts_for(docs)

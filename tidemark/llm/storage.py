@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,5 +41,34 @@ def release(*frames: DataFrame) -> None:
                 folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished stages.
+
+    Spark deletes them once the driver's JVM has collected their handles, which a driver
+    with little to do puts off; ask for it before the next large shuffle.
+    """
+    for _ in range(2):  # listeners hold the last query a moment longer
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of 16 MB at most, unless the session has a limit of its own: rows hold whole texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(16 << 20))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Rows of ids that a broadcast may hold: some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table of ids, marked for broadcast if it has ``rows`` rows at most; else left to a shuffle join."""
+    df = stage(df)
+    return F.broadcast(df) if df.count() <= rows else df

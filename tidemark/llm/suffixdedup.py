@@ -3,14 +3,16 @@
 Removed is each byte under a string of ``width`` bytes that also starts in a document
 with a smaller id.
 
-1. Every window of ``width`` bytes has a minimizer: its ``GRAM`` bytes of least
+1. Of rows with equal texts (by MD5) only those of the smallest id go on; the others
+   lose all they have, if that is a window at least.
+2. Every window of ``width`` bytes has a minimizer: its ``GRAM`` bytes of least
    fingerprint. Equal windows have equal minimizers at equal places. Fingerprints of
-   minimizers meet in a shuffle of packed keys; what one document alone has ends there.
-2. Runs of windows with one shared minimizer travel as one string, dealt by the
+   minimizers meet in a shuffle of packed keys; what one text alone has ends there.
+3. Runs of windows with one shared minimizer travel as one string, dealt by the
    minimizer, so equal windows meet. A mapper that holds a string twice keeps the
    smallest id's and settles the others, so a passage that a third of all documents
    hold costs its part one string per mapper batch.
-3. Each part sorts its suffixes: multikey quicksort on characters of 8 bytes, all
+4. Each part drops strings it holds of a smaller id and sorts the other suffixes: multikey quicksort on characters of 8 bytes, all
    partitions of one depth at once, down to ``SHALLOW`` bytes; groups that still agree
    there are ordered by blind tries. Neighbours that agree in ``width`` bytes are equal
    windows; the smallest id keeps them.
@@ -27,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import PACKED_DDL, by_document, membership, pack, part_of, parts_for, shared_keys, to_documents
-from .textarrays import U, chunks, mix, ragged, rolling, slice_binary, span_lists, spans_of
+from .storage import bounded_batches, stage, tidy
+from .textarrays import U, binary_buffers, chunks, mix, portions, ragged, rolling, slice_binary, span_lists, spans_of
 
 GRAM = 16
-SHALLOW = 24
+SHALLOW = 40
+#: Text bytes for each part: its windows take some tens of MB to sort.
+PART_BYTES = 4 << 20
 PIECE = 1 << 20
 GRAM_SEED = 31
 NO_ID = np.iinfo(np.int64).max
@@ -69,21 +74,27 @@ def strings(chunk, width: int):
 
 def _name_minimizers(width: int, parts: int):
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
+            names, first, at = np.unique(batch.column("th").to_numpy(), return_index=True, return_inverse=True)
+            new = np.zeros(batch.num_rows, bool)
+            new[first] = True
             keys, docs = [], []
             for chunk in chunks(batch.column("text")):
                 for _, _, row, key in strings(chunk, width):
-                    keys.append(key)
-                    docs.append(row + chunk.lo)
+                    mine = new[row + chunk.lo]
+                    keys.append(key[mine])
+                    docs.append(at[row[mine] + chunk.lo])
             if keys:
-                key = np.concatenate(keys)
-                yield from pack(part_of(key, parts), key.astype(np.uint32), np.concatenate(docs), batch.column("rid").to_numpy(), parts, within=False)
+                key, doc = np.concatenate(keys), np.concatenate(docs)
+                order = np.argsort(doc, kind="stable")
+                key, doc = key[order], doc[order]
+                yield from pack(part_of(key, parts), key.astype(np.uint32), doc, names, parts, within=False)
 
     return run
 
 
-STRINGS_DDL = "part int, kind tinyint, rids binary, ids binary, starts binary, lengths binary, bytes binary"
-STRINGS = pa.schema([("part", pa.int32()), ("kind", pa.int8()), *((c, pa.binary()) for c in ("rids", "ids", "starts", "lengths", "bytes"))])
+STRINGS_DDL = "part int, kind tinyint, rids binary, ids binary, docs binary, starts binary, lengths binary, bytes binary"
+STRINGS = pa.schema([("part", pa.int32()), ("kind", pa.int8()), *((c, pa.binary()) for c in ("rids", "ids", "docs", "starts", "lengths", "bytes"))])
 ASKED, SETTLED = 0, 1
 
 
@@ -93,32 +104,77 @@ def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)]
 
 
-def _string_rows(kind: int, part, rid, ident, start, length, text) -> pa.RecordBatch:
-    """One row per part; ``text`` is None or (data, offset of each string in it)."""
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+def _string_rows(kind: int, part, row, rids, ids, start, length, text) -> pa.RecordBatch:
+    """One row per part: the documents' ids once, then each string's document, place and bytes (packed by zstd).
+
+    ``text`` is None or (data, offset of each string in it).
+    """
+    order = np.lexsort((row, part))
+    part, row = part[order], row[order]
+    turn = np.r_[True, part[1:] != part[:-1]] if len(part) else np.zeros(0, bool)
+    at = np.flatnonzero(turn)
     border = np.r_[at, len(part)]
-    columns = [slice_binary(x[order], border) for x in (rid, ident, start, length.astype(np.int32))]
+    fresh = turn | np.r_[True, row[1:] != row[:-1]] if len(part) else turn
+    one = np.flatnonzero(fresh)
+    by = np.r_[np.searchsorted(one, at), len(one)]
+    doc = np.cumsum(fresh) - 1
+    doc -= by[np.cumsum(turn) - 1] if len(part) else 0
+    tables = [slice_binary(x[row[one]], by) for x in (rids, ids)]
+    columns = [slice_binary(x, border) for x in (doc.astype(np.int32), start[order].astype(np.int32), length[order].astype(np.int32))]
     if text is None:
         body = slice_binary(np.zeros(0, np.uint8), np.zeros(len(border), np.int64))
     else:
         length = length[order]
-        body = slice_binary(gather(text[0], text[1][order], length), np.r_[0, np.cumsum(length)][border])
-    return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array(np.full(len(at), kind, np.int8)), *columns, body], schema=STRINGS)
+        raw = gather(text[0], text[1][order], length)
+        cut = np.r_[0, np.cumsum(length)][border].tolist()
+        body = pa.array([pa.compress(raw[a:b], codec="zstd", asbytes=True) for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array(np.full(len(at), kind, np.int8)), *tables, *columns, body], schema=STRINGS)
+
+
+def settled_strings(data: np.ndarray, place: np.ndarray, length: np.ndarray, ident: np.ndarray) -> np.ndarray:
+    """Which strings are also held, byte for byte, by a smaller id?"""
+    r = rolling(GRAM_SEED)
+    name = np.zeros(len(place), U)
+    for lo in range(0, len(place), 1 << 14):
+        hi = min(lo + (1 << 14), len(place))
+        base = place[lo]
+        piece = data[base : place[hi - 1] + length[hi - 1]]
+        name[lo:hi] = mix(r.slices(r.prefix(r.byte_value[piece]), place[lo:hi] - base, place[lo:hi] - base + length[lo:hi])) + length[lo:hi].astype(U)
+    order = np.lexsort((ident, name))
+    n, i = name[order], ident[order]
+    again = np.r_[False, n[1:] == n[:-1]]
+    again[again] = _same_text(data, place, length, order, np.flatnonzero(again))
+    owner = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
+    out = np.zeros(len(place), bool)
+    out[order] = again & (i > i[owner])
+    return out
+
+
+def _same_text(data, place, length, order, at) -> np.ndarray:
+    """Does string ``order[at]`` equal the one before it, byte for byte?"""
+    a, b = order[at], order[at - 1]
+    same = length[a] == length[b]
+    size = np.where(same, length[a], 0)
+    differs = gather(data, place[a], size) != gather(data, place[b], size)
+    bad = np.bincount(np.repeat(np.arange(len(at)), size), weights=differs, minlength=len(at))
+    return same & (bad == 0)
 
 
 def _send_strings(width: int, parts: int):
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             rids = batch.column("rid").to_numpy()
             ids = batch.column("ident").to_numpy()
-            shared = batch.column("found")
+            answers = batch.column("found")
+            size = np.diff(binary_buffers(batch.column("text"))[0])
+            copies = np.flatnonzero(batch.column("later").to_numpy(zero_copy_only=False).astype(bool) & (size >= width))
+            home = part_of(mix(rids.astype(U)), parts)
+            if len(copies):
+                yield _string_rows(SETTLED, home[copies], copies, rids, ids, np.zeros(len(copies), np.int64), size[copies], None)
             found = []
             for chunk in chunks(batch.column("text")):
-                answers = shared.slice(chunk.lo, chunk.rows)
                 for start, end, row, key in strings(chunk, width):
-                    hit = membership(row, key.astype(np.uint32), answers, np.uint32)
+                    hit = membership(row, key.astype(np.uint32), answers.slice(chunk.lo, chunk.rows), np.uint32)
                     start, end, row, key = start[hit], end[hit], row[hit], key[hit]
                     if len(start):
                         found.append((key, row + chunk.lo, start - chunk.offset[row], end - start, gather(chunk.data, start, end - start)))
@@ -127,34 +183,15 @@ def _send_strings(width: int, parts: int):
             key, row, start, length = (np.concatenate([f[k] for f in found]) for k in range(4))
             data = np.concatenate([f[4] for f in found])
             place = np.cumsum(length) - length
-            r = rolling(GRAM_SEED)
-            name = np.concatenate([mix(r.slices(r.prefix(r.byte_value[f[4]]), e - f[3], e)) for f in found for e in [np.cumsum(f[3])]]) + length.astype(U)
-            order = np.lexsort((ids[row], key, name))
-            n, i = name[order], ids[row][order]
-            again = np.r_[False, n[1:] == n[:-1]]
-            again[again] = _same_text(data, place, length, order, np.flatnonzero(again))
-            owner = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
-            settled = again & (i > i[owner])
-            ask = order[~settled]
-            yield _string_rows(ASKED, part_of(mix(key[ask]), parts), rids[row[ask]], ids[row[ask]], start[ask], length[ask], (data, place[ask]))
-            done = order[settled]
-            if len(done):
-                to = part_of(mix(rids[row[done]].astype(U)), parts)
-                yield _string_rows(SETTLED, to, rids[row[done]], ids[row[done]], start[done], length[done], None)
+            done = settled_strings(data, place, length, ids[row])
+            ask = ~done
+            yield _string_rows(ASKED, part_of(mix(key[ask]), parts), row[ask], rids, ids, start[ask], length[ask], (data, place[ask]))
+            if done.any():
+                yield _string_rows(SETTLED, home[row[done]], row[done], rids, ids, start[done], length[done], None)
 
     return run
 
 
-def _same_text(data, place, length, order, at) -> np.ndarray:
-    """Does string ``order[at]`` equal the one before it, byte for byte?"""
-    a, b = order[at], order[at - 1]
-    same = length[a] == length[b]
-    size = np.where(same, length[a], 0)
-    differs = gather(data, place[a], size) != gather(data, place[b], size)
-    bad = np.bincount(np.repeat(np.arange(len(at)), size), weights=differs, minlength=len(at))
-    return same & (bad == 0)
-
-
 class BlindTrie:
     """Orders strings that share a prefix: a trie of branching places only, then one comparison."""
 
@@ -250,6 +287,13 @@ def sort_suffixes(data: np.ndarray, start: np.ndarray, width: int, shallow: int
     return order, group
 
 
+def unpacked(rows: pa.Table) -> np.ndarray:
+    """The strings of all rows, end to end."""
+    sizes = [int(np.frombuffer(x.as_buffer(), np.int32).sum()) for x in rows["lengths"]]
+    pieces = [np.frombuffer(pa.decompress(x.as_buffer(), n, codec="zstd"), np.uint8) for x, n in zip(rows["bytes"], sizes, strict=True) if n]
+    return np.concatenate(pieces) if pieces else np.zeros(0, np.uint8)
+
+
 def _settle(width: int, parts: int):
     def settle(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -260,26 +304,39 @@ def _settle(width: int, parts: int):
             column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
             return ragged(column, dtype)[0] if len(column) else np.zeros(0, dtype)
 
-        rid, ident, start = (values(c, ASKED, np.int64) for c in ("rids", "ids", "starts"))
-        length = values("lengths", ASKED, np.int32).astype(np.int64)
-        data = values("bytes", ASKED, np.uint8)
+        def sizes(name, k, width):
+            column = table[name].filter(pa.array(kind == k))
+            return ragged(pa.concat_arrays(column.chunks), f"V{width}")[1] if len(column) else np.zeros(0, np.int64)
+
+        def owners(k):
+            """rid and id of each string's document."""
+            docs = values("docs", k, np.int32)
+            tables, counts = [values(c, k, np.int64) for c in ("rids", "ids")], sizes("docs", k, 4)
+            base = np.repeat(np.cumsum(sizes("rids", k, 8)) - sizes("rids", k, 8), counts)
+            return tuple(t[docs + base] for t in tables)
+
+        rid, ident = owners(ASKED)
+        start, length = (values(c, ASKED, np.int32).astype(np.int64) for c in ("starts", "lengths"))
+        data = unpacked(table.filter(pa.array(kind == ASKED)))
         place = np.cumsum(length) - length
+        whole = settled_strings(data, place, length, ident) if len(place) else np.zeros(0, bool)
+        known = (rid[whole], start[whole], start[whole] + length[whole])
+        rid, ident, start, length, place = (x[~whole] for x in (rid, ident, start, length, place))
         windows = length - width + 1
         owner = np.repeat(np.arange(len(windows)), windows)
         inside = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
         later = np.zeros(len(owner), bool)
         if len(owner):
             order, group = sort_suffixes(data, place[owner] + inside, width)
-            sizes = np.bincount(group)
-            least = np.minimum.reduceat(ident[owner[order]], np.cumsum(sizes) - sizes)
+            members = np.bincount(group)
+            least = np.minimum.reduceat(ident[owner[order]], np.cumsum(members) - members)
             later[order] = ident[owner[order]] > least[group]
         first, end = spans_of(later, owner)
         who = owner[first]
-        doc = np.concatenate([rid[who], values("rids", SETTLED, np.int64)])
-        begin = start[who] + inside[first]
-        settled = values("starts", SETTLED, np.int64)
-        stop = np.concatenate([start[who] + inside[end - 1] + width, settled + values("lengths", SETTLED, np.int32)])
-        begin = np.concatenate([begin, settled])
+        settled = values("starts", SETTLED, np.int32).astype(np.int64)
+        doc = np.concatenate([rid[who], known[0], owners(SETTLED)[0]])
+        begin = np.concatenate([start[who] + inside[first], known[1], settled])
+        stop = np.concatenate([start[who] + inside[end - 1] + width, known[2], settled + values("lengths", SETTLED, np.int32)])
         pairs = np.stack([begin, stop], axis=1).reshape(-1)
         return to_documents(np.repeat(doc, 2), pairs, parts)
 
@@ -287,7 +344,7 @@ def _settle(width: int, parts: int):
 
 
 def _remove(batches):
-    for batch in batches:
+    for batch in portions(batches):
         for chunk in chunks(batch.column("text"), 4 << 20):
             part = batch.slice(chunk.lo, chunk.rows)
             flat, counts = ragged(part.column("found"), np.int64)
@@ -318,11 +375,22 @@ def remove_later(docs: DataFrame, width: int = 50, id_column: str = "doc_id", te
     if width < GRAM + 8:
         raise ValueError(f"a window has {GRAM + 8} bytes at least")
     kind = docs.schema[id_column].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    docs = docs.withColumns({"rid": F.xxhash64("doc_id", "text"), "ident": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
-    parts = parts_for(docs)
-    named = docs.select("rid", "text").mapInArrow(_name_minimizers(width, parts), PACKED_DDL)
-    candidates = docs.select("rid", "ident", "text").join(shared_keys(named, np.uint32, parts), "rid", "left")
+    whole = F.coalesce("text", F.lit(""))
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    docs = docs.withColumns({"rid": F.xxhash64("doc_id", "text"), "ident": ident, "th": F.xxhash64(whole)})
+    parts = parts_for(docs, part_bytes=PART_BYTES)
+    names = stage(docs.select("rid", "ident", "th", F.md5(whole).alias("digest")))
+    firsts = stage(names.groupBy("digest").agg(F.min("ident").alias("first")))  # staged: a join of plain scans can split a hot digest
+    names = names.join(firsts, "digest").select("rid", "th", (F.col("ident") > F.col("first")).alias("later"))
+    named = docs.select("th", "text").mapInArrow(_name_minimizers(width, parts), PACKED_DDL)
+    shared = stage(shared_keys(named, np.uint32, parts, distinct=True).withColumnRenamed("rid", "th"))
+    tidy(docs.sparkSession)
+    asking = names.filter("not later").join(shared, "th").groupBy("rid").agg(F.first("found").alias("found"))
+    known = names.filter("later").select("rid", F.lit(True).alias("later")).distinct().join(asking, "rid", "full")
+    candidates = docs.select("rid", "ident", "text").join(known, "rid", "left").withColumn("later", F.coalesce("later", F.lit(False)))
     sent = candidates.mapInArrow(_send_strings(width, parts), STRINGS_DDL)
-    spans = by_document(sent.groupBy("part").applyInArrow(_settle(width, parts), PACKED_DDL), np.int64)
+    spans = stage(by_document(sent.groupBy("part").applyInArrow(_settle(width, parts), PACKED_DDL), np.int64))
+    tidy(docs.sparkSession)
     return docs.select("rid", "doc_id", "text").join(spans, "rid", "left").mapInArrow(_remove, f"doc_id {kind}, {RESULT}")

@@ -7,6 +7,9 @@ limit is a chunk of its own; nothing is cut.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,6 +137,31 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         lo = hi
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``limit`` bytes of text, or of one longer row.
+
+    Idle workers are kept for later tasks, so at the end memory goes back to the system.
+    """
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            so_far = size[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(size, so_far + limit, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+        del batch
+    gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes from the worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slice_binary(values: np.ndarray, borders: np.ndarray) -> pa.Array:
     """A binary column: entry i is ``values[borders[i]:borders[i + 1]]``."""
     values = np.ascontiguousarray(values)

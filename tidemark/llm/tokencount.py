@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded_batches
+from .textarrays import portions
+
 SEGMENT_CHARS = 1024
 BATCH_BYTES = 1 << 19
 SAFE_SPACE = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
@@ -79,7 +82,7 @@ def count_texts(texts: list[str], path: str) -> list[int]:
 
 def _count(path: str):
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             text = pc.fill_null(batch.column("text"), "")
             tokens = count_texts(text.to_pylist(), path)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.binary_length(text).cast(pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
@@ -89,5 +92,6 @@ def _count(path: str):
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens of each row, by the vocabulary file at ``vocabulary``."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     return docs.mapInArrow(_count(vocabulary), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
