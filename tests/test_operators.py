@@ -279,3 +279,41 @@ def test_streams(spark, tmp_path):
     stream = runs.record_stream(spark, source, "name string, n long")
     runs.drain_counters(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert {r.name: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": 3, "b": 1}
+
+
+def test_small_projections(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 7, 0.5, "task_complete", 0, "2025-01-01"), (2, 8, 0.1, "timeout", 1, "2025-01-02")], "group_index int, rollout_id int, reward double, termination string, step_idx int, forecast_date string")
+    assert [r.status for r in evaluation.sample_rows(rows).orderBy("group_index").collect()] == ["COMPLETED", "TRUNCATED"]
+    full = evaluation.records(rows)
+    assert full.columns == list(evaluation.RECORD) and len(full.columns) == 34 and full.first().brier is None
+    assert one(spark, episodes.merged_spec(F.lit("d"), F.lit("d"), F.lit("b"))) == "b"
+    assert one(spark, episodes.merged_spec(F.lit("d"), F.lit("o"), F.lit("b"))) == "o"
+    q = F.struct(F.lit("t").alias("title"))
+    assert one(spark, episodes.question_group(q)) == one(spark, episodes.question_group(q)) < 1 << 40
+    assert one(spark, episodes.step_group(F.lit(3), F.lit(2), 10)) == 32
+    assert [r.group_index for r in metrics.keep_last(rows, 1, "group_index").collect()] == [2]
+    assert metrics.random_sample(rows, 1).count() == 1
+    sinks.metric_table(rows.select("reward"), str(tmp_path / "m"), 3)
+    assert spark.read.parquet(str(tmp_path / "m")).first().step == 3
+    blocks = spark.createDataFrame([([("a", None, None), (None, ("i", "f", "{}"), None), ("b", None, None)],)], "content array<struct<text:string,toolUse:struct<toolUseId:string,name:string,input:string>,toolResult:struct<toolUseId:string,status:string,content:array<struct<text:string>>>>>")
+    flat = blocks.select(traces.flatten_message(F.col("content")).alias("m")).first().m
+    assert (flat.text, flat.tool_uses[0]["name"], flat.tool_results) == ("a\nb", "f", [])
+    assert one(spark, text.prompt_file(F.lit("memory-on"), F.lit(True))) == "memory-on-tools.md"
+    legs = spark.createDataFrame([(1, 0, 0, "d", 0.2), (1, 1, 0, "d", 0.8)], "event_id int, leg_idx int, pos int, day string, p double")
+    winners = spark.createDataFrame([(1, 1)], "event_id int, leg_idx int")
+    assert dates.crowd_of_winner(legs, winners).first().crowd == 0.8
+    days = spark.createDataFrame([(1, 1, "2025-01-02", 0), (1, 0, "2025-01-01", 5)], "event_id int, pos int, day string, news int")
+    assert volume.nest(days).first().news_daily == [5, 0]
+    tags = spark.createDataFrame([(1, "zz"), (1, "zz"), (2, "yy")], "event_id int, tag string")
+    assert [(r.name, r.n) for r in taxonomy.top_unmapped(tags, spark.createDataFrame([("a", "tech")], "tag string, domain string"), 1).collect()] == [("zz", 2)]
+
+
+def test_episode_build(spark):
+    schema = "event_id int, slug string, title string, body string, start_date string, close_date string, belief_kind string, resolved_label string, markets array<struct<label:string,question:string,market_id:string,closed_time:string>>"
+    questions = spark.createDataFrame([(1, "s", "T", " b ", "2025-01-01T0", "2025-02-01T0", "binary", "yes", None), (2, "s", "T", None, "2025-01-01", None, "multi_neg_risk", "A", [("A", None, "1", None)])], schema)
+    picked = spark.createDataFrame([(1, "2025-01-05", 0.5), (2, "2025-01-06", None)], "event_id int, day string, crowd double")
+    domains = spark.createDataFrame([(1, "tech")], "event_id int, domain string")
+    rows = {r.event_id: r for r in episodes.build(questions, picked, domains, "memory-free").collect()}
+    assert (rows[1].label, rows[1].prompt, rows[1].question.close_date, rows[1].question.markets, rows[1].forecast_date) == ("YES", "Forecast: T", "2025-02-01", None, "2025-01-05")
+    assert rows[2].question.markets[0].question == "" and rows[2].crowd_prob is None
+    assert episodes.build(questions, picked, domains, start="2024-12-01").first().start_date == "2024-12-01"
