@@ -148,8 +148,8 @@ def test_jaccard(spark, docs, none):
     assert jaccard.keep_one(docs).columns == docs.columns and jaccard.keep_one(none).count() == 0
 
 
-@pytest.mark.parametrize(("length", "copies", "edits"), [(40, 40, 1), (120, 60, 2), (300, 30, 6)])
-def test_jaccard_in_large_groups(spark, length, copies, edits):
+@pytest.mark.parametrize(("length", "copies", "edits", "size", "percent"), [(40, 40, 1, 4, 85), (120, 60, 2, 5, 80), (1200, 20, 20, 4, 85)])
+def test_jaccard_in_large_groups(spark, length, copies, edits, size, percent):
     """Near copies of one text: many do not link with each other, only with the text or a neighbour."""
     draw = np.random.default_rng(length)
     base = [f"b{i}" for i in range(length)]
@@ -160,9 +160,8 @@ def test_jaccard_in_large_groups(spark, length, copies, edits):
             words[at] = f"c{k}x{at}"
         rows.append((k, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for size, percent in ((4, 85), (5, 80)):
-        got = jaccard.classes(df, size, percent).select("doc_id", "n_shingles", "component_id").collect()
-        assert counted(got) == counted(brute_classes(rows, size, percent))
+    got = jaccard.classes(df, size, percent).select("doc_id", "n_shingles", "component_id").collect()
+    assert counted(got) == counted(brute_classes(rows, size, percent))
 
 
 def test_signatures_are_shared_by_linked_sets():
