@@ -30,18 +30,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import PACKED_DDL, QUESTION, WITNESS, _rows, part_of, parts_for, to_documents
-from .storage import stage
-from .textarrays import LOWER, WORD_SEPARATOR, U, chunks, mix, ragged, rolling, slice_binary
+from .storage import bounded_batches, broadcast_if_small, stage, tidy
+from .textarrays import LOWER, WORD_SEPARATOR, U, chunks, mix, portions, ragged, rolling, slice_binary
 
 WORD_SEED, SET_SEED = 41, 42
-SKETCH_BITS = 1024
+SKETCH_BITS, WIDE_BITS, WIDE_FROM = 1024, 8192, 800
 ALL_PAIRS = 12
 LOCAL_HOT = 24
-HUB_ROUNDS = 3
+HUB_ROUNDS, PARTNER_ROUNDS = 3, 2
 LOW32 = U(0xFFFFFFFF)
 
 
@@ -134,20 +135,34 @@ def signatures(value: np.ndarray, row: np.ndarray, rows: int, percent: int):
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def parity(value: np.ndarray, row: np.ndarray, rows: int, bits: int) -> np.ndarray:
+    """Parity sketches, ``bits`` bits a row: each shingle flips one bit."""
+    flips = np.bincount(row * bits + (value & U(bits - 1)).astype(np.int64), minlength=rows * bits)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(rows, bits // 64)
+
+
+def lists(values: np.ndarray, present: np.ndarray) -> pa.Array:
+    """The rows of ``values`` as lists where ``present``, null elsewhere."""
+    border = np.r_[0, np.cumsum(present * values.shape[1])].astype(np.int32)
+    made = pa.ListArray.from_arrays(pa.array(border), pa.array(values.reshape(-1)))
+    return pc.if_else(pa.array(present), made, pa.scalar(None, made.type)) if not present.all() else made
+
+
 def _describe(size: int):
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             for chunk in chunks(batch.column("text")):
                 value, row = shingle_sets(chunk, size)
                 count, node = node_of(value, row, chunk.rows)
-                bit = row * SKETCH_BITS + (value & U(SKETCH_BITS - 1)).astype(np.int64)
-                odd = (np.bincount(bit, minlength=chunk.rows * SKETCH_BITS) & 1).astype(np.uint8)
-                sketch = np.packbits(odd).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(chunk.rows + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(sketch))
+                sketch = parity(value, row, chunk.rows, SKETCH_BITS)
+                large = count >= WIDE_FROM
+                keep = large[row]
+                number = np.cumsum(large) - 1
+                wide = parity(value[keep], number[row[keep]], int(large.sum()), WIDE_BITS)
                 part = batch.slice(chunk.lo, chunk.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("rid"), pa.array(count, pa.int64()), pa.array(node, pa.int64(), mask=count == 0), lists],
-                    names=["doc_id", "rid", "n_shingles", "node", "sketch"],
+                    [part.column("doc_id"), part.column("rid"), pa.array(count, pa.int64()), pa.array(node, pa.int64(), mask=count == 0), lists(sketch, np.ones(chunk.rows, bool)), lists(wide, large)],
+                    names=["doc_id", "rid", "n_shingles", "node", "sketch", "wide"],
                 )
 
     return run
@@ -155,7 +170,7 @@ def _describe(size: int):
 
 def _send_signatures(size: int, percent: int, parts: int):
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             keys, owners = [], []
             seen: set[int] = set()
             for chunk in chunks(batch.column("text")):
@@ -281,7 +296,7 @@ def _unpack_pairs(table: pa.Table) -> pa.Table:
 
 def _sets(size: int):
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             for chunk in chunks(batch.column("text")):
                 value, row = shingle_sets(chunk, size)
                 part = batch.slice(chunk.lo, chunk.rows)
@@ -304,17 +319,23 @@ def _intersect(percent: int):
     return run
 
 
+SKETCHED = ("n", "sketch", "wide")
+
+
+def _side(info: DataFrame, side: str) -> DataFrame:
+    return info.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in SKETCHED])
+
+
 def _plausible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """Pairs that sizes and sketches do not refute."""
-    a = info.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("sketch").alias("s_u"))
-    b = info.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("sketch").alias("s_v"))
-    return pairs.join(a, "u").join(b, "v").filter(_may_link("n_u", "s_u", "n_v", "s_v", percent)).select("u", "v")
+    return pairs.join(_side(info, "u"), "u").join(_side(info, "v"), "v").filter(_may_link(percent)).select("u", "v")
 
 
-def _may_link(n_u: str, s_u: str, n_v: str, s_v: str, percent: int):
-    apart = F.aggregate(F.zip_with(s_u, s_v, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    sizes = 100 * F.least(n_u, n_v) >= percent * F.greatest(n_u, n_v)
-    return sizes & ((100 + percent) * apart <= (100 - percent) * (F.col(n_u) + F.col(n_v)))
+def _may_link(percent: int):
+    flipped = lambda s: F.aggregate(F.zip_with(f"{s}_u", f"{s}_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    apart = F.when(F.col("wide_u").isNotNull() & F.col("wide_v").isNotNull(), flipped("wide")).otherwise(flipped("sketch"))
+    sizes = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
+    return sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("n_u") + F.col("n_v")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -341,6 +362,35 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _settle_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links among ``pairs`` that span the components of all of them, and the components' labels.
+
+    At first each node is compared with the partner that has most pairs, so in a round a
+    set travels once; pairs that then lie within a component need no test.
+    """
+    links, labels = None, None
+    for turn in range(PARTNER_ROUNDS + 1):
+        if turn < PARTNER_ROUNDS:
+            both = pairs.select(F.col("u").alias("x"), F.col("v").alias("y")).union(pairs.select("v", "u"))
+            degree = both.groupBy("x").agg(F.count("*").alias("d")).withColumnRenamed("x", "y")
+            best = both.join(degree, "y").groupBy("x").agg(F.max_by("y", F.struct(F.col("d"), -F.col("y"))).alias("y"))
+            picked = stage(best.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+        else:
+            picked = pairs
+        found = stage(_verified(picked, sets, percent))
+        tidy(pairs.sparkSession)
+        links = found if links is None else links.union(found)
+        labels = components(links)
+        if turn == PARTNER_ROUNDS:
+            break
+        at = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l_{side}"))
+        rest = pairs.join(picked, ["u", "v"], "left_anti").join(at("u"), "u", "left").join(at("v"), "v", "left")
+        pairs = stage(rest.filter(~F.coalesce(F.col("l_u") == F.col("l_v"), F.lit(False))).select("u", "v"))
+        if pairs.isEmpty():
+            break
+    return links, labels
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
@@ -351,23 +401,25 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str =
     component_id is the smallest doc_id reachable by links, itself included. rid is a
     hash of id and text.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    described = stage(docs.mapInArrow(_describe(size), f"doc_id {kind}, rid long, n_shingles long, node long, sketch array<long>"))
-    info = described.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("rid").alias("rid"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    described = stage(docs.mapInArrow(_describe(size), f"doc_id {kind}, rid long, n_shingles long, node long, sketch array<long>, wide array<long>"))
+    info = described.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("rid").alias("rid"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     info = stage(info)
     parts = parts_for(docs)
     sent = docs.select("text").mapInArrow(_send_signatures(size, percent, parts), PACKED_DDL)
     paired = sent.groupBy("part").applyInArrow(_pair_up(parts), PACKED_DDL)
     found = stage(paired.groupBy("part").applyInArrow(_unpack_pairs, "u long, v long, sig long"))
+    tidy(docs.sparkSession)
     members = found.filter("u = v").select(F.col("u").alias("node"), "sig").distinct()
     tested = stage(_plausible(found.filter("u != v").select("u", "v").distinct(), info, percent))
     needed = tested.select(F.col("u").alias("node")).union(tested.select("v")).union(members.select("node")).distinct()
-    needed = needed.join(info, "node").select("rid", "node")
+    needed = broadcast_if_small(needed.join(info, "node").select("rid", "node"))
     sets = docs.select("rid", "text").join(needed, "rid").select("node", "text").mapInArrow(_sets(size), "node long, set binary")
     sets = stage(sets.groupBy("node").agg(F.first("set").alias("set")), "none")
-    links = stage(_verified(tested, sets, percent))
-    labels = components(links)
+    tidy(docs.sparkSession)
+    links, labels = _settle_pairs(tested, sets, percent)
     members = stage(members)
     for turn in range(HUB_ROUNDS + 1):
         open_ = _labelled(members, labels)
@@ -375,18 +427,18 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str =
         open_ = stage(open_.join(split, "sig", "left_semi"))
         if open_.isEmpty():
             break
-        narrow = info.select("node", "n", "sketch")
-        open_ = open_.join(narrow, "node")
+        open_ = open_.join(info.select("node", *SKETCHED), "node")
+        one = open_.select("sig", *[F.col(c).alias(f"{d}_u") for c, d in zip(("node", "label", *SKETCHED), ("id", "l", *SKETCHED), strict=True)])
         if turn < HUB_ROUNDS:
             degree = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count("*").alias("degree"))
             rank = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.xxhash64("node", F.lit(turn)).alias("draw"))
-            hubs = open_.join(degree, "node", "left").groupBy("sig").agg(F.max_by(F.struct("node", "label", "n", "sketch"), rank).alias("hub"))
-            other = hubs.select("sig", F.col("hub.node").alias("v"), F.col("hub.label").alias("l_v"), F.col("hub.n").alias("n_v"), F.col("hub.sketch").alias("s_v"))
+            hubs = open_.join(degree, "node", "left").groupBy("sig").agg(F.max_by(F.struct("node", "label", *SKETCHED), rank).alias("hub"))
+            other = hubs.select("sig", "hub.*")
         else:
-            other = open_.select("sig", F.col("node").alias("v"), F.col("label").alias("l_v"), F.col("n").alias("n_v"), F.col("sketch").alias("s_v"))
-        one = open_.select("sig", F.col("node").alias("u"), F.col("label").alias("l_u"), F.col("n").alias("n_u"), F.col("sketch").alias("s_u"))
+            other = open_.select("sig", "node", "label", *SKETCHED)
+        other = other.select("sig", F.col("node").alias("id_v"), F.col("label").alias("l_v"), *[F.col(c).alias(f"{c}_v") for c in SKETCHED])
         apart = F.col("l_u") < F.col("l_v") if turn == HUB_ROUNDS else F.col("l_u") != F.col("l_v")
-        more = one.join(other, "sig").filter(apart & _may_link("n_u", "s_u", "n_v", "s_v", percent))
+        more = one.join(other, "sig").filter(apart & _may_link(percent)).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
         more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
         more = stage(more)
         tested = tested.union(more)
@@ -403,10 +455,15 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str =
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of each class, all columns: that of the smallest doc_id. Rows without words all stay."""
-    marked = classes(docs, size, percent)
-    best = marked.filter("node is not null").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id"), F.col("rid"))).alias("best")).select(F.col("best.rid").alias("_rid"))
-    bare = marked.filter("node is null").select(F.col("rid").alias("_rid")).distinct()
-    keep = stage(best.withColumn("_once", F.lit(True)).union(bare.withColumn("_once", F.lit(False))).groupBy("_rid").agg(F.min("_once").alias("_once")))
-    rows = docs.withColumn("_rid", F.xxhash64("doc_id", "text")).join(keep, "_rid")
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_rid").orderBy("doc_id")))
-    return rows.filter(~F.col("_once") | (F.col("_k") == 1)).select(*docs.columns)
+    marked = stage(classes(docs, size, percent).filter("node is not null").select("doc_id", "rid", "component_id"))
+    best = marked.groupBy("component_id").agg(F.min(F.struct("doc_id", "rid")).alias("best")).select(F.col("best.rid").alias("rid"))
+    drop = marked.select("rid").distinct().join(best, "rid", "left_anti")
+    twice = stage(marked.groupBy("rid").agg(F.count("*").alias("n")).filter("n > 1").select("rid").join(best, "rid", "left_semi"))
+    rows = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
+    gone = broadcast_if_small(drop.union(twice).withColumnRenamed("rid", "_rid"))
+    kept = rows.join(gone, "_rid", "left_anti")
+    if not twice.isEmpty():  # rows that repeat a kept row
+        again = rows.join(broadcast_if_small(twice.withColumnRenamed("rid", "_rid")), "_rid", "left_semi")
+        again = again.withColumn("_k", F.row_number().over(Window.partitionBy("_rid").orderBy("doc_id"))).filter("_k = 1").drop("_k")
+        kept = kept.unionByName(again)
+    return kept.select(*docs.columns)
