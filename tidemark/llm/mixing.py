@@ -50,7 +50,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     t = t.withColumn("caps", F.sum("cap").over(fill) - F.col("cap"))
     t = t.withColumn("open", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
     t = t.withColumn("full", F.col("cap") * F.col("open") <= (F.col("budget") - F.col("caps")) * F.col("weight"))
-    level = (F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(everything)) / F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(everything)
+    left = F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(everything)
+    level = F.try_divide(left, F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(everything))
     return t.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * level)).select("source", "place", "weight", "source_size", "target")
 
 
