@@ -112,7 +112,7 @@ def assign(rows: DataFrame, shards: int = 16) -> DataFrame:
     spark = rows.sparkSession
     rows = stage(rows)
     names = rows.columns
-    totals = rows.groupBy("group").agg(F.sum("size").alias("_weight"))
+    totals = stage(rows.groupBy("group").agg(F.sum("size").alias("_weight")))  # staged: a join of plain scans can split a hot group
     ordered = rows.join(totals.withColumnRenamed("group", "_group"), F.col("group").eqNullSafe(F.col("_group"))).drop("_group")
     keys = [F.col("_weight").desc(), F.col("group"), F.col("doc_id")]
     ordered = ordered.repartitionByRange(shuffle_width(spark), *keys).sortWithinPartitions(*keys)
