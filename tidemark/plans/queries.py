@@ -451,30 +451,30 @@ def _query_vectors(spark: SparkSession, sf_dir: str, windowed: bool) -> DataFram
 _SEARCH = f"""WITH {v.ARTICLES}, q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS e,
     strftime(DATE '2024-01-05' + CAST(vec_id % 40 AS INTEGER), '%Y-%m-%d') AS start, strftime(DATE '2024-01-25' + CAST(vec_id % 60 AS INTEGER), '%Y-%m-%d') AS cutoff FROM embeddings WHERE vec_id % 50 = 0),
   s AS (SELECT query_id, article_id, published_date, start, cutoff, round(list_inner_product(e, list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_inner_product(e, e)), 6) AS score FROM q, articles)"""
-_TOP = "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) AS INTEGER) AS rank, article_id, round(score, 6) AS score FROM {rows} QUALIFY rank <= {k}"
+_TOP = "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) AS INTEGER) AS rank, article_id, round(score, {digits}) AS score FROM {rows} QUALIFY rank <= {k}"
 
 
-def _hits(hits: DataFrame) -> DataFrame:
-    return hits.select("query_id", "rank", "article_id", F.round("score", 6).alias("score"))
+def _hits(hits: DataFrame, digits: int = 6) -> DataFrame:
+    return hits.select("query_id", "rank", "article_id", F.round("score", digits).alias("score"))
 
 
-@query(f"{_SEARCH} {_TOP.format(rows='s', k=5)}")
+@query(f"{_SEARCH} {_TOP.format(rows='s', k=5, digits=6)}")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(retrieval.search(v.articles(spark, sf_dir), _query_vectors(spark, sf_dir, False), k=5))
 
 
-@query(f"{_SEARCH}, w AS (SELECT * FROM s WHERE published_date BETWEEN start AND cutoff) {_TOP.format(rows='w', k=5)}")
+@query(f"{_SEARCH}, w AS (SELECT * FROM s WHERE published_date BETWEEN start AND cutoff) {_TOP.format(rows='w', k=5, digits=6)}")
 def vector_topk_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(retrieval.search(v.articles(spark, sf_dir), _query_vectors(spark, sf_dir, True), k=5))
 
 
 @query(f"""{_SEARCH}, pool AS (SELECT * FROM s WHERE published_date BETWEEN start AND cutoff QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) <= 20),
-  b AS (SELECT query_id, article_id, round(0.7 * score + 0.3 * (1.0 - least(greatest(date_diff('day', published_date::DATE, cutoff::DATE), 0) / 180.0, 1.0)), 9) AS score FROM pool) {_TOP.format(rows='b', k=5)}""")
+  b AS (SELECT query_id, article_id, round(0.7 * score + 0.3 * (1.0 - least(greatest(date_diff('day', published_date::DATE, cutoff::DATE), 0) / 180.0, 1.0)), 9) AS score FROM pool) {_TOP.format(rows='b', k=5, digits=8)}""")
 def vector_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles, asked = v.articles(spark, sf_dir), _query_vectors(spark, sf_dir, True)
     pool = retrieval.search(articles, asked, k=20).drop("rank").withColumn("score", F.round("score", 6))
     dated = pool.join(articles.select("article_id", "published_date"), "article_id").join(asked.select("query_id", "cutoff"), "query_id")
-    return _hits(retrieval.rerank(dated, 5, 0.7, 180.0))
+    return _hits(retrieval.rerank(dated, 5, 0.7, 180.0), 8)  # blends of 6-digit scores tie at the seventh digit
 
 
 @query(f"WITH {v.ARTICLES} SELECT shard, count(*) AS n FROM articles WHERE shard BETWEEN '2024-01' AND '2024-02' GROUP BY 1")
