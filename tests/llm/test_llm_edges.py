@@ -7,10 +7,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, jaccard, mixing, quality, recompression, sharding, suffixdedup, tokencount, urlfilter
+from tidemark.llm import chat, decontamination, jaccard, mixing, quality, recompression, sharding, suffixdedup, textarrays, tokencount, urlfilter
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, part int, rid string, found string, node int"
@@ -164,6 +166,32 @@ def test_jaccard_in_large_groups(spark, length, copies, edits, size, percent):
     assert counted(got) == counted(brute_classes(rows, size, percent))
 
 
+def test_jaccard_links_between_batches_of_a_large_group():
+    """A mapper holds a large group; another holds a few sets that link with a member each, by that group's signature only."""
+    parts, (here, there) = 3, ([], [])
+    for f in range(20):
+        base = [f"f{f}b{i}" for i in range(12)]
+        here += [" ".join([*base, f"f{f}m{k}x0"]) for k in range(30)]
+        there += [" ".join([here[-30 + k], *(f"f{f}o{k}x{i}" for i in range(3))]) for k in range(1, 30, 3)]
+    nodes, sent = [], []
+    for texts in (here, there):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+        for chunk in textarrays.chunks(batch.column("text")):
+            nodes += jaccard.node_of(*jaccard.shingle_sets(chunk, 1), chunk.rows)[1].tolist()
+        sent += jaccard._send_signatures(1, 75, parts)([batch])
+    deal = lambda rows, run: [run(t) for p in range(parts) if len(t := rows.filter(pc.equal(rows["part"], p)))]
+    paired = pa.concat_tables(deal(pa.Table.from_batches(sent), jaccard._pair_up(parts)))
+    marks, pairs = {}, set()
+    for row in pa.concat_tables(deal(paired, jaccard._unpack_pairs)).to_pylist():
+        pairs.add((row["u"], row["v"]))
+        if row["u"] == row["v"]:
+            marks.setdefault(row["u"], set()).add(row["sig"])
+    for f in range(20):
+        for n, k in enumerate(range(1, 30, 3)):
+            a, b = nodes[30 * f + k], nodes[600 + 10 * f + n]
+            assert (min(a, b), max(a, b)) in pairs or marks.get(a, set()) & marks.get(b, set())
+
+
 def test_signatures_are_shared_by_linked_sets():
     draw = np.random.default_rng(5)
     for _ in range(300):

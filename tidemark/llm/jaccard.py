@@ -16,7 +16,7 @@ those than there are spares, so no link is lost.
 Signatures meet in a shuffle of packed keys. Small groups give all their pairs; in
 larger ones each member is paired with the group's hub, the member that shares most.
 A group that a mapper finds large is paired with its hub there and sends only the hub
-on. Pairs are refuted by size and by parity sketches (the sketches of two sets differ in
+on, marked as such: whom the hub meets elsewhere counts as a member of a large group. Pairs are refuted by size and by parity sketches (the sketches of two sets differ in
 no more bits than the sets in shingles) and decided by exact intersection. Large groups
 that then still span several components are searched again, with other hubs first and
 for all pairs across components in the end. The components are therefore those of all
@@ -34,13 +34,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import PACKED_DDL, QUESTION, WITNESS, _rows, part_of, parts_for, to_documents
+from .exchange import ANSWER, PACKED_DDL, QUESTION, WITNESS, _rows, part_of, parts_for, to_documents
 from .storage import bounded_batches, broadcast_if_small, stage, tidy
 from .textarrays import LOWER, WORD_SEPARATOR, U, chunks, mix, portions, ragged, rolling, slice_binary
 
 WORD_SEED, SET_SEED = 41, 42
 SKETCH_BITS, WIDE_BITS, WIDE_FROM = 1024, 8192, 800
 ALL_PAIRS = 12
+HUB = ANSWER  # kind of rows with hubs that stand for a large group of their mapper
 LOCAL_HOT = 24
 HUB_ROUNDS, PARTNER_ROUNDS = 3, 2
 LOW32 = U(0xFFFFFFFF)
@@ -196,9 +197,10 @@ def _send_signatures(size: int, percent: int, parts: int):
             new = np.r_[True, ordered[1:] != ordered[:-1]] if len(order) else np.zeros(0, bool)
             group = np.cumsum(new) - 1
             hot = (np.bincount(group) > LOCAL_HOT)[group] if len(order) else new
-            send = order[~hot | new]
             part = part_of(key, parts)
-            yield _rows(QUESTION, part[send], at[send], (key[send] & LOW32).astype(np.uint32), nodes)
+            for kind, send in ((QUESTION, order[~hot]), (HUB, order[hot & new])):
+                if len(send):
+                    yield _rows(kind, part[send], at[send], (key[send] & LOW32).astype(np.uint32), nodes)
             if hot.any():
                 hub = order[np.flatnonzero(new)[group]]
                 member, hub = order[hot], hub[hot]
@@ -241,21 +243,24 @@ def _pair_up(parts: int):
             column = table[name].filter(pa.array(kind == k))
             return ragged(pa.concat_arrays(column.chunks), dtype)[0] if len(column) else np.zeros(0, dtype)
 
-        key = values("keys", QUESTION, np.uint32)
-        node = np.repeat(values("docs", QUESTION, np.int64), values("counts", QUESTION, np.int32))
+        sides = [(values("keys", k, np.uint32), np.repeat(values("docs", k, np.int64), values("counts", k, np.int32))) for k in (QUESTION, HUB)]
+        key, node = (np.concatenate(x) for x in zip(*sides, strict=True))
+        met = np.isin(key, sides[1][0])  # the key's group is large in some mapper
         order = np.lexsort((node, key))
-        key, node = key[order], node[order]
+        key, node, met = key[order], node[order], met[order]
         fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(key) else np.zeros(0, bool)
-        key, node = key[fresh], node[fresh]
+        key, node, met = key[fresh], node[fresh], met[fresh]
         new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
         group = np.cumsum(new) - 1
         size = np.bincount(group) if len(key) else np.zeros(0, np.int64)
         shared = size[group] > 1 if len(key) else new
-        key, node, size_of = key[shared], node[shared], size[group][shared] if len(key) else size
+        key, node, met, size_of = key[shared], node[shared], met[shared], size[group][shared] if len(key) else size
         found = [(np.zeros(0, np.int64),) * 3]
         for step in range(1, ALL_PAIRS):  # pairs of members that far apart, in all small groups at once
             a = np.flatnonzero((key[step:] == key[:-step]) & (size_of[step:] <= ALL_PAIRS)) if len(key) > step else np.zeros(0, np.int64)
             found.append((node[a], node[a + step], np.zeros(len(a), np.int64)))
+        small = met & (size_of <= ALL_PAIRS)
+        found.append((node[small], node[small], (np.int64(own) << 32) | key[small].astype(np.int64)))
         large = size_of > ALL_PAIRS
         if large.any():
             k, n = key[large], node[large]
