@@ -69,6 +69,24 @@ def test_recompression_anchors_are_consistent(alphabet):
         assert found.setdefault(word[p : p + 35].tobytes(), mine) == mine
 
 
+def test_recompression_anchors_before_periodic_tails():
+    """A window that ends within a run or a period has the same anchor however far that goes on."""
+    draw = np.random.default_rng(7)
+    name = draw.integers(1, 1 << 60, 4000, dtype=np.int64).astype(np.uint64)
+    docs = []
+    for case in range(200):
+        head, tail = name[draw.integers(0, 4000, 60 - case % 20)], name[draw.integers(0, 4000, 1 + case % 3)]
+        for length in (30, 31, 37, 52):
+            docs.append(np.r_[head, np.resize(tail, length), name[draw.integers(0, 4000, 20)]])
+    word, row = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    first = recompression._starts(row, 35)
+    key, place, anchor = recompression.anchors(word, row, first, 35)
+    found: dict = {}
+    for p, a in zip(first, anchor, strict=True):
+        mine = None if a < 0 else (int(key[a]), int(place[a] - p))
+        assert found.setdefault(word[p : p + 35].tobytes(), mine) == mine
+
+
 def test_suffix_dedup(docs, none):
     texts = [(d, (t or "").encode()) for d, t, *_ in CASES]
     least: dict = {}

@@ -95,7 +95,8 @@ def anchors(word: np.ndarray, row: np.ndarray, first: np.ndarray, width: int, ro
     r = rolling(CONTEXT_SEED)
     prefix = r.prefix(word)
     lo, hi = np.clip(b.lo, 0, n), np.clip(b.hi, 0, n)
-    key = mix(r.slices(prefix, lo, hi) + b.name * ODD + (b.at - lo).astype(U) * ODDER + (hi - lo).astype(U))
+    # Not the name of the symbol at the border: its end may be decided beyond hi.
+    key = mix(r.slices(prefix, lo, hi) + (b.at - lo).astype(U) * ODDER + (hi - lo).astype(U))
     begin = np.cumsum(np.bincount(b.lo + 1, minlength=n + 2))[first]
     end = np.cumsum(np.bincount(b.hi, minlength=n + 2))[first + width]
     size = end - begin
