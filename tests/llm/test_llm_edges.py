@@ -54,11 +54,11 @@ def test_recompression(docs, none):
     assert recompression.remove_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("alphabet", [2, 3, 40])
-def test_recompression_anchors_are_consistent(alphabet):
+@pytest.mark.parametrize("n_symbols", [2, 3, 40])
+def test_recompression_anchors_are_consistent(n_symbols):
     """Equal windows have the same anchor at the same place, or both have none."""
-    draw = np.random.default_rng(alphabet)
-    word = draw.integers(1, 1 << 60, alphabet, dtype=np.int64).astype(np.uint64)[draw.integers(0, alphabet, 3000)]
+    draw = np.random.default_rng(n_symbols)
+    word = draw.integers(1, 1 << 60, n_symbols, dtype=np.int64).astype(np.uint64)[draw.integers(0, n_symbols, 3000)]
     word[2000:2400] = word[100:500]
     row = np.repeat([0, 1, 2], 1000)
     first = recompression._starts(row, 35)

@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches
 from .textarrays import ALNUM_SEPARATOR, LOWER, U, chunks, portions
 
 BLOCK_BYTES = 8 << 20
@@ -166,7 +165,6 @@ def _blocks(benchmark: DataFrame, width: int, block_bytes: int):
 
 
 def _search_all(docs: DataFrame, benchmark: DataFrame, width: int, item_column: str, item_text: str, block_bytes: int, keep_text: bool) -> DataFrame:
-    bounded_batches(docs.sparkSession)
     items = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
     blocks = list(_blocks(items, width, block_bytes))
     for k, tests in enumerate(blocks):

@@ -3,7 +3,8 @@
 A document's set holds its distinct shingles of ``size`` words (A-Z lower-cased); with
 fewer words the whole sequence is the one shingle; without words the set is empty and
 links with nothing. Documents link when their Jaccard similarity is at least
-``percent`` per cent. Documents with equal sets are one node of the link graph.
+``percent`` per cent. Documents with equal sets are one node of the link graph, named by
+64 bits of their shingles.
 
 PartEnum: sets fall into bands by size, such that linked sets are in one band or in
 neighbouring ones; a set takes part in its own band and the next. For a band whose sets
@@ -16,14 +17,23 @@ those than there are spares, so no link is lost.
 Signatures meet in a shuffle of packed keys. Small groups give all their pairs; in
 larger ones each member is paired with the group's hub, the member that shares most.
 A group that a mapper finds large is paired with its hub there and sends only the hub
-on, marked as such: whom the hub meets elsewhere counts as a member of a large group. Pairs are refuted by size and by parity sketches (the sketches of two sets differ in
-no more bits than the sets in shingles) and decided by exact intersection. Large groups
-that then still span several components are searched again, with other hubs first and
-for all pairs across components in the end. The components are therefore those of all
-links; pairs inside a component are tested only as far as that takes.
+on, marked as such: whom the hub meets elsewhere counts as a member of a large group.
+Pairs are refuted by size and by parity sketches (the sketches of two sets differ in no
+more bits than the sets in shingles) and decided by exact intersection, for which a set
+with many partners is sent once for each ``FAN`` of them.
+
+Large groups that then still span several components are searched again, with other hubs
+at first. What even then spans several is joined by prefixes: of two linked sets, the
+shingles rarest among the open groups' sets have one in common, so only sets that share
+such a rare shingle, and only across components, become pairs. The components are
+therefore those of all links; pairs inside a component are tested only as far as that
+takes. Components are found by contraction: each task reduces its links to stars, nodes
+with several roots link these, and the few links between roots are contracted again.
 
 A null text has no words. Repeated rows and ties share a node. Null ids are ignored in
-the choice of the smallest id. Extra columns are ignored. Ids are integers.
+the choice of the smallest id. Texts of any length are handled whole, by one task. An
+empty table gives an empty result. Extra columns are ignored, whatever their names. Ids
+are integers.
 """
 
 from __future__ import annotations
@@ -31,11 +41,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import ANSWER, PACKED_DDL, QUESTION, WITNESS, _rows, part_of, parts_for, to_documents
-from .storage import bounded_batches, broadcast_if_small, stage, tidy
+from .storage import broadcast_if_small, release, shuffle_width, stage, with_rid
 from .textarrays import LOWER, WORD_SEPARATOR, U, chunks, mix, portions, ragged, rolling, slice_binary
 
 WORD_SEED, SET_SEED = 41, 42
@@ -44,6 +54,8 @@ ALL_PAIRS = 12
 HUB = ANSWER  # kind of rows with hubs that stand for a large group of their mapper
 LOCAL_HOT = 24
 HUB_ROUNDS, PARTNER_ROUNDS = 3, 2
+#: Partners for which a set is sent once; bytes of sets that are intersected together; links that are contracted together.
+FAN, BUCKET_BYTES, CONTRACTED = 256, 16 << 20, 1 << 20
 LOW32 = U(0xFFFFFFFF)
 
 
@@ -311,15 +323,31 @@ def _sets(size: int):
 
 
 def _intersect(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)
-                both = len(a) + len(b) - len(np.union1d(a, b))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
+    """Links among the rows of a bucket: a set (member null) and the sets of some of its partners."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        alone = table["member"].is_null()
+        heads, rest = table.filter(alone), table.filter(pc.invert(alone))
+        held = {h: np.frombuffer(x.as_buffer(), U) for h, x in zip(heads["hub"].to_pylist(), heads["set"], strict=True)}
+        hub, member = (rest[c].to_numpy() for c in ("hub", "member"))
+        chunks_ = rest["set"].chunks
+        flat, counts = ragged(pa.concat_arrays(chunks_), U) if chunks_ else (np.zeros(0, U), np.zeros(0, np.int64))
+        end = np.cumsum(counts)
+        linked = np.zeros(len(hub), bool)
+        order = np.argsort(hub, kind="stable")
+        head = np.flatnonzero(np.r_[True, hub[order][1:] != hub[order][:-1]]) if len(hub) else order
+        for lo, hi in zip(head, np.r_[head[1:], len(order)], strict=True):
+            own = held[int(hub[order[lo]])]
+            for i in np.array_split(order[lo:hi], 1 + int(counts[order[lo:hi]].sum()) // CONTRACTED):
+                if not len(i):
+                    continue
+                n = counts[i]
+                begin = np.cumsum(n) - n
+                values = flat[np.repeat(end[i] - n - begin, n) + np.arange(int(n.sum()))]
+                both = np.add.reduceat(own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values, begin, dtype=np.int64)
+                linked[i] = 100 * both >= percent * (len(own) + n - both)
+        return pa.table({"u": np.minimum(hub, member)[linked], "v": np.maximum(hub, member)[linked]})
 
     return run
 
@@ -344,27 +372,83 @@ def _may_link(percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    a = sets.select(F.col("node").alias("u"), F.col("set").alias("a"))
-    b = sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
-    return pairs.join(a, "u").join(b, "v").mapInArrow(_intersect(percent), "u long, v long")
-
+    """Links among ``pairs``, by exact intersection.
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) of every node with a link: least node of its component.
-
-    Least labels spread along links and jump along labels, so long chains halve.
+    Of each pair the one with more partners is the hub; its set goes once to each ``FAN`` of them.
     """
-    both = stage(links.select(F.col("u").alias("a"), F.col("v").alias("b")).union(links.select("v", "u")).distinct())
-    labels = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
+    both = pairs.select(F.col("u").alias("x"), F.col("v").alias("y")).union(pairs.select("v", "u"))
+    degree = both.groupBy("x").agg(F.count("*").alias("d"))
+    at = lambda side: degree.select(F.col("x").alias(side), F.col("d").alias(f"d_{side}"))
+    known = pairs.join(at("u"), "u").join(at("v"), "v")
+    high = F.col("d_u") > F.col("d_v")
+    rows = known.select(F.when(high, F.col("u")).otherwise(F.col("v")).alias("hub"), F.when(high, F.col("v")).otherwise(F.col("u")).alias("member"), F.greatest("d_u", "d_v").alias("d"))
+    rows = stage(rows.withColumn("salt", F.pmod(F.xxhash64("member"), F.ceil(F.col("d") / FAN))).drop("d"))
+    whole = rows.join(sets.select(F.col("node").alias("member"), "n"), "member").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(shuffle_width(pairs.sparkSession), 1 + 8 * whole // BUCKET_BYTES)
+    bucket = F.pmod(F.xxhash64("hub", "salt"), F.lit(buckets)).cast("int").alias("bucket")
+    members = rows.join(sets.select(F.col("node").alias("member"), "set"), "member").select(bucket, "hub", "member", "set")
+    hubs = rows.select("hub", "salt").distinct().join(sets.select(F.col("node").alias("hub"), "set"), "hub").select(bucket, "hub", F.lit(None).cast("long").alias("member"), "set")
+    return members.unionAll(hubs).groupBy("bucket").applyInArrow(_intersect(percent), "u long, v long")
+
+
+def local_components(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links and the least node of each one's component."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(names))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = stage(step)
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        after = stage(step.join(jump, "label").select("node", "old", F.col("root").alias("label")))
-        labels = after.select("node", "label")
-        if after.filter("old != label").isEmpty():
-            return labels
+        low = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, label[a], low)
+        np.minimum.at(after, label[b], low)
+        while (after != after[after]).any():
+            after = after[after]
+        if (after == label).all():
+            return names, names[label]
+        label = after
+
+
+def _contract(batches):
+    """Links as stars: (least node, node) for each node of a component of the task's links, some at a time."""
+    held, size = [], 0
+
+    def stars():
+        nodes, roots = local_components(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(roots), pa.array(nodes)], names=["u", "v"])
+
+    for batch in batches:
+        held.append(tuple(batch.column(c).to_numpy() for c in ("u", "v")))
+        size += batch.num_rows
+        if size >= CONTRACTED:
+            yield stars()
+            held, size = [], 0
+    if size:
+        yield stars()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Staged (node, label) of every node with a link: least node of its component."""
+    stars = stage(links.select("u", "v").mapInArrow(_contract, "u long, v long"))
+    least = stage(stars.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"), F.max("u").alias("other")))
+    torn = least.filter("label != other").select(F.col("node").alias("v"), "label")
+    between = stage(stars.join(torn, "v").filter("u != label").select(F.col("label").alias("u"), F.col("u").alias("v")).distinct())
+    if between.isEmpty():
+        return least.select("node", "label")
+    up = components(between).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    labels = stage(least.select("node", "label").join(up, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+    release(stars, least, between)
+    return labels
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Staged labels after more links: only components that these join are worked on."""
+    if labels is None:
+        return components(links)
+    at = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l_{side}"))
+    ends = links.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("l_u", "u").alias("u"), F.coalesce("l_v", "v").alias("v"))
+    up = components(stage(ends.filter("u != v").distinct()))
+    old = labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return stage(old.unionAll(up.join(labels.select("node"), "node", "left_anti")))
 
 
 def _settle_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -383,9 +467,8 @@ def _settle_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
         else:
             picked = pairs
         found = stage(_verified(picked, sets, percent))
-        tidy(pairs.sparkSession)
         links = found if links is None else links.union(found)
-        labels = components(links)
+        labels = merged(labels, found)
         if turn == PARTNER_ROUNDS:
             break
         at = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l_{side}"))
@@ -396,18 +479,75 @@ def _settle_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
     return links, labels
 
 
+def _explode_sets(batches):
+    for batch in batches:
+        flat, counts = ragged(batch.column("set"), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), counts)), pa.array(flat)], names=["node", "shingle"])
+
+
+def _prefixes(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node): of each node's set the shingles, rarest among ``nodes`` first, of which it shares one at least with every set it links with."""
+    shingles = sets.join(nodes, "node", "left_semi").select("node", "set").mapInArrow(_explode_sets, "node long, shingle long")
+    shingles = stage(shingles)
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
+    held = shingles.join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
+    held = held.join(sets.select("node", "n"), "node")
+    take = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
+    return held.select("node", F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), take).cast("int"))).alias("e")).select(F.col("e.shingle").alias("shingle"), "node")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Staged (node, sig, label) of the large groups that span several components."""
+    rows = _labelled(members.select("node", "sig"), labels)
+    split = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("sig")
+    return stage(rows.join(broadcast_if_small(split), "sig", "left_semi"))
+
+
+def _across(one: DataFrame, other: DataFrame, key: str, condition, percent: int) -> DataFrame:
+    """Plausible pairs (u, v) of rows of ``one`` and ``other`` (key, node, label, sketches) that share the key."""
+    named = lambda rows, side: rows.select(key, *[F.col(c).alias(f"{d}_{side}") for c, d in zip(("node", "label", *SKETCHED), ("id", "l", *SKETCHED), strict=True)])
+    met = named(one, "u").join(named(other, "v"), key).filter(condition & _may_link(percent))
+    return met.select(F.least("id_u", "id_v").alias("u"), F.greatest("id_u", "id_v").alias("v")).distinct()
+
+
+def _close_groups(members: DataFrame, tested: DataFrame, links: DataFrame, labels: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Labels after the links that large groups hold across components."""
+    for turn in range(HUB_ROUNDS + 1):
+        members = _open_groups(members, labels)
+        if members.isEmpty():
+            break
+        rows = members.join(info.select("node", *SKETCHED), "node")
+        if turn < HUB_ROUNDS:
+            degree = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count("*").alias("degree"))
+            rank = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.xxhash64("node", F.lit(turn)).alias("draw"))
+            hubs = rows.join(degree, "node", "left").groupBy("sig").agg(F.max_by(F.struct("node", "label", *SKETCHED), rank).alias("hub")).select("sig", "hub.*")
+            more = _across(rows, hubs, "sig", F.col("l_u") != F.col("l_v"), percent)
+        else:
+            nodes = stage(members.select("node", "label").distinct())
+            prefixes = _prefixes(sets, nodes, percent).join(nodes, "node").join(info.select("node", *SKETCHED), "node")
+            prefixes = stage(prefixes)
+            more = _across(prefixes, prefixes, "shingle", F.col("l_u") < F.col("l_v"), percent)
+        more = stage(more.join(tested, ["u", "v"], "left_anti"))
+        tested = tested.union(more)
+        fresh = stage(_verified(more, sets, percent))
+        if not fresh.isEmpty():
+            links = links.union(fresh)
+            labels = merged(labels, fresh)
+    return labels
+
+
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, rid, n_shingles, node and component_id of each row of ``docs``.
+    """doc_id, rid, n_shingles, node, label and component_id of each row of ``docs``.
 
-    component_id is the smallest doc_id reachable by links, itself included. rid is a
-    hash of id and text.
+    component_id is the smallest doc_id reachable by links, itself included; label names
+    the component (null for a row without words); rid is the id itself, or a hash of id
+    and text where ids repeat or are null.
     """
-    bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    docs = with_rid(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     described = stage(docs.mapInArrow(_describe(size), f"doc_id {kind}, rid long, n_shingles long, node long, sketch array<long>, wide array<long>"))
     info = described.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("rid").alias("rid"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
@@ -416,59 +556,35 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str =
     sent = docs.select("text").mapInArrow(_send_signatures(size, percent, parts), PACKED_DDL)
     paired = sent.groupBy("part").applyInArrow(_pair_up(parts), PACKED_DDL)
     found = stage(paired.groupBy("part").applyInArrow(_unpack_pairs, "u long, v long, sig long"))
-    tidy(docs.sparkSession)
-    members = found.filter("u = v").select(F.col("u").alias("node"), "sig").distinct()
+    members = found.filter("u = v").select(F.col("u").alias("node"), "sig")
     tested = stage(_plausible(found.filter("u != v").select("u", "v").distinct(), info, percent))
     needed = tested.select(F.col("u").alias("node")).union(tested.select("v")).union(members.select("node")).distinct()
     needed = broadcast_if_small(needed.join(info, "node").select("rid", "node"))
     sets = docs.select("rid", "text").join(needed, "rid").select("node", "text").mapInArrow(_sets(size), "node long, set binary")
-    sets = stage(sets.groupBy("node").agg(F.first("set").alias("set")), "none")
-    tidy(docs.sparkSession)
+    sets = stage(sets.groupBy("node").agg(F.first("set").alias("set")).withColumn("n", (F.octet_length("set") / 8).cast("long")), "none")
     links, labels = _settle_pairs(tested, sets, percent)
-    members = stage(members)
-    for turn in range(HUB_ROUNDS + 1):
-        open_ = _labelled(members, labels)
-        split = open_.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("sig")
-        open_ = stage(open_.join(split, "sig", "left_semi"))
-        if open_.isEmpty():
-            break
-        open_ = open_.join(info.select("node", *SKETCHED), "node")
-        one = open_.select("sig", *[F.col(c).alias(f"{d}_u") for c, d in zip(("node", "label", *SKETCHED), ("id", "l", *SKETCHED), strict=True)])
-        if turn < HUB_ROUNDS:
-            degree = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count("*").alias("degree"))
-            rank = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.xxhash64("node", F.lit(turn)).alias("draw"))
-            hubs = open_.join(degree, "node", "left").groupBy("sig").agg(F.max_by(F.struct("node", "label", *SKETCHED), rank).alias("hub"))
-            other = hubs.select("sig", "hub.*")
-        else:
-            other = open_.select("sig", "node", "label", *SKETCHED)
-        other = other.select("sig", F.col("node").alias("id_v"), F.col("label").alias("l_v"), *[F.col(c).alias(f"{c}_v") for c in SKETCHED])
-        apart = F.col("l_u") < F.col("l_v") if turn == HUB_ROUNDS else F.col("l_u") != F.col("l_v")
-        more = one.join(other, "sig").filter(apart & _may_link(percent)).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
-        more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
-        more = stage(more)
-        tested = tested.union(more)
-        fresh = stage(_verified(more, sets, percent))
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            labels = components(links)
+    labels = _close_groups(members, tested, links, labels, info, sets, percent)
     labelled = _labelled(info.select("node", "first"), labels)
     smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    where = stage(labelled.join(smallest, "label").select("node", "component_id"))
+    where = stage(labelled.join(smallest, "label").select("node", "label", "component_id"))
+    release(info, found, tested, sets)
     out = described.select("doc_id", "rid", "n_shingles", "node").join(where, "node", "left")
-    return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).select("doc_id", "rid", "n_shingles", "node", "component_id")
+    return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).select("doc_id", "rid", "n_shingles", "node", "label", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each class, all columns: that of the smallest doc_id. Rows without words all stay."""
-    marked = stage(classes(docs, size, percent).filter("node is not null").select("doc_id", "rid", "component_id"))
-    best = marked.groupBy("component_id").agg(F.min(F.struct("doc_id", "rid")).alias("best")).select(F.col("best.rid").alias("rid"))
+    """One row of each class, all columns: that of the smallest doc_id (a null id comes last).
+
+    Rows without words all stay. Of rows that repeat the kept one in id and text, one stays.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = stage(classes(docs, size, percent).filter("node is not null").select("doc_id", "rid", "label"))
+    best = stage(marked.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("best")).select(F.col("best.rid").alias("rid")))
     drop = marked.select("rid").distinct().join(best, "rid", "left_anti")
     twice = stage(marked.groupBy("rid").agg(F.count("*").alias("n")).filter("n > 1").select("rid").join(best, "rid", "left_semi"))
-    rows = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
-    gone = broadcast_if_small(drop.union(twice).withColumnRenamed("rid", "_rid"))
-    kept = rows.join(gone, "_rid", "left_anti")
+    names = with_rid(docs.select("doc_id", "text", row)).select("rid", "row")
+    kept = names.join(broadcast_if_small(drop.union(twice)), "rid", "left_anti").select("row")
     if not twice.isEmpty():  # rows that repeat a kept row
-        again = rows.join(broadcast_if_small(twice.withColumnRenamed("rid", "_rid")), "_rid", "left_semi")
-        again = again.withColumn("_k", F.row_number().over(Window.partitionBy("_rid").orderBy("doc_id"))).filter("_k = 1").drop("_k")
-        kept = kept.unionByName(again)
-    return kept.select(*docs.columns)
+        again = names.join(broadcast_if_small(twice), "rid", "left_semi").groupBy("rid").agg(F.first("row").alias("row"))
+        kept = kept.unionAll(again.select("row"))
+    return kept.select("row.*")

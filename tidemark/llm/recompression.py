@@ -1,7 +1,7 @@
 """Substring deduplication on words by recompression.
 
 Every document is a sequence of word names. Rounds rename it: a run of one symbol
-becomes one symbol, then pairs whose left symbol falls in one half of the alphabet
+becomes one symbol, then pairs whose left symbol falls in one half of all names
 and whose right symbol in the other become one symbol. A name is a 64-bit
 fingerprint of what it stands for, so it is the same in every task: naming is global
 without a table of names, and all rounds run inside one Spark stage.
@@ -13,13 +13,15 @@ words occur. Of these, each window takes the one of least fingerprint as its anc
 
 1. Anchors' fingerprints meet in a shuffle of packed keys; those seen once end there.
 2. Windows whose anchor is shared are candidates. The few windows without an anchor
-   (long periodic stretches) are candidates too. Candidates are dealt by anchor and
-   compared by a fingerprint of all their words (64 bits, besides the anchor's own):
-   this verifies.
+   (long periodic stretches) are candidates too. Candidates are dealt by anchor, those
+   of hot anchors by all their words, so that a passage of very many documents spreads
+   over parts, and compared by a fingerprint of all their words (64 bits, within a part
+   of constant size): this verifies.
 3. Words under a window that was met twice are removed.
 
 A row is a document. A null text has no words; a null id is kept as null. Rows that
-repeat another row count as another place, so each of them loses its windows. Extra
+repeat another row count as another place, so each of them loses its windows. Texts of
+any length are handled whole, by one task. An empty table gives an empty result. Extra
 columns are ignored, whatever their names.
 """
 
@@ -32,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import ANSWER, PACKED_DDL, QUESTION, WITNESS, by_document, membership, pack, part_of, parts_for, shared_keys, to_documents
-from .storage import bounded_batches
+from .exchange import ANSWER, PACKED_DDL, QUESTION, WITNESS, Remembered, by_document, is_hot, membership, pack, part_of, parts_for, shared_keys, to_documents
+from .storage import release, stage, with_rid
 from .textarrays import WORD_SEPARATOR, U, chunks, mix, portions, ragged, rolling, slice_binary, span_lists, spans_of
 
 ROUNDS = 3
@@ -131,14 +133,15 @@ def _parsed(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield chunk, start, end, row, chunk.fingerprints(start, end, WORD_SEED)
 
 
-def _packed(batch, parts, part, key, doc):
+def _packed(batch, parts, part, key, doc, sent):
     if key:
         rids = batch.column("rid").to_numpy()
-        yield from pack(np.concatenate(part), np.concatenate(key), np.concatenate(doc), rids, parts, within=True)
+        yield from pack(np.concatenate(part), np.concatenate(key), np.concatenate(doc), rids, parts, True, sent)
 
 
 def _name_anchors(width: int, parts: int):
     def run(batches):
+        sent = Remembered()
         for batch in portions(batches):
             part, keys, docs = [], [], []
             for chunk, _, _, row, word in _parsed(batch):
@@ -148,7 +151,7 @@ def _name_anchors(width: int, parts: int):
                     part.append(part_of(key, parts))
                     keys.append(key.astype(np.uint32))
                     docs.append(row[place] + chunk.lo)
-            yield from _packed(batch, parts, part, keys, docs)
+            yield from _packed(batch, parts, part, keys, docs, sent)
 
     return run
 
@@ -178,13 +181,15 @@ def _run_rows(kind: int, part, doc, start, key) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array(np.full(len(at), kind, np.int8)), *runs, keys], schema=RUNS)
 
 
-def _send_windows(width: int, parts: int):
+def _send_windows(width: int, parts: int, hot: np.ndarray | None):
     """Candidate windows, dealt by their anchor, so that neighbours travel and are answered as runs.
 
-    Windows that the batch holds twice are settled here, with one witness each.
+    Windows of hot anchors are dealt one by one. Windows that the task has seen twice are
+    settled here, with one witness each.
     """
 
     def run(batches):
+        sent = Remembered()
         for batch in portions(batches):
             found = []
             for chunk, _, _, row, word in _parsed(batch):
@@ -197,7 +202,8 @@ def _send_windows(width: int, parts: int):
                 first, anchor = first[some], anchor[some]
                 r = rolling(WINDOW_SEED)
                 whole = mix(r.windows(r.prefix(word), width)[first])
-                deal = np.where(anchor < 0, mix(whole), np.r_[key, U(0)][anchor])
+                alone = np.r_[is_hot(hot, part_of(key, parts), key.astype(np.uint32)), True][anchor]
+                deal = np.where(alone, mix(whole), np.r_[key, U(0)][anchor])
                 found.append((part_of(deal, parts), whole, row[first] + chunk.lo, first - np.searchsorted(row, row[first])))
             if not found:
                 continue
@@ -209,13 +215,15 @@ def _send_windows(width: int, parts: int):
             ordered = key[order]
             new = np.r_[True, ordered[1:] != ordered[:-1]]
             name = np.cumsum(new) - 1
+            again, before = np.bincount(name) > 1, sent.has(ordered[new])
             twice = np.zeros(len(key), bool)
-            twice[order] = (np.bincount(name) > 1)[name]
-            head = np.zeros(len(key), bool)
-            head[order[new]] = True
-            ask, seen = ~twice, twice & head
+            twice[order] = (again | before)[name]
+            seen = np.zeros(len(key), bool)
+            seen[order[new]] = again & ~before
+            sent.add(ordered[new][again & ~before])
+            ask = ~twice
             yield _run_rows(QUESTION, part[ask], rids[row[ask]], start[ask], key[ask])
-            if seen.any():
+            if twice.any():
                 yield _run_rows(WITNESS, part[seen], row[seen], start[seen], key[seen])
                 yield _run_rows(ANSWER, part_of(mix(rids.astype(U)), parts)[row[twice]], rids[row[twice]], start[twice], key[twice])
 
@@ -305,12 +313,12 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id",
     if width < 2:
         raise ValueError("a window has two words at least")
     id_type = docs.schema[id_column].dataType.simpleString()
-    bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+    docs = with_rid(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
     parts = parts_for(docs)
     named = docs.select("rid", "text").mapInArrow(_name_anchors(width, parts), PACKED_DDL)
-    candidates = docs.select("rid", "text").join(shared_keys(named, np.uint32, parts), "rid", "left")
-    windows = candidates.mapInArrow(_send_windows(width, parts), RUNS_DDL)
-    spans = by_document(windows.groupBy("part").applyInArrow(_settle_windows(width, parts), PACKED_DDL), np.int64)
+    shared, hot = shared_keys(named, np.uint32, parts)
+    candidates = docs.select("rid", "text").join(shared, "rid", "left")
+    windows = candidates.mapInArrow(_send_windows(width, parts, hot), RUNS_DDL)
+    spans = stage(by_document(windows.groupBy("part").applyInArrow(_settle_windows(width, parts), PACKED_DDL), np.int64))
+    release(shared)
     return docs.join(spans, "rid", "left").mapInArrow(_remove(), f"doc_id {id_type}, {RESULT}")

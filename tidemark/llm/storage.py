@@ -2,32 +2,53 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, a temporary folder of a local master, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind; the session's setting is put back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def stage(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    This cuts the lineage: a lost executor costs a re-read, not a recomputation. Nothing
+    reads the shuffles of the write again, so they are removed with it.
     """
-    path = f"{shared_folder(df.sparkSession)}/staged/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
+    with shuffles_removed(spark):
+        df.write.option("compression", compression).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(*frames: DataFrame) -> None:
@@ -41,23 +62,16 @@ def release(*frames: DataFrame) -> None:
                 folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished stages.
+def with_rid(docs: DataFrame) -> DataFrame:
+    """Adds rid, a 64-bit name of each row of (doc_id, text).
 
-    Spark deletes them once the driver's JVM has collected their handles, which a driver
-    with little to do puts off; ask for it before the next large shuffle.
+    It is the id itself where ids are whole numbers, distinct and not null, so no two rows
+    can be taken for one another; else a hash of id and text, by which repeated rows share
+    a name.
     """
-    for _ in range(2):  # listeners hold the last query a moment longer
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of 16 MB at most, unless the session has a limit of its own: rows hold whole texts."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, str(16 << 20))
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    plain = isinstance(docs.schema["doc_id"].dataType, IntegralType) and ids.isEmpty()
+    return docs.withColumn("rid", F.col("doc_id").cast("long") if plain else F.xxhash64("doc_id", "text"))
 
 
 def shuffle_width(spark: SparkSession) -> int:

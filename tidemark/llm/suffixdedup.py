@@ -9,16 +9,20 @@ with a smaller id.
    fingerprint. Equal windows have equal minimizers at equal places. Fingerprints of
    minimizers meet in a shuffle of packed keys; what one text alone has ends there.
 3. Runs of windows with one shared minimizer travel as one string, dealt by the
-   minimizer, so equal windows meet. A mapper that holds a string twice keeps the
-   smallest id's and settles the others, so a passage that a third of all documents
-   hold costs its part one string per mapper batch.
-4. Each part drops strings it holds of a smaller id and sorts the other suffixes: multikey quicksort on characters of 8 bytes, all
-   partitions of one depth at once, down to ``SHALLOW`` bytes; groups that still agree
-   there are ordered by blind tries. Neighbours that agree in ``width`` bytes are equal
-   windows; the smallest id keeps them.
+   minimizer, so equal windows meet. Windows of hot minimizers (common bytes in many
+   surroundings) travel one by one, dealt by all their bytes. A mapper that holds a
+   string twice keeps the smallest id's and settles the others, and it remembers hot
+   windows that it has sent, so a passage that a third of all documents hold costs a
+   part some strings per mapper task.
+4. Each part drops strings it holds of a smaller id and sorts the other suffixes:
+   multikey quicksort on characters of 8 bytes, all partitions of one depth at once,
+   down to ``SHALLOW`` bytes; groups that still agree there are ordered by blind tries.
+   Neighbours that agree in ``width`` bytes are equal windows; the smallest id keeps them.
 
 Null text is empty. A null id is larger than all others. Rows that share an id do not
-remove each other's text; repeated rows come out alike. Extra columns are ignored.
+remove each other's text; repeated rows come out alike. Texts of any length are handled
+whole, by one task. An empty table gives an empty result. Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import PACKED_DDL, by_document, membership, pack, part_of, parts_for, shared_keys, to_documents
-from .storage import bounded_batches, stage, tidy
+from .exchange import PACKED_DDL, Remembered, by_document, is_hot, membership, pack, part_of, parts_for, shared_keys, to_documents
+from .storage import release, stage, with_rid
 from .textarrays import U, binary_buffers, chunks, mix, portions, ragged, rolling, slice_binary, span_lists, spans_of
 
 GRAM = 16
@@ -74,6 +78,7 @@ def strings(chunk, width: int):
 
 def _name_minimizers(width: int, parts: int):
     def run(batches):
+        sent = Remembered()
         for batch in portions(batches):
             names, first, at = np.unique(batch.column("th").to_numpy(), return_index=True, return_inverse=True)
             new = np.zeros(batch.num_rows, bool)
@@ -88,7 +93,7 @@ def _name_minimizers(width: int, parts: int):
                 key, doc = np.concatenate(keys), np.concatenate(docs)
                 order = np.argsort(doc, kind="stable")
                 key, doc = key[order], doc[order]
-                yield from pack(part_of(key, parts), key.astype(np.uint32), doc, names, parts, within=False)
+                yield from pack(part_of(key, parts), key.astype(np.uint32), doc, names, parts, False, sent)
 
     return run
 
@@ -160,8 +165,26 @@ def _same_text(data, place, length, order, at) -> np.ndarray:
     return same & (bad == 0)
 
 
-def _send_strings(width: int, parts: int):
+def single_windows(data, start, end, row, key, width: int):
+    """Each window of strings of ``data`` as a string of its own, keyed by all its bytes; per piece of windows."""
+    windows = end - start - width + 1
+    for lo in range(0, len(start), 1 << 13):
+        w = windows[lo : lo + (1 << 13)]
+        first = np.repeat(start[lo : lo + (1 << 13)] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))
+        name = np.zeros(len(first), U)
+        for d in range(0, width, 8):  # 8 bytes at a time, the last of them up to the end
+            d = min(d, width - 8)
+            name = mix(name ^ (np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))[first + d] + U(d)))
+        yield first, first + width, np.repeat(row[lo : lo + (1 << 13)], w), name
+
+
+#: Hot windows that a task remembers to have sent (their bytes and ids).
+HOT_WINDOWS = 1 << 16
+
+
+def _send_strings(width: int, parts: int, hot: np.ndarray | None):
     def run(batches):
+        past = np.zeros(0, np.uint8), np.zeros(0, np.int64)  # bytes and ids of hot windows sent before
         for batch in portions(batches):
             rids = batch.column("rid").to_numpy()
             ids = batch.column("ident").to_numpy()
@@ -176,15 +199,25 @@ def _send_strings(width: int, parts: int):
                 for start, end, row, key in strings(chunk, width):
                     hit = membership(row, key.astype(np.uint32), answers.slice(chunk.lo, chunk.rows), np.uint32)
                     start, end, row, key = start[hit], end[hit], row[hit], key[hit]
-                    if len(start):
-                        found.append((key, row + chunk.lo, start - chunk.offset[row], end - start, gather(chunk.data, start, end - start)))
+                    common = is_hot(hot, part_of(key, parts), key.astype(np.uint32))
+                    taken = [(start[~common], end[~common], row[~common], key[~common], False)]
+                    taken += [(*x, True) for x in single_windows(chunk.data, start[common], end[common], row[common], key[common], width)]
+                    for start, end, row, key, single in taken:  # noqa: PLW2901
+                        if len(start):
+                            found.append((key, row + chunk.lo, start - chunk.offset[row], end - start, np.full(len(key), single), gather(chunk.data, start, end - start)))
             if not found:
                 continue
-            key, row, start, length = (np.concatenate([f[k] for f in found]) for k in range(4))
-            data = np.concatenate([f[4] for f in found])
-            place = np.cumsum(length) - length
-            done = settled_strings(data, place, length, ids[row])
+            key, row, start, length, single = (np.concatenate([f[k] for f in found]) for k in range(5))
+            data = np.concatenate([past[0], *[f[5] for f in found]])
+            every = np.concatenate([np.full(len(past[1]), width), length])
+            place = np.cumsum(every) - every
+            done = settled_strings(data, place, every, np.concatenate([past[1], ids[row]]))[len(past[1]) :]
+            place = place[len(past[1]) :]
             ask = ~done
+            new = np.flatnonzero(ask & single)
+            new = new[np.unique(key[new], return_index=True)[1]][:HOT_WINDOWS]
+            sent = gather(data, place[new], length[new]), ids[row[new]]
+            past = tuple(np.concatenate(x) for x in zip(past, sent, strict=True)) if len(past[1]) + len(new) <= HOT_WINDOWS else sent
             yield _string_rows(ASKED, part_of(mix(key[ask]), parts), row[ask], rids, ids, start[ask], length[ask], (data, place[ask]))
             if done.any():
                 yield _string_rows(SETTLED, home[row[done]], row[done], rids, ids, start[done], length[done], None)
@@ -375,22 +408,20 @@ def remove_later(docs: DataFrame, width: int = 50, id_column: str = "doc_id", te
     if width < GRAM + 8:
         raise ValueError(f"a window has {GRAM + 8} bytes at least")
     kind = docs.schema[id_column].dataType.simpleString()
-    bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    docs = with_rid(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
     whole = F.coalesce("text", F.lit(""))
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    docs = docs.withColumns({"rid": F.xxhash64("doc_id", "text"), "ident": ident, "th": F.xxhash64(whole)})
+    docs = docs.withColumns({"ident": ident, "th": F.xxhash64(whole)})
     parts = parts_for(docs, part_bytes=PART_BYTES)
     names = stage(docs.select("rid", "ident", "th", F.md5(whole).alias("digest")))
     firsts = stage(names.groupBy("digest").agg(F.min("ident").alias("first")))  # staged: a join of plain scans can split a hot digest
-    names = names.join(firsts, "digest").select("rid", "th", (F.col("ident") > F.col("first")).alias("later"))
     named = docs.select("th", "text").mapInArrow(_name_minimizers(width, parts), PACKED_DDL)
-    shared = stage(shared_keys(named, np.uint32, parts, distinct=True).withColumnRenamed("rid", "th"))
-    tidy(docs.sparkSession)
-    asking = names.filter("not later").join(shared, "th").groupBy("rid").agg(F.first("found").alias("found"))
-    known = names.filter("later").select("rid", F.lit(True).alias("later")).distinct().join(asking, "rid", "full")
+    shared, hot = shared_keys(named, np.uint32, parts, distinct=True)
+    later = names.join(firsts, "digest").select("rid", "th", (F.col("ident") > F.col("first")).alias("later"))
+    asking = later.filter("not later").join(shared.withColumnRenamed("rid", "th"), "th").groupBy("rid").agg(F.first("found").alias("found"))
+    known = later.filter("later").select("rid", F.lit(True).alias("later")).distinct().join(asking, "rid", "full")
     candidates = docs.select("rid", "ident", "text").join(known, "rid", "left").withColumn("later", F.coalesce("later", F.lit(False)))
-    sent = candidates.mapInArrow(_send_strings(width, parts), STRINGS_DDL)
+    sent = candidates.mapInArrow(_send_strings(width, parts, hot), STRINGS_DDL)
     spans = stage(by_document(sent.groupBy("part").applyInArrow(_settle(width, parts), PACKED_DDL), np.int64))
-    tidy(docs.sparkSession)
+    release(names, firsts, shared)
     return docs.select("rid", "doc_id", "text").join(spans, "rid", "left").mapInArrow(_remove, f"doc_id {kind}, {RESULT}")

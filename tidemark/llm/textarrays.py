@@ -25,6 +25,9 @@ WORD_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 ALNUM_SEPARATOR = np.zeros(256, bool)
 ALNUM_SEPARATOR[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
+#: Masks of the first n of 8 bytes.
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
@@ -40,7 +43,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial fingerprints modulo 2**64 of any slice of a sequence of values."""
+    """Polynomial fingerprints modulo 2**64 of any slice of a sequence of values.
+
+    For short windows over mixed values: patterns that defeat this modulus for every base
+    (the Thue-Morse sequence) need about a thousand symbols; windows have 50 at most.
+    """
 
     def __init__(self, seed: int):
         draw = np.random.Generator(np.random.PCG64(seed))
@@ -113,9 +120,26 @@ class Chunk:
         return start, end, np.searchsorted(self.offset, start, "right") - 1
 
     def fingerprints(self, start, end, seed: int, data: np.ndarray | None = None) -> np.ndarray:
-        r = rolling(seed)
-        prefix = r.prefix(r.byte_value[self.data if data is None else data])
-        return mix(r.slices(prefix, start, end) + (end - start).astype(U))
+        """64-bit names of the words: sums of mixed blocks of 8 bytes, each keyed by its place.
+
+        One-to-one on words of one length up to 8 bytes; beyond that the mixing leaves no
+        pattern by which two words agree.
+        """
+        length = end - start
+        if not len(length):
+            return np.zeros(0, U)
+        data = self.data if data is None else data
+        blocks = (length + 7) >> 3
+        first = np.cumsum(blocks) - blocks
+        nth = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        at = np.repeat(start, blocks) + 8 * nth
+        lane = np.ndarray((len(data),), "<u8", np.r_[data, np.zeros(8, np.uint8)], strides=(1,))
+        value = lane[at] & LOW_BYTES[np.minimum(np.repeat(end, blocks) - at, 8)]
+        key = mix(np.arange(int(blocks.max()), dtype=U) * U(0x9E3779B97F4A7C15) + U(seed * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
+        value = mix(value ^ key[nth])
+        if len(value) > len(length):
+            value = np.add.reduceat(value, first)
+        return mix(value + length.astype(U) * U(0xC2B2AE3D27D4EB4F))
 
 
 def binary_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +189,10 @@ def give_back() -> None:
 def slice_binary(values: np.ndarray, borders: np.ndarray) -> pa.Array:
     """A binary column: entry i is ``values[borders[i]:borders[i + 1]]``."""
     values = np.ascontiguousarray(values)
-    offset = (np.asarray(borders, np.int64) * values.itemsize).astype(np.int32)
+    offset = np.asarray(borders, np.int64) * values.itemsize
+    if len(offset) and offset[-1] > np.iinfo(np.int32).max:
+        raise ValueError("a column of more than 2 GB in one batch: use smaller parts, or split such a text")
+    offset = offset.astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(offset) - 1, [None, pa.py_buffer(offset), pa.py_buffer(values)])
 
 

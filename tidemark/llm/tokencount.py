@@ -16,7 +16,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches
 from .textarrays import portions
 
 SEGMENT_CHARS = 1024
@@ -92,6 +91,5 @@ def _count(path: str):
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens of each row, by the vocabulary file at ``vocabulary``."""
-    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     return docs.mapInArrow(_count(vocabulary), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
