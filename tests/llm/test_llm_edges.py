@@ -289,7 +289,61 @@ def test_urls(spark):
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("www.casino-win.example.org", "/a", None, "block")
     assert [(got[i].host, got[i].path) for i in (2, 3, 5, 6)] == [("", ""), ("", ""), ("", ""), ("a.de:", "//b/c")]
     assert got[4].verdict == "block" and "h:casino" in got[4].tokens
+    assert all(got[i].verdict == "allow" and got[i].rule is None for i in (2, 3, 5))
     assert urlfilter.judge(pages.limit(0), []).count() == 0
+    odd = [(1, None, 7, "x"), (1, None, 7, "x"), (2, "http://" + "a" * 300_000 + "/" + "b" * 70, 7, "x"), (None, "http://casino-bonus.de/", 7, "x")]
+    clash = spark.createDataFrame(odd, "page_id int, url string, block int, host string")
+    rows = urlfilter.judge(clash, [("block", "de/")]).collect()
+    assert sorted((str(r.page_id), r.verdict) for r in rows) == [("1", "allow"), ("1", "allow"), ("2", "allow"), ("None", "block")]
+
+
+def test_viterbi_equals_exhaustive_splitting():
+    import itertools
+
+    draw = np.random.default_rng(2)
+    words = {"".join(w): int(draw.integers(1, 50)) for n in (1, 2, 3, 4) for w in itertools.islice(itertools.product("ab", repeat=n), 0, None, 3)}
+    segmenter = urlfilter.Segmenter(words)
+    for _ in range(60):
+        name = "".join(draw.choice(list("ab"), int(draw.integers(1, 11))))
+        splits = []
+        for cuts in itertools.product((0, 1), repeat=len(name) - 1):
+            at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(name)]
+            splits.append([name[a:b] for a, b in itertools.pairwise(at)])
+        cost = lambda split: sum(map(segmenter.cost_of, split))
+        found = segmenter.split(name)
+        assert "".join(found) == name and cost(found) == pytest.approx(min(map(cost, splits)))
+
+
+def test_naive_bayes_equals_counts_by_hand():
+    from math import log
+
+    model = urlfilter.NaiveBayes([(["a", "b"], True), (["a"], True), (["b", "c"], False)], prior=0.25, smoothing=1)
+    # block: a 2, b 1, c 0 of 3, with smoothing of 6; allow: a 0, b 1, c 1 of 2, of 5
+    assert model.odds == pytest.approx({"a": log((3 / 6) / (1 / 5)), "b": log((2 / 6) / (2 / 5)), "c": log((1 / 6) / (2 / 5))})
+    assert model.score(["a", "c", "c", "new"]) == pytest.approx(log(1 / 3) + model.odds["a"] + 2 * model.odds["c"])
+
+
+def test_url_model_generalises_to_held_out_hosts():
+    known = urlfilter.examples()
+    order = np.random.default_rng(1).permutation(len(known))
+    right = 0
+    for k in range(10):
+        held = set(order[k::10].tolist())
+        model = urlfilter.NaiveBayes([known[i] for i in range(len(known)) if i not in held])
+        right += sum((model.score(known[i][0]) > 0) == known[i][1] for i in held)
+    assert right / len(known) >= 0.85
+    model = urlfilter.NaiveBayes(known)
+    # Words of both kinds of hosts, none of which decides alone.
+    assert model.score(["h:free", "h:win", "h:bonus"]) > 0 > model.score(["h:free", "h:news"])
+    assert model.score(["h:download"]) < 0 and model.score(["h:spam", "h:farm"]) > 0 > model.score(["h:organic", "h:farm"])
+
+
+def test_url_labels_of_the_caller_count(spark):
+    pages = spark.createDataFrame([(1, "http://zorp-quux.org/"), (2, "http://garden-quux.org/")], "page_id int, url string")
+    labelled = spark.createDataFrame([(f"http://zorp-{w}.org/", True) for w in ("a", "b", "c", "d")], "url string, blocked boolean")
+    verdicts = lambda model: {r.page_id: r.verdict for r in urlfilter.judge(pages, [], model).collect()}
+    assert verdicts(urlfilter.fit(pages)) == {1: "allow", 2: "allow"}
+    assert verdicts(urlfilter.fit(pages, labelled=labelled)) == {1: "block", 2: "allow"}
 
 
 def test_urls_keep_rare_words(spark):

@@ -69,20 +69,38 @@ def test_mix_is_near_its_targets(spark, small):
     assert all(abs(taken[s] - target[s]) <= largest for s in target)
 
 
-def test_url_rules(spark, small):
+def test_url_verdicts_equal_brute_force(spark, small):
+    """Rules, counts of all words, segmentation and verdicts in plain Python."""
+    import re
+    from collections import Counter
+
+    from tidemark.llm import urlfilter
+
     def rule(host, path):
         found = [(len(r), r, v) for v, r in q.URL_RULES if (host == (h := r.partition("/")[0]) or host.endswith("." + h)) and path.startswith(r[len(h) :])]
         return max(found, default=(0, None, None))
 
+    def parts(url):
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0]
+        return host.lower(), re.split("[?#]", rest[len(host) :])[0]
+
+    pages = _rows(spark, small, "pages")
+    counts = Counter()
+    for page in pages:
+        host, path = parts(page.url)
+        counts.update(re.findall("[a-z]+", path.lower()) + [w for label in host.split(".") if "-" in label for w in re.findall("[a-z]+", label)])
+    floor = max(10, sum(counts.values()) // 1000)
+    for w in {*urlfilter.COMMON_WORDS, *(t[2:] for tokens, _ in urlfilter.examples() for t in tokens)}:
+        counts[w] = max(counts[w], floor)
+    segmenter, bayes = urlfilter.Segmenter(counts), urlfilter.NaiveBayes(urlfilter.examples())
     got = {r.page_id: r for r in q.op4_urlfilter(spark, small).collect()}
-    for page in _rows(spark, small, "pages"):
-        r = got[page.page_id]
-        rest = page.url.split("://", 1)[1]
-        host = rest.split("/")[0].split("?")[0].split("#")[0].lower()
-        path = rest[len(host) :].split("?")[0].split("#")[0]
+    for page in pages:
+        r, (host, path) = got[page.page_id], parts(page.url)
         _, expected, verdict = rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, expected)
-        assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
+        words = ["h:" + w for run in re.findall("[a-z]+", host) for w in segmenter.split(run)] + ["p:" + w for run in re.findall("[a-z]+", path.lower()) for w in segmenter.split(run)]
+        assert r.verdict == (verdict or ("block" if bayes.score(words) > 0 else "allow"))
 
 
 def test_token_counts_equal_the_library(spark, small):
