@@ -378,6 +378,36 @@ def test_chat_layouts(spark):
     assert {r.conv_id: r.n_turns for r in chat.digests(chat.format_records(chat.conversation_records(rows), "conv_id"), "conv_id").collect()} == {1: 3, None: 1}
 
 
+def test_chat_takes_any_record(spark):
+    """Odd records come back with null texts; what reads is formatted."""
+    half = chr(0xD83D)
+    good = [
+        {"messages": [{"role": "user", "content": None}, {"role": "assistant"}]}, {"messages": []}, {"prompt": None, "response": "x", "id": 7},
+        {"messages": [{"role": "user", "content": f"a{half}b"}]}, {"instruction": "i", "output": "o", "system": None, "source": None},
+    ]
+    odd = [
+        {"messages": ["hi"]}, {"messages": [{"role": "user", "content": "x"}, "hi"]}, {"conversations": [{"from": 1, "value": "x"}]},
+        {"messages": [{"role": "user", "content": 0}]}, {"messages": [{}]}, {"messages": {"role": "user"}}, {"messages": None}, {"messages": [[{"role": "user", "content": "x"}]]},
+        {"prompt": ["a"], "response": "b"}, {"messages[]": "x", "messages[].role": "y"}, {half: "x"}, {},
+    ]
+    broken = ["", None, "[1]", '"x"', '{"messages": [}', "[" * 100_000, '{"a":' * 3000 + "1" + "}" * 3000, "1" * 5000]
+    lines = [(i, x) for i, x in enumerate([*map(json.dumps, good), *map(json.dumps, odd), *broken])]
+    rows = spark.createDataFrame([(i, x, 1, "y") for i, x in lines] + [(0, lines[0][1], 2, "z")], "id int, record string, fingerprint int, formatted string")
+    got = chat.format_records(rows, "id").collect()
+    assert len(got) == len(lines) + 1 and sum(r.id == 0 for r in got) == 2
+    read = {r.id: r for r in got}
+    n = len(good)
+    assert [chat.read_back(read[i].formatted) for i in range(n)] == [
+        [("user", ""), ("assistant", "")], [], [("user", ""), ("assistant", "x")], [("user", "a\ufffdb")], [("system", ""), ("user", "i"), ("assistant", "o")],
+    ]
+    assert all(read[i].formatted is None and read[i].fingerprint for i in range(n, n + len(odd)))
+    assert all(read[i].formatted is None and read[i].fingerprint is None for i in range(n + len(odd), len(lines)))
+    long = "<|" * 500_000
+    one = chat.format_records(spark.createDataFrame([(1, json.dumps({"question": "q", "answer": long}))], "id int, record string"), "id").first()
+    assert chat.read_back(one.formatted)[1] == ("assistant", long)
+    assert chat.digests(chat.format_records(rows.limit(0), "id"), "id").count() == 0
+
+
 def test_tokens_of_nothing(spark, docs, none):
     import public_tokenizers
 

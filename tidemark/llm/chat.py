@@ -1,7 +1,7 @@
 """Chat formatting by schema fingerprint.
 
 A record is a JSON object in one of many layouts. Its fingerprint is a hash of its
-nested field paths; a registry holds, by fingerprint, a declarative mapping that turns
+nested field paths and the kinds of their values; a registry holds, by fingerprint, a declarative mapping that turns
 the record into canonical turns (role, text). The template then marks turns and
 escapes control strings inside texts, so the formatted text reads back exactly:
 
@@ -11,10 +11,14 @@ Escape: in a text, ``<``, any number of backslashes and ``|`` get one backslash
 before the ``|``. In a role, backslash and newline are escaped as well. The loss mask
 is a list of spans (code points) that cover the assistant texts and nothing else.
 
-Null or absent texts are empty. A record whose fingerprint is unknown, or that isn't
-a JSON object, comes back with null turns and its fingerprint, so that a mapping can
-be added; nothing is dropped. A conversation is one row of the output, so its turns
-meet in one task; other keys spread freely.
+Null or absent texts are empty. A record whose fingerprint is unknown (a string among
+turns, a number for a text and the like) comes back with its fingerprint and null in
+place of the text, so that a mapping can be added; one that isn't a JSON object, or is
+nested too deep to read, with a null fingerprint. Nothing is dropped. Halves of surrogate
+pairs, which UTF-8 can't hold, become U+FFFD. Repeated rows are formatted alike. Texts of
+any length are handled whole. An empty table gives an empty result. Extra columns are
+ignored, whatever their names. A conversation is one row of the output, so its turns meet
+in one task; other keys spread freely.
 """
 
 from __future__ import annotations
@@ -43,21 +47,31 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"<\1|", text)
 
 
+def whole_characters(text: str) -> str:
+    """The text with U+FFFD for each lone surrogate."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if not text.isascii() else text
+
+
+_KINDS = {str: "string", bool: "boolean", int: "number", float: "number", type(None): "null", dict: "object"}
+_MARKS = re.compile(r"[\\.:\[]")
+
+
 def field_paths(value, path: str = "") -> Iterator[str]:
-    """Nested field paths, ``[]`` for the elements of a list."""
-    if isinstance(value, dict):
+    """Nested field paths with the kinds of values, ``[]`` for the elements of a list."""
+    if isinstance(value, dict) and value:
         for k, v in value.items():
-            yield from field_paths(v, f"{path}.{k}" if path else k)
+            key = _MARKS.sub(r"\\\g<0>", k)
+            yield from field_paths(v, f"{path}.{key}" if path else key)
     elif isinstance(value, list):
         yield path + "[]"
         for v in value:
             yield from field_paths(v, path + "[]")
     else:
-        yield path
+        yield f"{path}:{_KINDS[type(value)]}"
 
 
 def fingerprint_of(paths) -> str:
-    return hashlib.blake2b("\n".join(sorted(set(paths))).encode(), digest_size=8).hexdigest()
+    return hashlib.blake2b("\n".join(sorted(set(paths))).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
 def fingerprint(record) -> str:
@@ -82,34 +96,51 @@ class Mapping:
     def turns(self, record: dict) -> list[tuple[str, str]]:
         if not self.each:
             present = [(role, [record[f] for f in fields if f in record]) for role, fields in self.fixed]
-            return [(role, "\n\n".join(str(x) for x in found if x not in (None, "")) if len(found) > 1 else str(found[0] or "")) for role, found in present if found]
-        names = dict(self.renames)
-        return [(names.get(t.get(self.role) or "", t.get(self.role) or ""), str(t.get(self.text) or "")) for t in record.get(self.each) or []]
+            turns = [(role, "\n\n".join(x for x in found if x) if len(found) > 1 else found[0] or "") for role, found in present if found]
+        else:
+            names = dict(self.renames)
+            turns = [(names.get(t.get(self.role) or "", t.get(self.role) or ""), t.get(self.text) or "") for t in record.get(self.each) or []]
+        return [(whole_characters(role), whole_characters(text)) for role, text in turns]
 
 
 class Registry:
     def __init__(self):
         self.by_fingerprint: dict[str, Mapping] = {}
 
-    def add(self, mapping: Mapping, required: list[str], optional: tuple[str, ...] = ()) -> None:
-        """Register a layout under each set of its optional fields."""
-        for n in range(len(optional) + 1):
-            for some in itertools.combinations(optional, n):
-                self.by_fingerprint[fingerprint_of([*required, *some])] = mapping
+    def add(self, mapping: Mapping, paths: tuple[str, ...], choices: tuple[tuple[tuple[str, ...], ...], ...]) -> None:
+        """Register a layout: ``paths``, and for each of ``choices`` one of its sets of paths."""
+        for some in itertools.product(*choices):
+            self.by_fingerprint[fingerprint_of([*paths, *itertools.chain(*some)])] = mapping
+
+
+def _text(path: str) -> tuple[tuple[str, ...], ...]:
+    """A text, or null."""
+    return (f"{path}:string",), (f"{path}:null",)
+
+
+def _texts(path: str) -> tuple[tuple[str, ...], ...]:
+    """Texts of several turns: all there, all null, or some of either."""
+    return *_text(path), (f"{path}:string", f"{path}:null")
+
+
+def _absent(paths: tuple[tuple[str, ...], ...]) -> tuple[tuple[str, ...], ...]:
+    return (), *paths
 
 
 def default_registry() -> Registry:
     out = Registry()
-    ids = ("id", "conv_id", "source")
+    ids = tuple(_absent(tuple((f"{name}:{kind}",) for kind in ("string", "number", "null"))) for name in ("id", "conv_id", "source"))
     for name, role, text in (("messages", "role", "content"), ("conversations", "from", "value"), ("turns", "role", "text"), ("dialog", "speaker", "utterance")):
         renames = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))
         mapping = Mapping(each=name, role=role, text=text, renames=renames if role != "role" else ())
-        out.add(mapping, [f"{name}[]", f"{name}[].{role}", f"{name}[].{text}"], ids)
-        out.add(mapping, [f"{name}[]"], ids)
+        out.add(mapping, (f"{name}[]",), (_texts(f"{name}[].{role}"), _absent(_texts(f"{name}[].{text}")), *ids))
+        out.add(mapping, (f"{name}[]",), ids)
+    system = _absent(_text("system"))
     for answer in ("completion", "response"):
-        out.add(Mapping(fixed=(("system", ("system",)), ("user", ("prompt",)), ("assistant", (answer,)))), ["prompt", answer], ("system", *ids))
-    out.add(Mapping(fixed=(("user", ("question",)), ("assistant", ("answer",)))), ["question", "answer"], ids)
-    out.add(Mapping(fixed=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))), ["instruction", "output"], ("input", "system", *ids))
+        out.add(Mapping(fixed=(("system", ("system",)), ("user", ("prompt",)), ("assistant", (answer,)))), (), (_text("prompt"), _text(answer), system, *ids))
+    out.add(Mapping(fixed=(("user", ("question",)), ("assistant", ("answer",)))), (), (_text("question"), _text("answer"), *ids))
+    mapping = Mapping(fixed=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))))
+    out.add(mapping, (), (_text("instruction"), _text("output"), _absent(_text("input")), system, *ids))
     return out
 
 
@@ -148,9 +179,9 @@ def _format(mappings: dict[str, Mapping]):
             for line in batch.column("record").to_pylist():
                 try:
                     record = json.loads(line or "")
-                except ValueError:
-                    record = None
-                key = fingerprint(record) if isinstance(record, dict) else None
+                    key = fingerprint(record) if isinstance(record, dict) else None
+                except (ValueError, RecursionError):
+                    key = None
                 mapping = mappings.get(key or "")
                 text, spans = render(mapping.turns(record)) if mapping else (None, None)
                 prints.append(key)
