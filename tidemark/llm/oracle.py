@@ -6,8 +6,6 @@ have none; tests/llm holds them against brute-force versions.
 
 from __future__ import annotations
 
-from . import quality
-
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -44,9 +42,9 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(12 + length(role) + 1 + length({_ESCAPED.format("text")}) + 10 + 1)::BIGINT AS formatted_chars
 FROM r GROUP BY 1"""
 
-_CUTS = ", ".join(f"('{rule}', {cut})" for rule, cuts in quality.RULES.items() for cut in cuts)
 _SCORE = "CASE c.rule WHEN 'symbol_share' THEN symbol_share WHEN 'upper_share' THEN upper_share WHEN 'dup_line_share' THEN dup_line_share ELSE pipe_share END"
-_ALPHA = quality.ALPHA / len(quality.RULES)
+_THOUSANDTHS = "CASE WHEN {1} > 0 THEN least(2000, 1000 * {0} // {1}) ELSE 0 END AS {2}"
+# 5 % of good documents at most, shared by 4 rules; 5 % for all tests: 4 rules x 8 candidates x (languages and one pool).
 SQL["op6_quality"] = rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 s AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
@@ -54,16 +52,21 @@ m AS (SELECT doc_id, i FROM s QUALIFY count(*) OVER (PARTITION BY doc_id, win) >
 r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM m) GROUP BY 1),
 b AS (SELECT d.doc_id, d.lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
   len(regexp_extract_all(text, '\|')) AS n_pipes, len(regexp_extract_all(text, '\p{{Lu}}')) AS n_upper, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
-f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0.0 END AS symbol_share,
-  CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0.0 END AS upper_share, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END AS dup_line_share, CASE WHEN n_words > 0 THEN n_pipes / n_words ELSE 0.0 END AS pipe_share FROM b),
-g AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1),
-cuts(rule, cut) AS (VALUES {_CUTS}),
-c AS (SELECT f.lang, c.rule, c.cut, count(*) FILTER (quality >= 1) AS n, count(*) FILTER (quality >= 1 AND {_SCORE} > c.cut) AS k, count(*) FILTER (quality < 1 AND {_SCORE} > c.cut) AS bad
-  FROM f JOIN g USING (doc_id), cuts c GROUP BY 1, 2, 3),
-t AS (SELECT *, CASE WHEN k >= n * {_ALPHA} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_ALPHA}) + (n - i) * ln(1 - {_ALPHA})))) END AS tail, count(*) OVER () AS tests FROM c),
-best AS (SELECT lang, rule, arg_max(cut, (bad - {quality.GOOD_WEIGHT} * k) * 1000 + cut) AS cut FROM t WHERE tail <= {quality.DELTA} / tests AND bad - {quality.GOOD_WEIGHT} * k > 0 GROUP BY 1, 2)
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {_THOUSANDTHS.format("n_symbols", "n_words", "symbol_share")}, {_THOUSANDTHS.format("n_upper", "word_chars", "upper_share")},
+  {_THOUSANDTHS.format("n_dup_lines", "n_lines", "dup_line_share")}, {_THOUSANDTHS.format("n_pipes", "n_words", "pipe_share")} FROM b),
+g AS (SELECT doc_id, min(quality) >= 1 AS good, substr(md5(doc_id::VARCHAR), 1, 1) >= '8' AS held FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+k AS (SELECT f.*, good, held FROM f JOIN g USING (doc_id) WHERE NOT base_failed),
+p AS (SELECT rule, score FROM (SELECT unnest(['symbol_share', 'upper_share', 'dup_line_share', 'pipe_share']) AS rule, unnest([symbol_share, upper_share, dup_line_share, pipe_share]) AS score FROM k WHERE NOT held AND NOT good) WHERE score > 0),
+cuts AS (SELECT DISTINCT rule, score AS cut FROM (SELECT rule, score, row_number() OVER (PARTITION BY rule ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY rule) AS n FROM p) WHERE i = 0 OR i * 8 // n > (i - 1) * 8 // n),
+langs AS (SELECT lang, count(*) FILTER (held AND good) AS n FROM k GROUP BY 1),
+lv AS (SELECT 0.05::DOUBLE / ((count(*) + 1) * 4 * 8) AS level FROM langs),
+st AS (SELECT lang, n >= ceil(ln(level) / ln(1 - 0.0125::DOUBLE)) AS own FROM langs, lv),
+c AS (SELECT own, CASE WHEN own THEN k.lang END AS stratum, c.rule, c.cut, count(*) FILTER (good) AS n, count(*) FILTER (good AND {_SCORE} >= c.cut) AS k, count(*) FILTER (NOT good AND {_SCORE} >= c.cut) AS bad
+  FROM k JOIN st ON k.lang IS NOT DISTINCT FROM st.lang, cuts c WHERE held GROUP BY 1, 2, 3, 4),
+t AS (SELECT *, CASE WHEN k >= n * 0.0125::DOUBLE THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0125::DOUBLE) + (n - i) * ln(1 - 0.0125::DOUBLE)))) END AS tail FROM c),
+best AS (SELECT own, stratum, rule, arg_max(cut, (bad - 10 * k) * 10000 + cut) AS cut FROM t, lv WHERE tail <= level AND bad - 10 * k > 0 GROUP BY 1, 2, 3)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR EXISTS (SELECT 1 FROM best c WHERE c.lang IS NOT DISTINCT FROM f.lang AND {_SCORE} > c.cut)) AS kept FROM f"""
+  NOT (base_failed OR EXISTS (SELECT 1 FROM st JOIN best c ON st.own = c.own AND c.stratum IS NOT DISTINCT FROM CASE WHEN st.own THEN st.lang END WHERE st.lang IS NOT DISTINCT FROM f.lang AND {_SCORE} >= c.cut)) AS kept FROM f"""
 
 SQL["op7_suffixdedup"] = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),

@@ -1,38 +1,51 @@
 """Quality rules with risk-controlled thresholds, on DataFrame functions only.
 
-Base rules fail a document outright. Beyond them, each rule of ``RULES`` gives a score
-for which a cutoff is chosen by stratum (the ``lang`` column) on labelled documents: a
-cutoff is admissible if an exact binomial test, at the level ``delta`` divided by the
-number of all tests made (Bonferroni: strata x rules x cutoffs), rules out that it
-rejects more than ``alpha`` of the good documents; ``alpha`` is shared out equally
-among the rules, so that together they stay below it. Of the admissible cutoffs the one that removes the
-most bad documents, net of good ones at tenfold weight, is taken, the highest on a
-tie. A stratum without enough labels for a guarantee gets no cutoff and loses nothing.
-
-Null text has no words (and fails the base rules). A null lang is a stratum of its
-own. A document labelled twice is good only if all its labels say so; labels without a
-value are ignored. Repeated rows are judged alike. Everything about one document is
-computed in its own row: nothing is exploded or shuffled but a table of scores.
+Base rules fail a document outright. Beyond them, each rule of ``RULES`` gives a score in
+thousandths, and a document goes if a score reaches the rule's cutoff in its stratum (the
+``lang`` column). Cutoffs are chosen on the labelled documents that pass the base rules:
+
+1. One half of them (by a digest of the id) proposes: eighths of the scores of its bad
+   documents are the candidate cutoffs of a rule, ``CANDIDATES`` at most.
+2. The other half, the holdout, certifies: a candidate is admissible in a stratum if an
+   exact binomial test, at the level ``delta`` divided by the number of all tests
+   (Bonferroni: strata x rules x candidates), rules out that it rejects more than its share of
+   ``alpha`` of the good documents. The rules share ``alpha`` equally, so that together
+   they stay below it: of the good documents that pass the base rules, one in twenty goes
+   at most, in every stratum at once, with a probability of 95 %.
+3. Of the admissible candidates the one that removes the most bad documents, net of good
+   ones at tenfold weight, is taken, the highest on a tie.
+
+A language whose holdout has too few good documents for any certificate (some 700) joins
+the others of that kind in one stratum. Languages without labelled documents, and strata
+without enough even so, get no cutoff and lose nothing but base failures.
+
+Null text has no words (and fails the base rules). A null lang is a language of its own.
+A document labelled twice is good only if all its labels say so; labels without a value
+are ignored. Repeated rows are judged alike. Texts of any length are handled whole. An
+empty table gives an empty result. Extra columns are ignored by ``judge`` and kept by
+``keep_good``, whatever their names. Everything about one document is computed in its own
+row: nothing is exploded or shuffled but the scores of labelled documents.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import stage
 
 SPACE = " \t\n\x0b\x0c\r"
-#: Candidate cutoffs of each rule; a score above the cutoff rejects.
+#: The rules: a count for each thousand of another.
 RULES = {
-    "symbol_share": (0.1, 0.2, 0.4, 0.6, 0.8),
-    "upper_share": (0.2, 0.4, 0.6, 0.8),
-    "dup_line_share": (0.2, 0.3, 0.5, 0.7),
-    "pipe_share": (0.1, 0.2, 0.4, 0.6),
+    "symbol_share": ("q_n_symbols", "q_n_words"),
+    "upper_share": ("q_n_upper", "q_word_chars"),
+    "dup_line_share": ("q_n_dup_lines", "q_n_lines"),
+    "pipe_share": ("q_n_pipes", "q_n_words"),
 }
-ALPHA, DELTA = 0.01, 0.05
+HIGHEST, CANDIDATES = 2000, 8
+ALPHA, DELTA = 0.05, 0.05
 GOOD_WEIGHT = 10
 MIN_WORDS, MAX_REPEAT_PERCENT, GRAM = 10, 20, 5
 
@@ -77,13 +90,8 @@ def _repeats(docs: DataFrame) -> DataFrame:
 
 
 def _scores() -> dict[str, Column]:
-    over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return {
-        "symbol_share": over("q_n_symbols", "q_n_words"),
-        "upper_share": over("q_n_upper", "q_word_chars"),
-        "dup_line_share": over("q_n_dup_lines", "q_n_lines"),
-        "pipe_share": over("q_n_pipes", "q_n_words"),
-    }
+    over = lambda a, b: F.when(F.col(b) > 0, F.least(F.lit(HIGHEST), F.floor(F.col(a) * 1000 / F.col(b)))).otherwise(0).cast("int")
+    return {rule: over(*parts) for rule, parts in RULES.items()}
 
 
 def base_failed() -> Column:
@@ -109,31 +117,55 @@ def tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * F.lit(p), F.lit(1.0)).otherwise(total)
 
 
+def _candidates(proposals: DataFrame) -> list[tuple[str, int]]:
+    """(rule, cutoff): the least score above each eighth of the bad documents that have one, ``CANDIDATES`` a rule at most."""
+    long = proposals.filter("not good").unpivot([], list(RULES), "rule", "score").filter("score > 0")
+    counts = long.groupBy("rule", "score").agg(F.count("*").alias("n"))  # few distinct scores
+    by = Window.partitionBy("rule")
+    upto = counts.withColumns({"upto": F.sum("n").over(by.orderBy("score")), "all": F.sum("n").over(by)})
+    eighth = F.floor((F.col("upto") - 1) * CANDIDATES / F.col("all"))
+    before = F.floor((F.col("upto") - F.col("n") - 1) * CANDIDATES / F.col("all"))
+    return sorted((r.rule, r.score) for r in upto.filter((eighth > before) | (F.col("upto") == F.col("n"))).select("rule", "score").collect())
+
+
+def needed(alpha: float, level: float) -> int:
+    """Good documents of which none may be hit to certify ``alpha`` at ``level``."""
+    return math.ceil(math.log(level) / math.log1p(-alpha))
+
+
 def fit_cutoffs(scores: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per stratum: lang and the chosen cutoff of each rule (null: none).
+    """Staged, one row per labelled language: q_lang and the cutoff of each rule (null: none).
 
     ``scores`` has doc_id, lang and a column for each rule.
     """
-    good = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = scores.join(good, "doc_id")
-    options = [F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cut"), (F.col(rule) > cut).alias("hit")) for rule, cuts in RULES.items() for cut in cuts]
-    cells = known.select("lang", (F.col("quality") >= 1).alias("good"), F.explode(F.array(*options)).alias("o"))
-    cells = cells.groupBy("lang", "o.rule", "o.cut").agg(
+    quality = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    held = F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1) >= "8"
+    known = stage(scores.join(quality, "doc_id").select("lang", (F.col("quality") >= 1).alias("good"), held.alias("held"), *RULES))
+    options = _candidates(known.filter("not held"))
+    langs = known.groupBy("lang").agg(F.count_if(F.col("held") & F.col("good")).alias("n"))
+    share = alpha / len(RULES)
+    level = delta / ((langs.count() + 1) * len(RULES) * CANDIDATES)
+    langs = stage(langs.select(F.col("lang").alias("q_lang"), (F.col("n") >= needed(share, level)).alias("own")))
+    stratum = [F.col("own"), F.when(F.col("own"), F.col("q_lang")).alias("stratum")]
+    if not options:
+        return langs.select("q_lang", *[F.lit(None).cast("int").alias(f"cut_{r}") for r in RULES])
+    hits = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cut"), (F.col(r) >= c).alias("hit")) for r, c in options])
+    cells = known.filter("held").join(langs, F.col("lang").eqNullSafe(F.col("q_lang"))).select(*stratum, "good", F.explode(hits).alias("o"))
+    cells = cells.groupBy("own", "stratum", "o.rule", "o.cut").agg(
         F.count_if(F.col("good")).alias("n"),
         F.count_if(F.col("good") & F.col("o.hit")).alias("k"),
         F.count_if(~F.col("good") & F.col("o.hit")).alias("bad"),
     )
-    cells = stage(cells)
-    tests = F.greatest(F.lit(1), F.lit(cells.count())).cast("double")
-    level = tail(F.col("n"), F.col("k"), alpha / len(RULES))
     gain = F.col("bad") - GOOD_WEIGHT * F.col("k")
-    fine = cells.filter((level <= F.lit(delta) / tests) & (gain > 0))
-    best = fine.groupBy("lang", "rule").agg(F.max_by("cut", F.struct(gain, F.col("cut"))).alias("cut"))
-    return best.groupBy("lang").pivot("rule", list(RULES)).agg(F.first("cut")).select(F.col("lang").alias("q_lang"), *[F.col(r).alias(f"cut_{r}") for r in RULES])
+    fine = stage(cells).filter((tail(F.col("n"), F.col("k"), share) <= F.lit(level)) & (gain > 0))
+    best = fine.groupBy("own", "stratum", "rule").agg(F.max_by("cut", F.struct(gain, F.col("cut"))).alias("cut"))
+    best = best.groupBy(F.col("own").alias("o"), F.col("stratum").alias("s")).pivot("rule", list(RULES)).agg(F.first("cut"))
+    chosen = langs.select("q_lang", *stratum).join(best, (F.col("own") == F.col("o")) & F.col("stratum").eqNullSafe(F.col("s")), "left")
+    return stage(chosen.select("q_lang", *[F.col(r).alias(f"cut_{r}") for r in RULES]))
 
 
 def _rejected() -> Column:
-    hits = [F.coalesce(F.col(rule) > F.col(f"cut_{rule}"), F.lit(False)) for rule in RULES]
+    hits = [F.coalesce(F.col(rule) >= F.col(f"cut_{rule}"), F.lit(False)) for rule in RULES]
     out = hits[0]
     for h in hits[1:]:
         out = out | h
@@ -144,24 +176,22 @@ def judge(docs: DataFrame, labels: DataFrame, **levels) -> DataFrame:
     """doc_id, lang, the base counts, base_failed, the scores, the cutoffs in force and kept."""
     rows = _repeats(_counts(docs.select("doc_id", "text", "lang"))).withColumns(_scores() | {"base_failed": base_failed()}).drop("q_words", "text")
     rows = stage(rows)
-    cutoffs = fit_cutoffs(rows, labels, **levels)
+    cutoffs = fit_cutoffs(rows.filter("not base_failed"), labels, **levels)
     rows = rows.join(cutoffs, F.col("lang").eqNullSafe(F.col("q_lang")), "left").drop("q_lang")
     rows = rows.withColumn("kept", ~(F.col("base_failed") | _rejected()))
     return rows.withColumnsRenamed({c: c[2:] for c in rows.columns if c.startswith("q_")})
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **levels) -> DataFrame:
-    """The rows of ``docs``, all columns, that pass: one pass for the scores, one to filter.
+    """The rows of ``docs``, all columns, that pass: one pass over the texts, staged with their scores.
 
-    The texts are not shuffled; cutoffs (one row per stratum) meet them by a join that Spark
+    The texts are not shuffled; cutoffs (one row per language) meet them by a join that Spark
     broadcasts while they are few.
     """
-    names = docs.columns
-    score_rows = _counts(docs.select("doc_id", "text", "lang")).withColumns(_scores()).select("doc_id", "lang", *RULES)
-    cutoffs = stage(fit_cutoffs(stage(score_rows), labels, **levels))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", "lang")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "lang")
     rows = _repeats(_counts(rows)).withColumns(_scores()).withColumn("base_failed", base_failed())
-    rows = rows.join(cutoffs, F.col("lang").eqNullSafe(F.col("q_lang")), "left")
-    # A sum, not a conjunction: no part of it moves below the join, where the optimizer
-    # would write out the definition of each count anew for each use.
-    return rows.filter(F.col("base_failed").cast("int") + _rejected().cast("int") == 0).select("row.*")
+    # Staged whole, then filtered: a filter would move below and write out each count's definition anew for each use.
+    rows = rows.select(F.when(~F.col("base_failed"), F.col("row")).alias("row"), "doc_id", "lang", *RULES, "base_failed")
+    rows = stage(rows).filter("not base_failed")
+    cutoffs = fit_cutoffs(rows.select("doc_id", "lang", *RULES), labels, **levels)
+    return rows.join(cutoffs, F.col("lang").eqNullSafe(F.col("q_lang")), "left").filter(~_rejected()).select("row.*")
