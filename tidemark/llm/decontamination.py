@@ -5,24 +5,32 @@ match: those that begin with as many benchmark words as the shortest window with
 same first word asks for. Every test suffix is binary-searched in every shard; a hit
 is extended to the longest verbatim match, whose place and length are returned.
 
-The benchmark is collected in blocks of at most ``BLOCK_BYTES`` of text, each shipped
-with one narrow pass, so what a task holds of it does not grow with the benchmark.
-
-Words: A-Z lower-cased, runs of bytes outside 00-2F, 3A-60, 7B-7F. A null text has no
-words. Items without words match nothing; an item of fewer words than the window is
+The benchmark is read in blocks of about ``BLOCK_BYTES`` of text (a longer item is a
+block of its own), each shipped with one narrow pass over the documents; passes but the
+last are staged. So the driver and a task hold one block at a time, whatever the size of
+the benchmark.
+
+Words: A-Z lower-cased, runs of bytes outside 00-2F, 3A-60, 7B-7F. Words are numbered by
+fingerprint and then compared byte for byte, so different words never match. A null text
+has no words. Items without words match nothing; an item of fewer words than the window is
 one window. Items that share an id count once. Rows of ``docs`` are judged one by
-one, repeated rows alike. Extra columns are ignored by ``find_matches`` and kept by
-``decontaminate``.
+one, repeated rows alike. Texts of any length are handled whole, by one task. An empty
+table gives an empty result; an empty benchmark matches nothing. Extra columns are ignored
+by ``find_matches`` and kept by ``decontaminate``, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import ALNUM_SEPARATOR, LOWER, U, chunks, portions
+from .storage import release, stage
+from .textarrays import ALNUM_SEPARATOR, LOWER, U, chunks, equal_slices, portions
 
 BLOCK_BYTES = 8 << 20
 WORD_SEED = 21
@@ -34,15 +42,22 @@ class TestSuffixes:
     """A block of benchmark items: vocabulary, word numbers, windows as search keys."""
 
     def __init__(self, texts: list[str | None], ids: list[str], width: int):
-        chunk = next(chunks(pa.array(texts, pa.string()), 1 << 40), None)
-        self.width, self.ids = width, ids
+        chunk = next(chunks(pa.array(texts, pa.large_string()), 1 << 40), None)
+        self.width, self.ids, self.seed = width, ids, WORD_SEED
         if chunk is None:
-            words, row = np.zeros(0, U), np.zeros(0, np.int64)
+            self.data, row, words = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, U)
+            start = end = row
         else:
-            data = LOWER[chunk.data]
-            start, end, row = chunk.words(ALNUM_SEPARATOR, data)
-            words = chunk.fingerprints(start, end, WORD_SEED, data)
-        self.vocabulary, number = np.unique(words, return_inverse=True)
+            self.data = LOWER[chunk.data]
+            start, end, row = chunk.words(ALNUM_SEPARATOR, self.data)
+            words = chunk.fingerprints(start, end, self.seed, self.data)
+        while True:
+            self.vocabulary, first, number = np.unique(words, return_index=True, return_inverse=True)
+            self.place, self.length = start[first], end[first] - start[first]
+            if self._same(number, self.data, start, end).all():
+                break
+            self.seed += 1  # two words of one name: name all anew
+            words = chunk.fingerprints(start, end, self.seed, self.data)
         self.word = (number + 1).astype(np.uint32)
         self.row = row
         n = len(words)
@@ -65,29 +80,58 @@ class TestSuffixes:
         key = np.where(inside, self.word[np.minimum(place, max(0, len(self.word) - 1))] if len(self.word) else 0, fill)
         return search_keys(key.astype(np.uint32))
 
-    def numbers(self, words: np.ndarray) -> np.ndarray:
-        """Vocabulary number of each word, 0 for words that no item has."""
+    def _same(self, number, data, start, end) -> np.ndarray:
+        """Is each word of ``data`` the word of the vocabulary with that number, byte for byte?"""
+        same = self.length[number] == end - start
+        long = np.flatnonzero(same & (end - start > 8))  # names are one-to-one on shorter words of one length
+        same[long] = equal_slices(self.data, self.place[number[long]], data, start[long], (end - start)[long])
+        return same
+
+    def numbers(self, chunk, start, end, data) -> np.ndarray:
+        """Vocabulary number of each word, from 1 on; 0 for words that no item has."""
+        words = chunk.fingerprints(start, end, self.seed, data)
         out = np.zeros(len(words), np.uint32)
         ask = np.flatnonzero(self.sieve[(words & U(0xFFFF)).astype(np.int64)])
         if len(ask) and len(self.vocabulary):
             at = np.minimum(np.searchsorted(self.vocabulary, words[ask]), len(self.vocabulary) - 1)
-            out[ask] = np.where(self.vocabulary[at] == words[ask], at + 1, 0)
+            known = self.vocabulary[at] == words[ask]
+            ask, at = ask[known], at[known]
+            same = self._same(at, data, start[ask], end[ask])
+            out[ask[same]] = at[same] + 1
         return out
 
 
+@dataclass(frozen=True)
+class Block:
+    """Texts and ids of some benchmark items, as they travel; a worker process makes the tables of the last block it met."""
+
+    name: str
+    texts: list[str | None]
+    ids: list[str]
+    width: int
+
+    def tests(self) -> TestSuffixes:
+        if self.name not in _made:
+            _made.clear()
+            _made[self.name] = TestSuffixes(self.texts, self.ids, self.width)
+        return _made[self.name]
+
+
+_made: dict[str, TestSuffixes] = {}
+
+
 def search_keys(numbers: np.ndarray) -> np.ndarray:
     """Rows of word numbers as byte strings in the same order."""
     n, width = numbers.shape
     return np.ascontiguousarray(numbers.astype(">u4")).view(f"S{4 * width}").reshape(n) if n else np.zeros(0, f"S{4 * width}")
 
 
-def search(word: np.ndarray, row: np.ndarray, tests: TestSuffixes):
-    """Longest matches of the test suffixes in one shard: starts, lengths, item rows."""
-    n, width = len(word), tests.width
+def search(number: np.ndarray, row: np.ndarray, tests: TestSuffixes):
+    """Longest matches of the test suffixes in one shard of numbered words: starts, lengths, item rows."""
+    n, width = len(number), tests.width
     none = np.zeros(0, np.int64)
     if not n or not len(tests.start):
         return none, none, none
-    number = tests.numbers(word)
     edge = np.r_[np.flatnonzero(row[1:] != row[:-1]) + 1, n]
     stop = np.where(number == 0, np.arange(n), n)
     stop = np.minimum.accumulate(stop[::-1])[::-1]
@@ -128,15 +172,15 @@ def search(word: np.ndarray, row: np.ndarray, tests: TestSuffixes):
 MATCHES = "array<struct<start: long, length: long, item: string>>"
 
 
-def _search_block(tests: TestSuffixes, carried: bool, passes_on: bool):
-    items = pa.array(tests.ids, pa.string())
-
+def _search_block(block: Block, carried: bool, passes_on: bool):
     def run(batches):
+        tests = block.tests()
+        items = pa.array(tests.ids, pa.string())
         for batch in portions(batches):
             for chunk in chunks(batch.column("text"), SHARD_BYTES):
                 data = LOWER[chunk.data]
                 start, end, row = chunk.words(ALNUM_SEPARATOR, data)
-                at, length, item = search(chunk.fingerprints(start, end, WORD_SEED, data), row, tests)
+                at, length, item = search(tests.numbers(chunk, start, end, data), row, tests)
                 at_row = row[at] if len(at) else at
                 order = np.lexsort((at, at_row))
                 at, length, item, at_row = at[order], length[order], item[order], at_row[order]
@@ -148,30 +192,37 @@ def _search_block(tests: TestSuffixes, carried: bool, passes_on: bool):
                 if carried:
                     lists = pa.array([(a or []) + b for a, b in zip(part.column("matches").to_pylist(), lists.to_pylist(), strict=True)], lists.type)
                 counts = pa.array(np.bincount(row, minlength=chunk.rows), pa.int64())
-                keep = [part.column(c) for c in part.schema.names if c not in ("matches", "n_words") and (passes_on or c != "text")]
                 names = [c for c in part.schema.names if c not in ("matches", "n_words") and (passes_on or c != "text")]
-                yield pa.RecordBatch.from_arrays([*keep, counts, lists], names=[*names, "n_words", "matches"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), counts, lists], names=[*names, "n_words", "matches"])
 
     return run
 
 
 def _blocks(benchmark: DataFrame, width: int, block_bytes: int):
+    """The blocks one after the other, with whether more follow."""
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 64), F.lit(0))).first()[0]
     number = 1 + total // block_bytes
     part = F.pmod(F.xxhash64("item", "text"), F.lit(number))
     for k in range(number):
         rows = sorted(benchmark.filter(part == k).collect(), key=lambda r: (r.item, r.text or ""))
-        yield TestSuffixes([r.text for r in rows], [r.item for r in rows], width)
+        yield Block(uuid.uuid4().hex, [r.text for r in rows], [r.item for r in rows], width), k + 1 < number
 
 
-def _search_all(docs: DataFrame, benchmark: DataFrame, width: int, item_column: str, item_text: str, block_bytes: int, keep_text: bool) -> DataFrame:
+def _search_all(docs: DataFrame, benchmark: DataFrame, width: int, item_column: str, item_text: str, block_bytes: int, drop: bool) -> DataFrame:
+    """``docs`` (text and others) with n_words and matches, without text; with ``drop`` only the rows that match nothing."""
     items = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
-    blocks = list(_blocks(items, width, block_bytes))
-    for k, tests in enumerate(blocks):
-        stays = keep_text or k + 1 < len(blocks)
-        kept = [f for f in docs.schema.fields if f.name not in ("matches", "n_words") and (stays or f.name != "text")]
+    first = None
+    for block, more in _blocks(items, width, block_bytes):
+        kept = [f for f in docs.schema.fields if f.name not in ("matches", "n_words") and (more or f.name != "text")]
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_words long", f"matches {MATCHES}"])
-        docs = docs.mapInArrow(_search_block(tests, k > 0, stays), schema)
+        found = docs.mapInArrow(_search_block(block, first is not None and not drop, more), schema)
+        found = found.filter(F.size("matches") == 0) if drop else found
+        if more:
+            found = stage(found)
+            if first is not None:
+                release(docs)
+            first = first or found
+        docs = found
     return docs
 
 
@@ -181,7 +232,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_colu
     matches are longest verbatim matches that hold a window of ``width`` words (or a
     whole shorter item); n_hit counts the words inside them.
     """
-    found = _search_all(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), benchmark, width, item_column, item_text, block_bytes, keep_text=False)
+    found = _search_all(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), benchmark, width, item_column, item_text, block_bytes, drop=False)
     return found.withColumns({"n_hit": _hit_words("matches"), "items": F.array_sort(F.array_distinct("matches.item"))})
 
 
@@ -199,5 +250,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_c
     """The rows of ``docs``, all columns, in which no window of the benchmark occurs."""
     names = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_column}`").alias("text"))
-    found = _search_all(inner, benchmark, width, item_column, item_text, block_bytes, keep_text=False)
-    return found.filter(F.size("matches") == 0).select("row.*")
+    return _search_all(inner, benchmark, width, item_column, item_text, block_bytes, drop=True).select("row.*")

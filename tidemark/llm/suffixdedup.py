@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .exchange import PACKED_DDL, Remembered, by_document, is_hot, membership, pack, part_of, parts_for, shared_keys, to_documents
 from .storage import release, stage, with_rid
-from .textarrays import U, binary_buffers, chunks, mix, portions, ragged, rolling, slice_binary, span_lists, spans_of
+from .textarrays import U, binary_buffers, chunks, equal_slices, gather, mix, portions, ragged, rolling, slice_binary, span_lists, spans_of
 
 GRAM = 16
 SHALLOW = 40
@@ -103,12 +103,6 @@ STRINGS = pa.schema([("part", pa.int32()), ("kind", pa.int8()), *((c, pa.binary(
 ASKED, SETTLED = 0, 1
 
 
-def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The slices of ``data``, end to end."""
-    ends = np.cumsum(length)
-    return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)]
-
-
 def _string_rows(kind: int, part, row, rids, ids, start, length, text) -> pa.RecordBatch:
     """One row per part: the documents' ids once, then each string's document, place and bytes (packed by zstd).
 
@@ -159,10 +153,7 @@ def _same_text(data, place, length, order, at) -> np.ndarray:
     """Does string ``order[at]`` equal the one before it, byte for byte?"""
     a, b = order[at], order[at - 1]
     same = length[a] == length[b]
-    size = np.where(same, length[a], 0)
-    differs = gather(data, place[a], size) != gather(data, place[b], size)
-    bad = np.bincount(np.repeat(np.arange(len(at)), size), weights=differs, minlength=len(at))
-    return same & (bad == 0)
+    return same & equal_slices(data, place[a], data, place[b], np.where(same, length[a], 0))
 
 
 def single_windows(data, start, end, row, key, width: int):

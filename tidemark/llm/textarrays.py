@@ -186,6 +186,18 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The slices of ``data``, end to end."""
+    ends = np.cumsum(length)
+    return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)]
+
+
+def equal_slices(a: np.ndarray, place_a: np.ndarray, b: np.ndarray, place_b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Does each slice of ``a`` equal that of ``b``, byte for byte?"""
+    differs = gather(a, place_a, length) != gather(b, place_b, length)
+    return np.bincount(np.repeat(np.arange(len(length)), length), weights=differs, minlength=len(length)) == 0
+
+
 def slice_binary(values: np.ndarray, borders: np.ndarray) -> pa.Array:
     """A binary column: entry i is ``values[borders[i]:borders[i + 1]]``."""
     values = np.ascontiguousarray(values)
