@@ -9,11 +9,13 @@ order the words taken differ from the target by one largest document at most.
 
 Prefix sums are two-level: rows are range-partitioned by (source, size, id), so a
 source with a third of all rows spreads over a third of the partitions; only counts
-by (source, partition) are added up across partitions.
+by (source, partition) are added up across partitions. Sources are numbered in the same
+way and reshared by sums, so there may be as many as there are web hosts.
 
 Null text has size 0. A null source is a source of its own, last in order. Ties and
 repeated rows take consecutive places. The offset is a hash of seed and source, so
-reruns agree.
+reruns agree. Texts of any length are handled whole. An empty table gives an empty
+result. ``mix`` keeps extra columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import shuffle_width, stage
+from .storage import broadcast_if_small, shuffle_width, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOW = (1 << 33) - 1
@@ -37,22 +39,33 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """Staged ``df`` with place: 1, 2, ... in that order. Only counts by partition are added up in one task."""
+    rows = df.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order)
+    rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"_part": F.shiftright("_row", 33), "_at": F.col("_row").bitwiseAND(F.lit(LOW))})
+    before = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = before.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    return rows.join(before, "_part").select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("place"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Adds place, weight and target to (source, source_size), one row per source."""
-    everything = Window.partitionBy()
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    """Staged (source, place, weight, source_size, target), one row per row of ``sizes`` (source, source_size)."""
     cycle = F.array(*[F.lit(w) for w in weights])
-    t = sizes.withColumn("place", F.row_number().over(order))
-    t = t.withColumn("weight", F.element_at(cycle, (F.col("place") - 1) % len(weights) + 1))
-    t = t.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    t = t.withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(share)))
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), "place")
-    t = t.withColumn("caps", F.sum("cap").over(fill) - F.col("cap"))
-    t = t.withColumn("open", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-    t = t.withColumn("full", F.col("cap") * F.col("open") <= (F.col("budget") - F.col("caps")) * F.col("weight"))
-    left = F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(everything)
-    level = F.try_divide(left, F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(everything))
-    return t.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * level)).select("source", "place", "weight", "source_size", "target")
+    t = _numbered(sizes, F.col("source").asc_nulls_last())
+    t = t.withColumn("weight", F.element_at(cycle, ((F.col("place") - 1) % len(weights) + 1).cast("int")))
+    t = stage(t.withColumn("cap", F.col("source_size") * F.lit(float(most))))
+    whole, every = t.agg(F.sum("source_size"), F.sum("weight")).first()
+    left, open_ = float(whole or 0) * share, every or 0
+    while True:  # sources that reach their cap leave the rest to the others
+        full = F.col("cap") * F.lit(open_) <= F.lit(left) * F.col("weight")
+        caps, still = t.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0))).first()
+        now = float(whole or 0) * share - caps, still
+        if now == (left, open_) or not still:
+            break
+        left, open_ = now
+    level = F.lit(left / open_ if open_ else 0.0)
+    return stage(t.withColumn("target", F.when(full, F.col("cap")).otherwise(F.col("weight") * level)).select("source", "place", "weight", "source_size", "target"))
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
@@ -62,7 +75,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1
     """
     docs = stage(docs)
     names = docs.columns
-    sources = stage(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
+    sources = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     order = [F.col("place"), F.col("size").desc(), F.col("doc_id")]
     placed = docs.join(sources.select("source", "place").withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     placed = placed.drop("_source").repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
@@ -79,12 +92,12 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: each row of ``docs``, all columns, as often as the plan says."""
-    rid = F.xxhash64("doc_id", "source", "text")
-    narrow = docs.select("doc_id", "source", word_count("text").alias("size"), rid.alias("_rid"))
-    copies = plan(narrow, **settings).groupBy("_rid").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    rows = docs.withColumn("_rid", rid).join(copies, "_rid")
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_rid").orderBy("doc_id")))
-    own = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_k") <= F.col("_copies") % F.col("_rows")).cast("long")
-    rows = rows.withColumn("_copies", own).filter("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """The mix itself: each row of ``docs``, all columns, as often as the plan says.
+
+    Rows are staged with a number, by which the narrow plan finds them again.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", word_count("text").alias("size"))
+    rows = stage(rows.withColumn("number", F.monotonically_increasing_id()))
+    copies = plan(rows.select("doc_id", "source", "size", "number"), **settings).filter("copies > 0").select("number", "copies")
+    taken = rows.select("number", "row").join(broadcast_if_small(copies), "number")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
