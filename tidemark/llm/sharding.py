@@ -9,10 +9,15 @@ Prefix sums are two-level over range-partitioned rows, so a group of any size sp
 over partitions. The search runs on the driver over a bounded set of group borders:
 first one border for each of ``SUMMARY`` stretches of the prefix sum, which brackets
 the answer, then all borders inside the brackets, with finer stretches in between as
-long as those are too many. The result is the exact minimum.
-
-Null text is a group of its own with size 1 a row. Repeated rows are rows. The shards
-after the last group are empty.
+long as those are too many. Where brackets do not narrow, ``PROBES`` capacities at a time
+are packed by passes over all borders. The result is the exact minimum either way, and the
+driver never holds more than that many numbers.
+
+The join of rows with their group's size is one of plain staged tables, in which Spark
+splits a group that exceeds a partition. Null text is a group of its own with size 1 a
+row. Repeated rows are rows. Texts of any length are handled whole. The shards after the
+last group are empty; an empty table gives an empty result. ``text_rows`` ignores extra
+columns; ``assign`` keeps those that its rows have.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .storage import shuffle_width, stage
 
-SUMMARY = 50_000
+SUMMARY, PROBES = 50_000, 1000
 
 
 def pack(ends: np.ndarray, capacity: int, shards: int) -> np.ndarray | None:
@@ -64,6 +69,45 @@ def _brackets(ends: np.ndarray, low: int, high: int, shards: int) -> list[tuple[
     return out
 
 
+def _farthest(reach: np.ndarray):
+    """For each number of ``reach`` the greatest end of the task up to it."""
+
+    def run(batches):
+        best = np.full(len(reach), -1, np.int64)
+        for batch in batches:
+            ends = np.sort(batch.column("end").to_numpy())
+            at = np.searchsorted(ends, reach, "right") - 1
+            best = np.where(at >= 0, np.maximum(best, ends[np.maximum(at, 0)]) if len(ends) else best, best)
+        some = np.flatnonzero(best >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(best[some])], names=["i", "end"])
+
+    return run
+
+
+def packed_by_passes(ends: DataFrame, capacities: np.ndarray, shards: int) -> np.ndarray:
+    """Greedy cuts for each capacity, one row a shard: each shard is one pass over ``ends``."""
+    at, cuts = np.zeros(len(capacities), np.int64), []
+    for _ in range(shards):
+        found = ends.select("end").mapInArrow(_farthest(at + capacities), "i long, end long").groupBy("i").agg(F.max("end").alias("end")).collect()
+        after = at.copy()
+        for r in found:
+            after[r.i] = max(at[r.i], r.end)
+        at = after
+        cuts.append(at)
+    return np.array(cuts)
+
+
+def probed_cuts(ends: DataFrame, shards: int, low: int, high: int, total: int, probes: int = PROBES) -> tuple[int, np.ndarray]:
+    """The least capacity in [low, high] (high is enough), by passes that pack many capacities at a time."""
+    while True:
+        tried = np.unique(np.linspace(low, high, probes).astype(np.int64))
+        cuts = packed_by_passes(ends, tried, shards)
+        first = int(np.flatnonzero(cuts[-1] == total)[0])
+        if first == 0 or tried[first] == tried[first - 1] + 1:
+            return int(tried[first]), np.unique(cuts[:, first])
+        low, high = int(tried[first - 1]) + 1, int(tried[first])
+
+
 def minimax_cuts(ends: DataFrame, shards: int, largest: int, total: int, summary: int = SUMMARY) -> tuple[int, np.ndarray]:
     """Capacity and cuts over ``ends`` (column ``end``: prefix sums after each group)."""
     least = max(largest, -(-total // shards))
@@ -87,10 +131,8 @@ def minimax_cuts(ends: DataFrame, shards: int, largest: int, total: int, summary
         for a, b in spans:
             inside = inside | F.col("end").between(a, b)
         narrower = sum(b - a + 1 for a, b in spans)
-        if narrower >= width:  # brackets do not help: all borders decide
-            known = np.unique(np.array([r[0] for r in ends.select("end").toLocalIterator()], np.int64))
-            capacity = smallest_capacity(known, shards, least)
-            return capacity, pack(known, capacity, shards)
+        if narrower >= width:  # brackets do not help
+            return probed_cuts(ends, shards, least, capacity, total)
         width = narrower
 
 
