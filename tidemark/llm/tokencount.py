@@ -3,7 +3,9 @@
 Texts are cut at safe boundaries (a single space between two letters or digits, which
 no token of these vocabularies crosses) into segments; segments go to the tokenizer in
 batches of about equal bytes. A stretch without such a boundary stays whole. Null is
-an empty text; no text is truncated. Rows are counted one by one.
+an empty text; no text is truncated, however long. Rows are counted one by one, repeated
+rows alike. An empty table gives an empty result. Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -70,7 +72,7 @@ def count_texts(texts: list[str], path: str) -> list[int]:
         for segment in segments(text, keep_space):
             waiting.append(segment)
             owner.append(i)
-            size += len(segment)
+            size += len(segment) if segment.isascii() else len(segment.encode())
             if size >= BATCH_BYTES:
                 flush()
                 waiting, owner, size = [], [], 0
