@@ -414,3 +414,206 @@ def test_tokens_of_nothing(spark, docs, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in tokencount.count_tokens(docs, path).collect()}
     assert got[3] == (0, 0) and got[4] == (0, 0) and tokencount.count_tokens(none, path).count() == 0
+
+
+def test_cuts_by_passes_equal_the_search(spark):
+    draw = np.random.default_rng(4)
+    for most in (3, 50, 5000):
+        sizes = draw.integers(1, most, 400)
+        ends = np.cumsum(sizes)
+        frame = spark.createDataFrame([(int(e),) for e in draw.permutation(ends)], "end long").repartition(3)
+        least = max(int(sizes.max()), -(-int(ends[-1]) // 5))
+        exact = sharding.smallest_capacity(ends, 5, least)
+        capacity, cuts = sharding.probed_cuts(frame, 5, least, int(ends[-1]), int(ends[-1]), probes=7)
+        assert capacity == exact and cuts.tolist() == sharding.pack(ends, exact, 5).tolist()
+
+
+def thue_morse(bits, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(1 << bits))
+
+
+def test_words_are_told_apart_byte_for_byte(spark):
+    """Words that every polynomial modulo 2**64 takes for one another; different words of one name."""
+    one, other = thue_morse(11), thue_morse(11, "b", "a")
+    chunk = next(textarrays.chunks(pa.array([f"{one} {other} {one}"])))
+    start, end, _ = chunk.words(textarrays.WORD_SEPARATOR)
+    names = chunk.fingerprints(start, end, 5)
+    assert names[0] == names[2] != names[1]
+    bench = spark.createDataFrame([("1", one)], "item_id string, text string")
+    df = spark.createDataFrame([(1, f"x {other} y"), (2, f"x {one} y")], "doc_id int, text string")
+    assert {r.doc_id: r.n_hit for r in decontamination.find_matches(df, bench).collect()} == {1: 0, 2: 1}
+    tests = decontamination.TestSuffixes(["abcdefghij klmnopqrst"], ["1"], 10)
+    chunk = next(textarrays.chunks(pa.array(["abcdefghij abcdefghiX"])))
+    start, end, _ = chunk.words(textarrays.ALNUM_SEPARATOR)
+    chunk.fingerprints = lambda *_: np.repeat(tests.vocabulary[tests.word[0] - 1], 2)
+    assert tests.numbers(chunk, start, end, chunk.data).tolist() == [tests.word[0], 0]
+
+
+def test_many_benchmark_blocks_one_at_a_time(spark):
+    """Blocks of one item each: a task runs one search, and matches of all blocks come together."""
+    items = [(str(i), f"only{i} of the items number{i}") for i in range(6)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    df = spark.createDataFrame([(i, f"a {t} b " + (items[0][1] if i == 3 else "")) for i, (_, t) in enumerate(items)] + [(9, None), (9, "")], "doc_id int, text string")
+    found = decontamination.find_matches(df, bench, block_bytes=60)
+    assert found._jdf.queryExecution().toString().count("MapInArrow") <= 4  # one in each of the four plans
+    assert sorted((r.doc_id, r.n_hit, tuple(r["items"])) for r in found.collect()) == [
+        (0, 5, ("0",)), (1, 5, ("1",)), (2, 5, ("2",)), (3, 10, ("0", "3")), (4, 5, ("4",)), (5, 5, ("5",)), (9, 0, ()), (9, 0, ()),
+    ]
+    assert decontamination.decontaminate(df, bench, block_bytes=60).count() == 2
+
+
+def test_a_passage_in_every_document(spark):
+    """Its anchors and minimizers are hot: their windows are dealt one by one, whether the list of hot keys is kept or too long."""
+    from tidemark.llm import exchange
+
+    common = " ".join(f"p{i}" for i in range(50))
+    rows = [(i, " ".join(f"d{i}x{j}" for j in range(i % 40)) + f" {common} " + " ".join(f"e{i % 7}y{j}" for j in range(30))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    words = [t.split() for _, t in rows]
+    seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    texts = [(d, t.encode()) for d, t in rows]
+    least: dict = {}
+    for d, b in texts:
+        for i in range(len(b) - 49):
+            least.setdefault(b[i : i + 50], d)
+    for limit in (exchange.HOT_LIST, 0):
+        kept, exchange.HOT_LIST = exchange.HOT_LIST, limit
+        try:
+            named = df.withColumn("rid", F.col("doc_id")).mapInArrow(recompression._name_anchors(35, 4), exchange.PACKED_DDL)
+            hot = exchange.shared_keys(named, np.uint32, 4)[1]
+            assert hot is None if not limit else len(hot) > 0
+            got = {r.doc_id: r.n_removed for r in recompression.remove_repeats(df).collect()}
+            cut = {r.doc_id: r.n_removed for r in suffixdedup.remove_later(df).collect()}
+        finally:
+            exchange.HOT_LIST = kept
+        for (d, _), w in zip(rows, words, strict=True):
+            gone = [False] * len(w)
+            for i in range(len(w) - 34):
+                if seen[tuple(w[i : i + 35])] > 1:
+                    gone[i : i + 35] = [True] * 35
+            assert got[d] == sum(gone)
+        for d, b in texts:
+            bare = bytearray(len(b))
+            for i in range(len(b) - 49):
+                if least[b[i : i + 50]] < d:
+                    bare[i : i + 50] = b"\1" * 50
+            assert cut[d] == sum(bare)
+
+
+def test_long_texts(spark):
+    """Texts beyond a portion of 8 MB: each operator takes them whole."""
+    import hashlib
+
+    draw = np.random.default_rng(9)
+    name = [f"{x:x}" for x in draw.integers(1 << 16, 1 << 40, 900_000)]
+    long, tail = " ".join(name), " ".join(name[-60:])
+    assert len(long) > 8 << 20
+    df = spark.createDataFrame([(1, long, "a", "en"), (2, "x " + tail, "a", "en"), (3, "short", None, None)], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in recompression.remove_repeats(df).collect()}
+    assert got == {1: (900_000, 60), 2: (61, 60), 3: (1, 0)}
+    got = {r.doc_id: r.n_removed for r in suffixdedup.remove_later(df).collect()}
+    assert got == {1: 0, 2: len(tail) + 1, 3: 0}  # with the space before it
+    bench = spark.createDataFrame([("i", " ".join(name[-12:]))], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in decontamination.find_matches(df, bench).collect()} == {1: 12, 2: 12, 3: 0}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(df, 4, 85).collect()}
+    assert got[1] == (len(set(zip(name, name[1:], name[2:], name[3:], strict=False))), 1) and got[3] == (1, 3)
+    assert {r.doc_id: r.n_words for r in quality.judge(df, spark.createDataFrame([], "doc_id long, quality int")).collect()} == {1: 900_000, 2: 61, 3: 1}
+    assert {r.doc_id: r.size for r in sharding.assign(sharding.text_rows(df), 2).collect()}[1] == len(long) + 1
+    mixed = mixing.mix(df, share=1.0, weights=(1,)).select("doc_id", F.sha2("text", 256).alias("h")).collect()
+    assert {r.doc_id: r.h for r in mixed}[1] == hashlib.sha256(long.encode()).hexdigest()
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    part = long[: 9 << 20]
+    count = tokencount.count_tokens(spark.createDataFrame([(1, part)], "doc_id long, text string"), path).first()
+    assert count.n_tokens == len(sentencepiece.SentencePieceProcessor(model_file=path).encode(part))
+
+
+CLASHES = "doc_id long, text string, source string, lang string, _rid string, _k string, _copies string, _copy string, row string, number string, rid string, copies string, node string, label string, matches string, n_words string"
+
+
+def test_columns_that_clash_with_internal_names(spark):
+    """Operators that return the columns of their input return them as they came, even those named like their own."""
+    extra = ("k1", "k2", "k3", "k4", "k5", "k6", "k7", "k8", "k9", "k10", "k11", "k12")
+    rows = [(i, " ".join(f"w{i % 5}x{j}" for j in range(20)), "ab"[i % 2] if i else None, "en", *extra) for i in range(12)] + [(3, None, "a", "en", *extra), (None, "lone text here", None, None, *extra)]
+    df = spark.createDataFrame(rows, CLASHES)
+    bench = spark.createDataFrame([("7", "w4x1 w4x2")], "item_id string, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for out in (mixing.mix(df), jaccard.keep_one(df), decontamination.decontaminate(df, bench), quality.keep_good(df, labels)):
+        found = out.collect()
+        assert out.columns == df.columns and found and {tuple(r)[4:] for r in found} == {extra}
+    assert set(map(tuple, mixing.mix(df).collect())) <= set(rows)
+    for out in (recompression.remove_repeats(df), suffixdedup.remove_later(df), jaccard.classes(df), decontamination.find_matches(df, bench), sharding.assign(sharding.text_rows(df), 3)):
+        assert out.count() == len(rows)
+
+
+def test_null_ids_and_hashes_of_nulls(spark):
+    rows = [(None, "a b c d e f g"), (3, "a b c d e f g"), (5, "a b c d e f g"), (None, "q r s t u v"), (None, "z y x w v u")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("3", "a b c d e f g"), ("None", "q r s t u v"), ("None", "z y x w v u")]
+    pair = spark.createDataFrame([(1, None, "one two"), (1, "one two", None), (1, "one two", None)], "doc_id long, source string, text string")
+    mixed = Counter(map(tuple, mixing.mix(pair, share=2.0).collect()))
+    assert mixed[1, None, "one two"] == 2 and mixed[1, "one two", None] <= 4
+
+
+def test_prefixes_close_large_groups(spark, monkeypatch):
+    """Without hub rounds, the join by rare shingles finds the links across components."""
+    monkeypatch.setattr(jaccard, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "ALL_PAIRS", 2)
+    draw = np.random.default_rng(6)
+    rows = []
+    for f in range(4):
+        base = [f"f{f}b{i}" for i in range(40)]
+        for k in range(30):
+            words = list(base)
+            for at in draw.choice(40, 2, replace=False):
+                words[at] = f"c{f}x{k}x{at}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.classes(df, 2, 75).select("doc_id", "n_shingles", "component_id").collect()
+    assert counted(got) == counted(brute_classes(rows, 2, 75))
+
+
+def test_components_by_contraction(spark):
+    draw = np.random.default_rng(8)
+    n = 4000
+    links = [(i, i + 1) for i in range(0, 1500)] + [tuple(sorted(map(int, draw.choice(np.arange(1600, n), 2, replace=False)))) for _ in range(1500)]
+    order = draw.permutation(len(links))
+    df = spark.createDataFrame([links[i] for i in order], "u long, v long").repartition(7)
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in links:
+        a, b = sorted((find(u), find(v)))
+        root[b] = a
+    expected = {x: find(x) for link in links for x in link}
+    assert {r.node: r.label for r in jaccard.components(df).collect()} == expected
+    some, rest = df.filter("u % 3 = 0"), df.filter("u % 3 != 0")
+    assert {r.node: r.label for r in jaccard.merged(jaccard.components(some), rest).collect()} == expected
+
+
+def test_quality_false_rejections_on_fresh_labels(spark):
+    """Cutoffs found on some labels reject few good documents among others; small languages are pooled."""
+    draw = np.random.default_rng(12)
+
+    def document(i):
+        bad, lang = draw.random() < 0.25, ("en", "de", "fr", "xx")[0 if draw.random() < 0.6 else 1 + int(draw.random() < 0.5)]
+        share = draw.random() if bad else (draw.random() * 0.5 if draw.random() < 0.03 else 0.0)
+        return (i, " ".join(f"w{i}x{j}" + "#" * int(draw.random() < share) for j in range(60)), lang), (i, int(not bad))
+
+    rows, marks = zip(*(document(i) for i in range(9000)), strict=True)
+    df = spark.createDataFrame([*rows, (9999, "###### " * 3 + " ".join(f"u{j}" for j in range(20)), "new")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([m for m in marks if m[0] < 6000], "doc_id long, quality int")
+    out = quality.judge(df, labels)
+    truth = dict(marks)
+    fresh = [r for r in out.collect() if r.doc_id >= 6000]
+    assert [r.kept for r in fresh if r.lang == "new"] == [True]
+    for lang in ("en", "de", "fr"):
+        good = [r for r in fresh if r.lang == lang and truth[r.doc_id] and not r.base_failed]
+        bad = [r for r in fresh if r.lang == lang and not truth[r.doc_id] and not r.base_failed]
+        assert sum(not r.kept for r in good) <= 0.05 * len(good) and sum(not r.kept for r in bad) > 0.3 * len(bad)

@@ -111,7 +111,7 @@ def probed_cuts(ends: DataFrame, shards: int, low: int, high: int, total: int, p
 def minimax_cuts(ends: DataFrame, shards: int, largest: int, total: int, summary: int = SUMMARY) -> tuple[int, np.ndarray]:
     """Capacity and cuts over ``ends`` (column ``end``: prefix sums after each group)."""
     least = max(largest, -(-total // shards))
-    inside, width = F.lit(True), total
+    inside, width = F.lit(True), total if ends.count() > summary else summary  # few borders: all at once
     while True:
         step = max(1, width // summary)
         some = ends.filter(inside)
