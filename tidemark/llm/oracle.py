@@ -1,7 +1,8 @@
 """DuckDB SQL for the operators' queries, written from their contracts.
 
-op2 (a search for the least capacity), op4 (a fitted classifier) and op10 (a tokenizer)
-have none; tests/llm holds them against brute-force versions.
+op2 is stated as a recurrence over all numbers of shards and all borders, not as a search.
+op4 (a fitted classifier) and op10 (a tokenizer) have none; tests/llm holds them against
+brute-force versions.
 """
 
 from __future__ import annotations
@@ -23,6 +24,23 @@ r AS (SELECT d.*, t.source_size, t.target, t.off, CASE WHEN t.source_size > 0 TH
   row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.doc_id) - 1 AS i FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM (SELECT *, (floor((i + 1) * rate + off) - floor(i * rate + off))::BIGINT AS copies FROM r)"""
 
+_STEPS = ",\n".join(f"f{k} AS (SELECT b.e, min(greatest(a.f, b.e - a.e)) AS f FROM f{k - 1} a JOIN ends b ON a.e <= b.e GROUP BY 1)" for k in range(2, 17))
+SQL["op2_sharding"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, md5(text) AS grp, text, hex(encode(text)) AS h FROM documents),
+crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n::BIGINT], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t),
+crc AS (SELECT text, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM (SELECT DISTINCT text, h FROM d WHERE text IS NOT NULL), crc_table),
+g AS (SELECT grp, sum(size) AS weight FROM d GROUP BY 1),
+o AS (SELECT grp, weight, sum(weight) OVER (ORDER BY weight DESC, grp) AS e FROM g),
+ends AS (SELECT e::BIGINT AS e FROM o),
+f1 AS (SELECT e, e AS f FROM ends),
+{_STEPS},
+cap AS (SELECT f AS capacity FROM f16 ORDER BY e DESC LIMIT 1),
+cuts AS (SELECT 0 AS k, 0::BIGINT AS cut UNION ALL SELECT k + 1, (SELECT max(e) FROM ends WHERE e <= cut + capacity) FROM cuts, cap WHERE k < 16),
+p AS (SELECT o.grp, (SELECT count(DISTINCT cut) FROM cuts WHERE cut > 0 AND cut < o.e)::INTEGER AS shard, weight FROM o)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY weight DESC, d.grp, doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM d JOIN p ON d.grp IS NOT DISTINCT FROM p.grp LEFT JOIN crc ON crc.text = d.text"""
+
 SQL["op3_recompression"] = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
