@@ -317,3 +317,82 @@ def test_episode_build(spark):
     assert (rows[1].label, rows[1].prompt, rows[1].question.close_date, rows[1].question.markets, rows[1].forecast_date) == ("YES", "Forecast: T", "2025-02-01", None, "2025-01-05")
     assert rows[2].question.markets[0].question == "" and rows[2].crowd_prob is None
     assert episodes.build(questions, picked, domains, start="2024-12-01").first().start_date == "2024-12-01"
+
+
+def test_json_lines_end_with_their_object(spark, tmp_path):
+    """The check of a line agrees with Python's reader; the strict reader raises, the lenient ones drop."""
+    lines = [
+        '{"event_id":"b"}', '{"event_id":"b"} junk', '{"a":1}, {"b":2}', '{"a":1}] x', '{"a":NaN}', "{'a':1}", '{"a":1,"a":2}', "[1]", '"x"', "1", '{"a":1,}', "{a:1}", "",
+        '{"a":01}', ' {"a":{"b":[1,{"c":"]"}]}} ', '{"a":1}{"b":2}', '{"a":"\\\\ud800"}', '{"a":"tab\t"}', "{} ", '{"a":"\\\\x"}', '/*c*/{"a":1}', '{"a":+1}', '{"a":.5}', "null", '{"event_id":',
+    ]
+
+    def reads(line):
+        try:
+            return isinstance(json.loads(line), dict)
+        except ValueError:
+            return False
+
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert [r.ok for r in df.select(files.json_object("value").alias("ok")).collect()] == [reads(x) for x in lines]
+    good = tmp_path / "good.jsonl"
+    good.write_text('{"event_id":"b","rollout_idx":1}\n\n  \n{"event_id":"c","rollout_idx":2,"error":null}\n')
+    assert sorted(r.event_id for r in files.strict_json(spark, str(good), files.RESULT).collect()) == ["b", "c"]
+    assert sorted((r.event_id, r.has_error) for r in files.results(spark, str(good)).collect()) == [("b", False), ("c", True)]
+    for tail in ('{"event_id":"b"} junk', '{"event_id":"b"}{"event_id":"c"}', "{'event_id':'b'}", '{"event_id":'):
+        bad = tmp_path / "bad.jsonl"
+        bad.write_text('{"event_id":"a"}\n' + tail + "\n")
+        for read in (files.questions, lambda s, p: files.strict_json(s, p, files.EPISODE)):
+            with pytest.raises(Exception, match="malformed JSON line"):
+                read(spark, str(bad)).select("event_id").collect()
+        assert [r.event_id for r in files.results(spark, str(bad)).collect()] == ["a"]
+        assert [r.event_id for r in files.completed(spark, str(bad)).collect()] == ["a"]
+        assert [r.event_id for r in files.lenient_json(spark, str(bad), files.RESULT).collect()] == ["a"]
+
+
+def test_news_of_another_length_counts_as_zeros(spark):
+    days = F.array(F.lit("d1"), F.lit("d2"))
+    series = lambda *x: one(spark, dates.aligned_news(days, F.array(*[F.lit(v).cast("long") for v in x])))
+    assert series(3, 4) == [3.0, 4.0] and series(3) == [0.0, 0.0] and series(3, 4, 5) == [0.0, 0.0] and series(None, 4) == [0.0, 4.0]
+    assert one(spark, dates.aligned_news(days, F.lit(None).cast("array<bigint>"))) == [0.0, 0.0]
+
+
+def test_named_objects():
+    from tidemark.sources import loader
+
+    assert loader.named_class("tidemark.functions.rewards.ProperScore").__name__ == "ProperScore"
+    assert loader.named_object("json.loads") is json.loads
+    for path in ("loads", "json.nothing", "no.such.module.name", "math.pi"):
+        with pytest.raises(ValueError):
+            loader.named_object(path)
+    with pytest.raises(ValueError):
+        loader.named_class("json.loads")
+
+
+def test_best_of_tile_equals_sorting():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    for n in (1, 4, 5, 40):
+        score = np.round(draw.random((6, n)), 1)
+        score[draw.random((6, n)) < 0.2] = -np.inf
+        article = draw.permutation(n)
+        q, j = retrieval.best_of_tile(score, article, 5)
+        expected = [(r, int(c)) for r in range(6) for c in sorted(range(n), key=lambda c: (-score[r, c], article[c]))[:5] if score[r, c] > -np.inf]  # noqa: B023
+        assert list(zip(q.tolist(), j.tolist(), strict=True)) == expected
+
+
+def test_search_in_many_blocks_of_queries(spark):
+    rows = [(i, f"2024-01-{1 + i % 28:02d}", [float(i % 7), float(i % 5), 1.0]) for i in range(300)]
+    articles = spark.createDataFrame(rows, "article_id long, published_date string, embedding array<double>")
+    asked = articles.filter("article_id % 3 = 0").select(F.col("article_id").alias("query_id"), F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("start"), F.lit(None).cast("string").alias("cutoff"))
+    whole = retrieval.search(articles, asked).collect()
+    parts = retrieval.search(articles, asked, query_block=20).collect()
+    assert len(whole) == 500 and sorted(map(tuple, whole)) == sorted(map(tuple, parts))
+
+
+def test_positions_number_all_rows(spark):
+    rows = [(i, [f"2024-01-{1 + i % 9:02d}", f"2024-02-{1 + i % 4:02d}"], i) for i in range(200)] + [(500, None, 500)]
+    df = spark.createDataFrame(rows, "event_id long, forecast_dates array<string>, input_pos long").repartition(3)
+    got = {r.event_id: r.position for r in episodes.positions(df, "entry").collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or [], str(r[0])))
+    assert got == {r[0]: i + 1 for i, r in enumerate(order)}

@@ -7,6 +7,7 @@ zero; a null crowd probability makes Info-Alpha null.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` evaluated once for the row, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
 
@@ -30,10 +36,14 @@ def raw_sum(p: Column | str) -> Column:
     return total(F.map_values(clamped(p)))
 
 
+def _shares(kept: Column, mass: Column) -> Column:
+    return F.when(mass > 0, F.transform_values(kept, lambda _, v: v / mass)).otherwise(F.create_map().cast("map<string,double>"))
+
+
 def normalize(p: Column | str) -> Column:
     """Negatives to zero, then to sum one; an empty map if nothing is left."""
-    s = raw_sum(p)
-    return F.when(s > 0, F.transform_values(clamped(p), lambda _, v: v / s)).otherwise(F.create_map().cast("map<string,double>"))
+    held = F.struct(clamped(p).alias("kept"), raw_sum(p).alias("mass"))
+    return let(held, lambda x: _shares(x["kept"], x["mass"]))
 
 
 def p_truth(p: Column | str, truth: Column | str) -> Column:
@@ -93,32 +103,51 @@ def score(forecast: Column, truth: Column, crowd: Column, quality: Column, metri
     if metric not in ("brier", "log_prob"):
         raise ValueError(f"unknown metric {metric}")
     label = F.trim(F.coalesce(truth, F.lit("")))
-    missing = label.isin("", "?")
-    answered = F.coalesce(F.size(forecast) > 0, F.lit(False))
-    mass = F.when(answered, raw_sum(forecast)).otherwise(0.0)
-    usable = answered & (mass > 0)
-    dist = normalize(forecast) if normalized else clamped(forecast)
-    worst = math.log(eps)
-    b = F.when(usable, brier(dist, label)).otherwise(F.lit(WORST_BRIER))
-    lp = F.when(usable, floored_log(p_truth(dist, label), eps)).otherwise(F.lit(worst))
-    proper = -b if metric == "brier" else lp
-    reward = proper + F.lit(coef) * (quality - 1.0)
-    known = lambda x: F.when(~missing, x)
-    return F.struct(
-        F.when(missing, 0.0).otherwise(reward).alias("reward"),
-        known(proper).alias("proper_score"),
-        known(reward - proper).alias("format_penalty"),
-        known(b).alias("brier"),
-        known(lp).alias("log_prob"),
-        known(F.when(usable, accuracy(dist, label)).otherwise(0.0)).alias("accuracy"),
-        known(F.when(usable, p_truth(dist, label)).otherwise(0.0)).alias("p_truth"),
-        known(info_alpha(lp, crowd, eps)).alias("info_alpha"),
-        known(answered).alias("parse_ok"),
-        known(mass).alias("prob_sum_raw"),
-        known(usable & F.coalesce(F.map_contains_key(dist, label), F.lit(False))).alias("truth_in_forecast"),
-        known(quality).alias("format_quality"),
-        F.when(missing, F.lit("missing_truth")).alias("error"),
-    )
+    given = F.struct(
+        clamped(forecast).alias("kept"), raw_sum(forecast).alias("mass"), label.alias("label"), crowd.cast("double").alias("crowd"), quality.alias("quality"),
+        F.coalesce(F.size(forecast) > 0, F.lit(False)).alias("answered"),
+    )
+
+    def held(x: Column) -> Column:
+        """What the record's fields share: the distribution, its probability of the truth."""
+        mass = F.when(x["answered"], x["mass"]).otherwise(0.0)
+        dist = _shares(x["kept"], x["mass"]) if normalized else x["kept"]
+        return let(x.withField("mass", mass).withField("dist", dist), scored)
+
+    def scored(x: Column) -> Column:
+        usable = x["answered"] & (x["mass"] > 0)
+        shown = F.struct(
+            F.when(usable, brier(x["dist"], x["label"])).otherwise(F.lit(WORST_BRIER)).alias("b"),
+            F.when(usable, p_truth(x["dist"], x["label"])).otherwise(0.0).alias("pt"),
+            F.when(usable, accuracy(x["dist"], x["label"])).otherwise(0.0).alias("accuracy"),
+            (usable & F.coalesce(F.map_contains_key(x["dist"], x["label"]), F.lit(False))).alias("there"),
+            usable.alias("usable"), x.alias("x"),
+        )
+        return let(shown, lambda s: let(s.withField("lp", F.when(s["usable"], floored_log(s["pt"], eps)).otherwise(F.lit(math.log(eps)))), record))
+
+    def record(s: Column) -> Column:
+        x = s["x"]
+        missing = x["label"].isin("", "?")
+        proper = -s["b"] if metric == "brier" else s["lp"]
+        penalty = F.lit(coef) * (x["quality"] - 1.0)
+        known = lambda c: F.when(~missing, c)
+        return F.struct(
+            F.when(missing, 0.0).otherwise(proper + penalty).alias("reward"),
+            known(proper).alias("proper_score"),
+            known(proper + penalty - proper).alias("format_penalty"),
+            known(s["b"]).alias("brier"),
+            known(s["lp"]).alias("log_prob"),
+            known(s["accuracy"]).alias("accuracy"),
+            known(s["pt"]).alias("p_truth"),
+            known(info_alpha(s["lp"], x["crowd"], eps)).alias("info_alpha"),
+            known(x["answered"]).alias("parse_ok"),
+            known(x["mass"]).alias("prob_sum_raw"),
+            known(s["there"]).alias("truth_in_forecast"),
+            known(x["quality"]).alias("format_quality"),
+            F.when(missing, F.lit("missing_truth")).alias("error"),
+        )
+
+    return let(given, held)
 
 
 def tool_penalty(reward: Column | str, tool_quality: Column | str, coef: float) -> Column:

@@ -56,6 +56,19 @@ def resolution_date(close: Column, legs_closed: Column, resolution: Column, end:
     return F.coalesce(strict_date(close), F.array_max(F.transform(legs_closed, strict_date)), strict_date(resolution), strict_date(end))
 
 
+def aligned_news(days: Column, news: Column) -> Column:
+    """The news series of an event, one number a day; zeros where it is missing or of another length."""
+    fits = F.coalesce((F.size(news) == F.size(days)) & (F.size(news) > 0), F.lit(False))
+    return F.when(fits, F.transform(news, lambda x: F.coalesce(x, F.lit(0)).cast("double"))).otherwise(F.transform(days, lambda _: F.lit(0.0)))
+
+
+def question_days(questions: DataFrame) -> DataFrame:
+    """(event_id, pos, day, news) of question rows with ``daily_index`` and ``news_daily``."""
+    both = F.arrays_zip(F.col("daily_index").alias("day"), aligned_news(F.col("daily_index"), F.col("news_daily")).alias("news"))
+    rows = questions.select("event_id", F.posexplode(both).alias("pos", "x"))
+    return rows.select("event_id", "pos", F.substring("x.day", 1, 10).alias("day"), F.col("x.news").alias("news"))
+
+
 def peak_share(x: str) -> Column:
     """x over the event's peak; zeros where the peak is not positive."""
     peak = F.max(x).over(_event())

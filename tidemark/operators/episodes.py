@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import staged
+
 SORTS = {"forecast_date": ("forecast_date", "eid"), "entry": ("first_date", "last_date", "eid"), "resolution": ("resolves", "last_date", "eid"), "none": ("input_pos",)}
 
 
@@ -52,8 +54,8 @@ def build(questions: DataFrame, dates: DataFrame, domains: DataFrame, mode: str
     return memory_free(rows) if mode == "memory-free" else rows
 
 
-def ordered(episodes: DataFrame, by: str) -> DataFrame:
-    """Adds position: the place of each row by the named sort; ids compare as text, ties keep input_pos."""
+def _sort_keys(episodes: DataFrame, by: str) -> list[Column]:
+    """The keys of the named sort; ids compare as text, ties keep input_pos."""
     keys = {
         "eid": F.col("event_id").cast("string"),
         "first_date": F.element_at("forecast_dates", 1) if "forecast_dates" in episodes.columns else None,
@@ -63,7 +65,26 @@ def ordered(episodes: DataFrame, by: str) -> DataFrame:
     }
     if keys["last_date"] is not None and "question" in episodes.columns:
         keys["resolves"] = F.coalesce(F.nullif(F.col("question.close_date"), F.lit("")), keys["last_date"])
-    return episodes.orderBy(*[keys[k] for k in SORTS[by]], "input_pos")
+    return [*(keys[k] for k in SORTS[by]), F.col("input_pos")]
+
+
+def ordered(episodes: DataFrame, by: str) -> DataFrame:
+    """The rows in order of the named sort."""
+    return episodes.orderBy(*_sort_keys(episodes, by))
+
+
+def positions(episodes: DataFrame, by: str) -> DataFrame:
+    """Adds position: the place of each row by the named sort, from 1 on.
+
+    Rows are range-partitioned and staged; only counts by partition are added up in one task.
+    """
+    keys = _sort_keys(episodes, by)
+    rows = episodes.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"_part": F.shiftright("_row", 33), "_at": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))})
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    parts = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return rows.join(parts, "_part").select(*episodes.columns, (F.col("_before") + F.col("_at") + 1).cast("int").alias("position"))
 
 
 def decode(rows: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:

@@ -43,14 +43,14 @@ def scorecard(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 CARD = ("n_rows", "n_scored", "n_errors", "brier", "log_loss", "accuracy", "info_alpha")
 
 
-def card_text(card: DataFrame, run_id: str = "run") -> DataFrame:
-    """The scorecard as aligned text, floats with four digits."""
+def card_text(card: DataFrame, run_id: str = "run", *keys: str) -> DataFrame:
+    """The scorecard as aligned text, floats with four digits; one row for each of ``keys``."""
     lines = [F.lit(f"── {run_id} ──")]
     for name in CARD:
         kind = card.schema[name].dataType.simpleString()
-        value = F.format_string("%.4f", name) if kind == "double" else F.col(name).cast("string")
+        value = F.when(F.col(name).isNotNull(), F.format_string("%.4f", name)) if kind == "double" else F.col(name).cast("string")
         lines.append(F.concat(F.lit(f"  {name:<12} "), F.coalesce(value, F.lit("None"))))
-    return card.select(F.concat_ws("\n", *lines).alias("card"))
+    return card.select(*keys, F.concat_ws("\n", *lines).alias("card"))
 
 
 #: Names and order of a record's columns.

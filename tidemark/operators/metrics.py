@@ -157,5 +157,10 @@ def keep_last(rows: DataFrame, n: int, order: str) -> DataFrame:
     return rows.orderBy(F.col(order).desc()).limit(n)
 
 
-def random_sample(rows: DataFrame, n: int) -> DataFrame:
-    return rows.orderBy(F.rand()).limit(n)
+def random_sample(rows: DataFrame, n: int, key: str | None = None, seed: int = 0) -> DataFrame:
+    """``n`` rows drawn by a hash of the integer ``key``, or of the whole row: the same ones for a seed on any cluster."""
+    from .sampling import draw
+
+    if key is None:
+        return rows.orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.lit(seed))).limit(n)
+    return rows.orderBy(draw(F.col(key), seed), key).limit(n)

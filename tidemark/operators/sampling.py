@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 GROUPS = ("early", "middle", "late")
 #: Bounds of each group on the relative position, and the place to fall back to.
-BOUNDS = {"early": (0.0, 1 / 3), "middle": (1 / 3, 2 / 3), "late": (2 / 3, 1.0000001)}
+BOUNDS = {"early": (0.0, 1 / 3), "middle": (1 / 3, 2 / 3), "late": (2 / 3, 1.0 + 1e-9)}
 CENTRES = {"early": 1 / 6, "middle": 0.5, "late": 5 / 6}
 _MOD = 2147483647
 

@@ -74,5 +74,7 @@ def audit(tags: DataFrame, dictionary: DataFrame, order: tuple[str, ...] = PRIOR
 
 
 def top_unmapped(tags: DataFrame, dictionary: DataFrame, k: int) -> DataFrame:
+    """The k most used unmapped tags with their rank; only these meet in one task."""
     loose = audit(tags, dictionary).filter("kind = 'unmapped'")
-    return loose.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "name"))).filter(F.col("rank") <= k)
+    order = [F.col("n").desc(), F.col("name")]
+    return loose.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))

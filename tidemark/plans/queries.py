@@ -7,25 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, scores, text
 from ..operators import advantage, curation, dates, episodes, evaluation, metrics, rendering, retrieval, sampling, taxonomy, traces, volume
+from . import records as records  # registers its queries
 from . import views as v
+from .registry import QUERIES as QUERIES
+from .registry import SQL as SQL
+from .registry import query
 from .views import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL if it has one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
 def news_volume_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume.daily_volume(v.corpus(spark, sf_dir))
@@ -126,9 +114,13 @@ def audit_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.audit(v.tags(spark, sf_dir), v.dictionary(spark))
 
 
-@query("SELECT NULL::VARCHAR AS tag, NULL::BIGINT AS domains WHERE false")
+@query("""SELECT tag, count(DISTINCT domain) AS domains FROM (SELECT unnest(string_split(p_name, ' ')) AS tag, p_brand AS domain FROM part UNION ALL SELECT p_type, 'one' FROM part)
+GROUP BY 1 HAVING count(DISTINCT domain) > 1""")
 def ambiguous_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taxonomy.ambiguous_tags(v.dictionary(spark))
+    """Name words claimed by several makers; types, which one domain claims however often, are no clash."""
+    part = table(spark, sf_dir, "part")
+    words = part.select(F.explode(F.split("p_name", " ")).alias("tag"), F.col("p_brand").alias("domain"))
+    return taxonomy.ambiguous_tags(words.unionAll(part.select(F.col("p_type").alias("tag"), F.lit("one").alias("domain"))))
 
 
 def _leg_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,11 +178,8 @@ def episode_rows_memory_free(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_EPISODES}, e AS (SELECT event_id, min(day) AS first, max(day) AS last FROM c GROUP BY 1)
 SELECT CAST(row_number() OVER (ORDER BY first, last, CAST(event_id AS VARCHAR)) AS INTEGER) AS position, event_id FROM e""")
 def episode_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = episodes.ordered(_memory_on(spark, sf_dir).withColumn("input_pos", F.col("event_id")), "entry")
-    keys = [F.element_at("forecast_dates", 1), F.element_at("forecast_dates", -1), F.col("event_id").cast("string")]
-    return rows.select(F.row_number().over(Window.orderBy(*keys)).alias("position"), "event_id")
+    rows = _memory_on(spark, sf_dir).withColumn("input_pos", F.col("event_id"))
+    return episodes.positions(rows, "entry").select("position", "event_id")
 
 
 @query(f"""{_EPISODES} SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY day) - 1 AS INTEGER) AS step_idx, day AS forecast_date, crowd AS crowd_prob FROM c""")
@@ -592,8 +581,25 @@ def termination_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind", "termination").agg(F.count("*").alias("n"))
 
 
-@query()
+_SNIP = """b AS (SELECT article_id, text, title, published_date, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM articles), c AS (SELECT *, substr(t, 1, 280) AS s FROM b),
+  r AS (SELECT *, 280 - instr(reverse(rpad(s, 280, ' ')), ' .') - 1 AS d, 280 - instr(reverse(rpad(s, 280, ' ')), ' !') - 1 AS e, 280 - instr(reverse(rpad(s, 280, ' ')), ' ?') - 1 AS q FROM c),
+  n AS (SELECT *, CASE WHEN length(t) <= 280 THEN t WHEN contains(s, '. ') AND d >= 140 THEN substr(s, 1, d + 1) WHEN contains(s, '! ') AND e >= 140 THEN substr(s, 1, e + 1)
+    WHEN contains(s, '? ') AND q >= 140 THEN substr(s, 1, q + 1) ELSE rtrim(s) || '…' END AS snippet FROM r)"""
+
+
+@query(f"""{_SEARCH}, w AS (SELECT * FROM s WHERE published_date BETWEEN start AND cutoff), h AS ({_TOP.format(rows="w", k=5, digits=6)}), {_SNIP}
+SELECT query_id, string_agg('[' || rank || '] ' || title || chr(10) || 'url: https://example.org/' || article_id || chr(10) || 'id: ' || article_id || chr(10) || 'published: ' || published_date
+  || chr(10) || 'score: ' || printf('%.4f', score) || chr(10) || snippet, chr(10) || chr(10) ORDER BY rank) AS results FROM h JOIN n USING (article_id) GROUP BY 1""")
 def search_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search results as text; rows only, the lines are covered by tests."""
     articles = v.articles(spark, sf_dir)
-    return retrieval.render_hits(retrieval.search(articles, _query_vectors(spark, sf_dir, True), k=5), articles)
+    hits = retrieval.search(articles, _query_vectors(spark, sf_dir, True), k=5).withColumn("score", F.round("score", 6))
+    return retrieval.render_hits(hits, articles)
+
+
+@query(f"""WITH {v.ARTICLES}, w AS (SELECT article_id, text, title, published_date, regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\\s+') AS t FROM articles)
+SELECT article_id, 'id: ' || article_id || chr(10) || 'title: ' || title || chr(10) || 'url: https://example.org/' || article_id || chr(10) || 'published: ' || published_date || chr(10) || chr(10)
+  || CASE WHEN article_id % 2 = 0 THEN 'kept ' || article_id WHEN len(t) > 40 THEN array_to_string(t[1:40], ' ') || '...' ELSE text END AS article FROM w""")
+def article_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut to 40 words, or the stored truncation of every other article."""
+    cached = F.when(F.col("article_id") % 2 == 0, F.concat(F.lit("kept "), "article_id"))
+    return retrieval.render_articles(v.articles(spark, sf_dir).withColumn("cached", cached), budget=40)

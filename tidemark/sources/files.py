@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LEG = "STRUCT<label: STRING, question: STRING, market_id: STRING, closed_time: STRING>"
@@ -16,14 +16,41 @@ RESULT = """run_id STRING, model_name STRING, event_id STRING, rollout_idx INT,
 log_prob DOUBLE, accuracy DOUBLE, info_alpha DOUBLE, reward DOUBLE, error STRING"""
 
 
+#: Stands behind a line in the check of it.
+_STOP = "end of line 5f0d6c1e"
+_STRICT = {"allowSingleQuotes": "false"}
+
+
+def json_object(line: Column | str) -> Column:
+    """Is the line one JSON object and nothing else?
+
+    ``from_json`` stops where the object ends, whatever follows. As an element of a list,
+    the line has to end where the list goes on.
+    """
+    line = F.col(line) if isinstance(line, str) else line
+    listed = F.from_json(F.concat(F.lit("["), line, F.lit(f',"{_STOP}"]')), "array<string>", _STRICT)
+    return F.coalesce(F.ltrim(line).startswith("{") & (F.size(listed) == 2) & (F.get(listed, 1) == _STOP), F.lit(False))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).filter(~F.col("value").rlike(r"^\s*$"))
+
+
 def strict_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Fails on a malformed line; blank lines are skipped."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Fails on a malformed line, also on one that goes on after its object; blank lines are skipped."""
+    malformed = F.raise_error(F.concat(F.lit("malformed JSON line: "), F.substring("value", 1, 200))).cast("boolean")
+    lines = _lines(spark, path).filter(F.when(json_object("value"), F.lit(True)).otherwise(malformed))
+    return lines.select(F.from_json("value", schema, _STRICT | {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def valid_json(lines: DataFrame, schema: str) -> DataFrame:
+    """The objects of ``lines`` (value); malformed and blank lines are dropped."""
+    return lines.filter(json_object("value")).select(F.from_json("value", schema, _STRICT).alias("r")).select("r.*")
 
 
 def lenient_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Malformed lines are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return valid_json(spark.read.text(path), schema)
 
 
 def unbroken_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -46,9 +73,9 @@ def history(column: str):
 
 def results(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation records; has_error tells whether the error key is there, null or not."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    parsed = lines.withColumn("r", F.from_json("value", RESULT)).withColumn("keys", F.json_object_keys("value"))
-    return parsed.filter("keys is not null").select("r.*", F.array_contains("keys", "error").alias("has_error"))
+    lines = spark.read.text(path).filter(json_object("value"))
+    parsed = lines.select(F.from_json("value", RESULT, _STRICT).alias("r"), F.json_object_keys("value").alias("keys"))
+    return parsed.select("r.*", F.array_contains("keys", "error").alias("has_error"))
 
 
 def completed(spark: SparkSession, path: str) -> DataFrame:
