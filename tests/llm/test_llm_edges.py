@@ -617,3 +617,27 @@ def test_quality_false_rejections_on_fresh_labels(spark):
         good = [r for r in fresh if r.lang == lang and truth[r.doc_id] and not r.base_failed]
         bad = [r for r in fresh if r.lang == lang and not truth[r.doc_id] and not r.base_failed]
         assert sum(not r.kept for r in good) <= 0.05 * len(good) and sum(not r.kept for r in bad) > 0.3 * len(bad)
+
+
+def test_sharding_of_a_hot_group_and_nulls(spark):
+    """A third of all rows are one text, some are null: groups stay whole and the greatest shard is as small as can be."""
+    import hashlib
+
+    texts = ["the same text in very many rows"] * 1000 + [None] * 300 + [f"text {i} " + "x" * (i * 7 % 90) for i in range(1700)]
+    rows = [(i if i % 50 else None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    placed = sharding.assign(sharding.text_rows(df), 5).collect()
+    sizes: Counter = Counter()
+    for t in texts:
+        sizes[None if t is None else hashlib.md5(t.encode()).hexdigest()] += len((t or "").encode()) + 1
+    # Largest first, ties by digest, null first as Spark sorts it.
+    ends = np.cumsum([sizes[g] for g in sorted(sizes, key=lambda g: (-sizes[g], g is not None, g or ""))])
+    exact = sharding.smallest_capacity(ends, 5, max(max(sizes.values()), -(-int(ends[-1]) // 5)))
+    load: Counter = Counter()
+    home: dict = {}
+    for r in placed:
+        load[r.shard] += r.size
+        home.setdefault(r.group, set()).add(r.shard)
+    assert len(placed) == len(rows) and max(load.values()) == exact and all(len(h) == 1 for h in home.values())
+    for k in load:
+        assert sorted(r.slot for r in placed if r.shard == k) == list(range(sum(r.shard == k for r in placed)))

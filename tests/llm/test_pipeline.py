@@ -124,3 +124,20 @@ def test_stages_take_an_empty_table(spark, small):
     docs = q.table(spark, small, "documents").limit(0)
     for _, step in corpus_pipeline.STAGES:
         assert step(spark, docs, small).count() == 0
+
+
+def test_stages_take_clashing_columns_and_nulls(spark, small):
+    """Extra columns named like the operators' own pass through; rows of nulls do no harm."""
+    from pyspark.sql import functions as F
+
+    docs = q.table(spark, small, "documents").limit(60)
+    names = ("_rid", "_k", "row", "number", "rid", "copies", "node", "label", "matches", "q_words", "place")
+    extra = docs.withColumns({n: F.concat(F.lit(f"{n} "), "doc_id") for n in names})
+    nulls = extra.limit(3).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in extra.schema.fields])
+    out = extra.unionByName(nulls).unionByName(extra.limit(5))
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, out, small)
+        assert out.columns == extra.columns, name
+    kept = out.collect()
+    assert kept and all(r[n] == f"{n} {r.doc_id}" for r in kept for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, out, small).count() == len(kept)
