@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 its result is written as Parquet and read again as the next one's ``docs``. All but the
 last return the columns of ``documents``. The last returns the shards' manifest: the
 row's id, source, language and size, the digest of its text, its shard and its slot.
+
+Null texts have no words, so the quality rules drop them, as they do empty ones. Null ids,
+sources and languages stay what they are; ties, repeated rows and long texts are handled as
+the operators say. Extra columns pass through all stages but the last, whatever their
+names. An empty table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, jaccard, mixing, quality, sharding
 from tidemark.llm.queries import table
-from tidemark.llm.storage import stage
+from tidemark.llm.storage import release, stage
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 SHARDS = 16
@@ -60,7 +65,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, step in STAGES:
         docs = stage(step(spark, docs, sf_dir))
+        release(*before)
+        before = [docs]
     return docs
