@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import ANSWER, PACKED_DDL, QUESTION, WITNESS, _rows, part_of, parts_for, to_documents
-from .storage import broadcast_if_small, release, shuffle_width, stage, with_rid
+from .storage import broadcast_if_small, has_ids, release, shuffle_width, stage, with_rid
 from .textarrays import LOWER, WORD_SEPARATOR, U, chunks, mix, portions, ragged, rolling, slice_binary
 
 WORD_SEED, SET_SEED = 41, 42
@@ -377,17 +377,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Of each pair the one with more partners is the hub; its set goes once to each ``FAN`` of them.
     """
     both = pairs.select(F.col("u").alias("x"), F.col("v").alias("y")).union(pairs.select("v", "u"))
-    degree = both.groupBy("x").agg(F.count("*").alias("d"))
+    degree = broadcast_if_small(both.groupBy("x").agg(F.count("*").alias("d")))
     at = lambda side: degree.select(F.col("x").alias(side), F.col("d").alias(f"d_{side}"))
     known = pairs.join(at("u"), "u").join(at("v"), "v")
     high = F.col("d_u") > F.col("d_v")
     rows = known.select(F.when(high, F.col("u")).otherwise(F.col("v")).alias("hub"), F.when(high, F.col("v")).otherwise(F.col("u")).alias("member"), F.greatest("d_u", "d_v").alias("d"))
-    rows = stage(rows.withColumn("salt", F.pmod(F.xxhash64("member"), F.ceil(F.col("d") / FAN))).drop("d"))
+    rows = broadcast_if_small(rows.withColumn("salt", F.pmod(F.xxhash64("member"), F.ceil(F.col("d") / FAN))).drop("d"))
     whole = rows.join(sets.select(F.col("node").alias("member"), "n"), "member").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(shuffle_width(pairs.sparkSession), 1 + 8 * whole // BUCKET_BYTES)
     bucket = F.pmod(F.xxhash64("hub", "salt"), F.lit(buckets)).cast("int").alias("bucket")
     members = rows.join(sets.select(F.col("node").alias("member"), "set"), "member").select(bucket, "hub", "member", "set")
-    hubs = rows.select("hub", "salt").distinct().join(sets.select(F.col("node").alias("hub"), "set"), "hub").select(bucket, "hub", F.lit(None).cast("long").alias("member"), "set")
+    hubs = broadcast_if_small(rows.select("hub", "salt").distinct()).join(sets.select(F.col("node").alias("hub"), "set"), "hub").select(bucket, "hub", F.lit(None).cast("long").alias("member"), "set")
     return members.unionAll(hubs).groupBy("bucket").applyInArrow(_intersect(percent), "u long, v long")
 
 
@@ -461,7 +461,7 @@ def _settle_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
     for turn in range(PARTNER_ROUNDS + 1):
         if turn < PARTNER_ROUNDS:
             both = pairs.select(F.col("u").alias("x"), F.col("v").alias("y")).union(pairs.select("v", "u"))
-            degree = both.groupBy("x").agg(F.count("*").alias("d")).withColumnRenamed("x", "y")
+            degree = broadcast_if_small(both.groupBy(F.col("x").alias("y")).agg(F.count("*").alias("d")))
             best = both.join(degree, "y").groupBy("x").agg(F.max_by("y", F.struct(F.col("d"), -F.col("y"))).alias("y"))
             picked = stage(best.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
         else:
@@ -540,18 +540,16 @@ def _close_groups(members: DataFrame, tested: DataFrame, links: DataFrame, label
     return labels
 
 
-def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, rid, n_shingles, node, label and component_id of each row of ``docs``.
-
-    component_id is the smallest doc_id reachable by links, itself included; label names
-    the component (null for a row without words); rid is the id itself, or a hash of id
-    and text where ids repeat or are null.
-    """
-    docs = with_rid(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
+def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What :func:`classes` returns, and the staged tables that it reads."""
+    plain = has_ids(docs)
+    docs = with_rid(docs, plain)
     kind = docs.schema["doc_id"].dataType.simpleString()
     described = stage(docs.mapInArrow(_describe(size), f"doc_id {kind}, rid long, n_shingles long, node long, sketch array<long>, wide array<long>"))
     info = described.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("rid").alias("rid"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     info = stage(info)
+    nodes = stage(described.select("doc_id", "rid", "n_shingles", "node"))
+    release(described)
     parts = parts_for(docs)
     sent = docs.select("text").mapInArrow(_send_signatures(size, percent, parts), PACKED_DDL)
     paired = sent.groupBy("part").applyInArrow(_pair_up(parts), PACKED_DDL)
@@ -561,15 +559,26 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str =
     needed = tested.select(F.col("u").alias("node")).union(tested.select("v")).union(members.select("node")).distinct()
     needed = broadcast_if_small(needed.join(info, "node").select("rid", "node"))
     sets = docs.select("rid", "text").join(needed, "rid").select("node", "text").mapInArrow(_sets(size), "node long, set binary")
-    sets = stage(sets.groupBy("node").agg(F.first("set").alias("set")).withColumn("n", (F.octet_length("set") / 8).cast("long")), "none")
+    sets = sets if plain else sets.groupBy("node").agg(F.first("set").alias("set"))  # rows may share a name
+    sets = stage(sets.withColumn("n", (F.octet_length("set") / 8).cast("long")), "none")
     links, labels = _settle_pairs(tested, sets, percent)
     labels = _close_groups(members, tested, links, labels, info, sets, percent)
     labelled = _labelled(info.select("node", "first"), labels)
     smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     where = stage(labelled.join(smallest, "label").select("node", "label", "component_id"))
     release(info, found, tested, sets)
-    out = described.select("doc_id", "rid", "n_shingles", "node").join(where, "node", "left")
-    return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).select("doc_id", "rid", "n_shingles", "node", "label", "component_id")
+    out = nodes.join(where, "node", "left")
+    return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).select("doc_id", "rid", "n_shingles", "node", "label", "component_id"), [nodes, where]
+
+
+def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, rid, n_shingles, node, label and component_id of each row of ``docs``.
+
+    component_id is the smallest doc_id reachable by links, itself included; label names
+    the component (null for a row without words); rid is the id itself, or a hash of id
+    and text where ids repeat or are null.
+    """
+    return _classes(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), size, percent)[0]
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -578,7 +587,9 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Rows without words all stay. Of rows that repeat the kept one in id and text, one stays.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    marked = stage(classes(docs, size, percent).filter("node is not null").select("doc_id", "rid", "label"))
+    found, held = _classes(docs.select("doc_id", "text"), size, percent)
+    marked = stage(found.filter("node is not null").select("doc_id", "rid", "label"))
+    release(*held)
     best = stage(marked.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("best")).select(F.col("best.rid").alias("rid")))
     drop = marked.select("rid").distinct().join(best, "rid", "left_anti")
     twice = stage(marked.groupBy("rid").agg(F.count("*").alias("n")).filter("n > 1").select("rid").join(best, "rid", "left_semi"))

@@ -62,15 +62,21 @@ def release(*frames: DataFrame) -> None:
                 folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def with_rid(docs: DataFrame) -> DataFrame:
+def has_ids(docs: DataFrame) -> bool:
+    """Are the ids (doc_id) whole numbers, distinct and not null?"""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return False
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty()
+
+
+def with_rid(docs: DataFrame, plain: bool | None = None) -> DataFrame:
     """Adds rid, a 64-bit name of each row of (doc_id, text).
 
     It is the id itself where ids are whole numbers, distinct and not null, so no two rows
     can be taken for one another; else a hash of id and text, by which repeated rows share
     a name.
     """
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
-    plain = isinstance(docs.schema["doc_id"].dataType, IntegralType) and ids.isEmpty()
+    plain = has_ids(docs) if plain is None else plain
     return docs.withColumn("rid", F.col("doc_id").cast("long") if plain else F.xxhash64("doc_id", "text"))
 
 
