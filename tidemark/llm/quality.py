@@ -34,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stage
+from .storage import broadcast_if_small, release, stage, with_rid
 
 SPACE = " \t\n\x0b\x0c\r"
 #: The rules: a count for each thousand of another.
@@ -183,15 +183,17 @@ def judge(docs: DataFrame, labels: DataFrame, **levels) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **levels) -> DataFrame:
-    """The rows of ``docs``, all columns, that pass: one pass over the texts, staged with their scores.
+    """The rows of ``docs``, all columns, that pass.
 
-    The texts are not shuffled; cutoffs (one row per language) meet them by a join that Spark
-    broadcasts while they are few.
+    One pass over the texts gives the scores, staged without the texts; a second one leaves
+    out the rows that are rejected, a list of names that is broadcast while it is small.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "lang")
-    rows = _repeats(_counts(rows)).withColumns(_scores()).withColumn("base_failed", base_failed())
-    # Staged whole, then filtered: a filter would move below and write out each count's definition anew for each use.
-    rows = rows.select(F.when(~F.col("base_failed"), F.col("row")).alias("row"), "doc_id", "lang", *RULES, "base_failed")
-    rows = stage(rows).filter("not base_failed")
-    cutoffs = fit_cutoffs(rows.select("doc_id", "lang", *RULES), labels, **levels)
-    return rows.join(cutoffs, F.col("lang").eqNullSafe(F.col("q_lang")), "left").filter(~_rejected()).select("row.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = with_rid(docs.select("doc_id", "text", "lang", whole))
+    rows = _repeats(_counts(named.select("rid", "doc_id", "text", "lang"))).withColumns(_scores()).withColumn("base_failed", base_failed())
+    rows = stage(rows.select("rid", "doc_id", "lang", *RULES, "base_failed"))
+    cutoffs = fit_cutoffs(rows.filter("not base_failed").select("doc_id", "lang", *RULES), labels, **levels)
+    judged = rows.join(cutoffs, F.col("lang").eqNullSafe(F.col("q_lang")), "left").filter(F.col("base_failed") | _rejected())
+    gone = broadcast_if_small(judged.select(F.col("rid").alias("r"), F.col("lang").alias("l")).distinct())
+    release(rows)
+    return named.join(gone, (F.col("rid") == F.col("r")) & F.col("lang").eqNullSafe(F.col("l")), "left_anti").select("row.*")
