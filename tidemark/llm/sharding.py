@@ -111,10 +111,10 @@ def probed_cuts(ends: DataFrame, shards: int, low: int, high: int, total: int, p
 def minimax_cuts(ends: DataFrame, shards: int, largest: int, total: int, summary: int = SUMMARY) -> tuple[int, np.ndarray]:
     """Capacity and cuts over ``ends`` (column ``end``: prefix sums after each group)."""
     least = max(largest, -(-total // shards))
-    inside, width = F.lit(True), total if ends.count() > summary else summary  # few borders: all at once
+    inside, width = F.lit(True), total
     while True:
-        step = max(1, width // summary)
         some = ends.filter(inside)
+        step = max(1, width // summary) if some.count() > summary else 1  # few borders: all at once
         if step > 1:
             some = some.groupBy(F.floor(F.col("end") / step)).agg(F.max("end").alias("end"))
         known = np.unique(np.array([r[0] for r in some.select("end").collect()] + [total], np.int64))
