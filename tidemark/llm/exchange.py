@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import shuffle_width, stage
-from .textarrays import U, give_back, mix, ragged, slice_binary
+from .textarrays import U, give_back, mix, ragged, slice_binary, then_give_back
 
 PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("docs", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 PACKED_DDL = "part int, kind tinyint, docs binary, counts binary, keys binary"
@@ -178,7 +178,7 @@ def _by_document(dtype):
 
 def by_document(packed: DataFrame, dtype) -> DataFrame:
     """(rid, found: its packed values), one row per document; rows without rid hold hot keys."""
-    return packed.groupBy("part").applyInArrow(_by_document(dtype), "rid long, found binary")
+    return packed.groupBy("part").applyInArrow(then_give_back(_by_document(dtype)), "rid long, found binary")
 
 
 def shared_keys(packed: DataFrame, dtype, parts: int, distinct: bool = False) -> tuple[DataFrame, np.ndarray | None]:
@@ -186,7 +186,7 @@ def shared_keys(packed: DataFrame, dtype, parts: int, distinct: bool = False) ->
 
     distinct: entries of one document from several mappers count once.
     """
-    found = stage(by_document(packed.groupBy("part").applyInArrow(_settle(dtype, parts, distinct), PACKED_DDL), dtype))
+    found = stage(by_document(packed.groupBy("part").applyInArrow(then_give_back(_settle(dtype, parts, distinct)), PACKED_DDL), dtype))
     return found.filter("rid is not null"), hot_keys(found.filter("rid is null"))
 
 

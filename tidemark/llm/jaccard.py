@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .exchange import ANSWER, PACKED_DDL, QUESTION, WITNESS, _rows, part_of, parts_for, to_documents
 from .storage import broadcast_if_small, has_ids, release, shuffle_width, stage, with_rid
-from .textarrays import LOWER, WORD_SEPARATOR, U, chunks, mix, portions, ragged, rolling, slice_binary
+from .textarrays import LOWER, WORD_SEPARATOR, U, chunks, mix, portions, give_back, ragged, rolling, slice_binary, then_give_back
 
 WORD_SEED, SET_SEED = 41, 42
 SKETCH_BITS, WIDE_BITS, WIDE_FROM = 1024, 8192, 800
@@ -388,7 +388,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     bucket = F.pmod(F.xxhash64("hub", "salt"), F.lit(buckets)).cast("int").alias("bucket")
     members = rows.join(sets.select(F.col("node").alias("member"), "set"), "member").select(bucket, "hub", "member", "set")
     hubs = broadcast_if_small(rows.select("hub", "salt").distinct()).join(sets.select(F.col("node").alias("hub"), "set"), "hub").select(bucket, "hub", F.lit(None).cast("long").alias("member"), "set")
-    return members.unionAll(hubs).groupBy("bucket").applyInArrow(_intersect(percent), "u long, v long")
+    return members.unionAll(hubs).groupBy("bucket").applyInArrow(then_give_back(_intersect(percent)), "u long, v long")
 
 
 def local_components(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -424,6 +424,7 @@ def _contract(batches):
             held, size = [], 0
     if size:
         yield stars()
+    give_back()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -483,6 +484,7 @@ def _explode_sets(batches):
     for batch in batches:
         flat, counts = ragged(batch.column("set"), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), counts)), pa.array(flat)], names=["node", "shingle"])
+    give_back()
 
 
 def _prefixes(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -552,8 +554,8 @@ def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[
     release(described)
     parts = parts_for(docs)
     sent = docs.select("text").mapInArrow(_send_signatures(size, percent, parts), PACKED_DDL)
-    paired = sent.groupBy("part").applyInArrow(_pair_up(parts), PACKED_DDL)
-    found = stage(paired.groupBy("part").applyInArrow(_unpack_pairs, "u long, v long, sig long"))
+    paired = sent.groupBy("part").applyInArrow(then_give_back(_pair_up(parts)), PACKED_DDL)
+    found = stage(paired.groupBy("part").applyInArrow(then_give_back(_unpack_pairs), "u long, v long, sig long"))
     members = found.filter("u = v").select(F.col("u").alias("node"), "sig")
     tested = stage(_plausible(found.filter("u != v").select("u", "v").distinct(), info, percent))
     needed = tested.select(F.col("u").alias("node")).union(tested.select("v")).union(members.select("node")).distinct()

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .exchange import ANSWER, PACKED_DDL, QUESTION, WITNESS, Remembered, by_document, is_hot, membership, pack, part_of, parts_for, shared_keys, to_documents
 from .storage import release, stage, with_rid
-from .textarrays import WORD_SEPARATOR, U, chunks, mix, portions, ragged, rolling, slice_binary, span_lists, spans_of
+from .textarrays import WORD_SEPARATOR, U, chunks, mix, portions, ragged, rolling, slice_binary, span_lists, spans_of, then_give_back
 
 ROUNDS = 3
 WORD_SEED, WINDOW_SEED, CONTEXT_SEED = 11, 12, 13
@@ -319,6 +319,6 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id",
     shared, hot = shared_keys(named, np.uint32, parts)
     candidates = docs.select("rid", "text").join(shared, "rid", "left")
     windows = candidates.mapInArrow(_send_windows(width, parts, hot), RUNS_DDL)
-    spans = stage(by_document(windows.groupBy("part").applyInArrow(_settle_windows(width, parts), PACKED_DDL), np.int64))
+    spans = stage(by_document(windows.groupBy("part").applyInArrow(then_give_back(_settle_windows(width, parts)), PACKED_DDL), np.int64))
     release(shared)
     return docs.join(spans, "rid", "left").mapInArrow(_remove(), f"doc_id {id_type}, {RESULT}")

@@ -23,19 +23,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes of an Arrow batch while a table is staged: rows hold whole texts, and a worker copies a batch some times.
+BATCH_BYTES = 16 << 20
+
+
 @contextlib.contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Queries that run inside leave no shuffle files behind; the session's setting is put back."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind and use small Arrow batches; the session's settings are put back."""
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", batch: str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def stage(df: DataFrame, compression: str = "zstd") -> DataFrame:
@@ -46,7 +53,7 @@ def stage(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
-    with shuffles_removed(spark):
+    with staging(spark):
         df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .exchange import PACKED_DDL, Remembered, by_document, is_hot, membership, pack, part_of, parts_for, shared_keys, to_documents
 from .storage import release, stage, with_rid
-from .textarrays import U, binary_buffers, chunks, equal_slices, gather, mix, portions, ragged, rolling, slice_binary, span_lists, spans_of
+from .textarrays import U, binary_buffers, chunks, equal_slices, gather, mix, portions, ragged, rolling, slice_binary, span_lists, spans_of, then_give_back
 
 GRAM = 16
 SHALLOW = 40
@@ -413,6 +413,6 @@ def remove_later(docs: DataFrame, width: int = 50, id_column: str = "doc_id", te
     known = later.filter("later").select("rid", F.lit(True).alias("later")).distinct().join(asking, "rid", "full")
     candidates = docs.select("rid", "ident", "text").join(known, "rid", "left").withColumn("later", F.coalesce("later", F.lit(False)))
     sent = candidates.mapInArrow(_send_strings(width, parts, hot), STRINGS_DDL)
-    spans = stage(by_document(sent.groupBy("part").applyInArrow(_settle(width, parts), PACKED_DDL), np.int64))
+    spans = stage(by_document(sent.groupBy("part").applyInArrow(then_give_back(_settle(width, parts)), PACKED_DDL), np.int64))
     release(names, firsts, shared)
     return docs.select("rid", "doc_id", "text").join(spans, "rid", "left").mapInArrow(_remove, f"doc_id {kind}, {RESULT}")
