@@ -23,9 +23,10 @@ more bits than the sets in shingles) and decided by exact intersection, for whic
 with many partners is sent once for each ``FAN`` of them.
 
 Large groups that then still span several components are searched again, with other hubs
-at first. What even then spans several is joined by prefixes: of two linked sets, the
-shingles rarest among the open groups' sets have one in common, so only sets that share
-such a rare shingle, and only across components, become pairs. The components are
+at first. What even then spans several is joined by prefixes: in an order of shingles that
+puts those first that only one of the open groups' sets has, two linked sets have one in
+common among their first ones; only sets that share such a shingle, and only across
+components, become pairs. The components are
 therefore those of all links; pairs inside a component are tested only as far as that
 takes. Components are found by contraction: each task reduces its links to stars, nodes
 with several roots link these, and the few links between roots are contracted again.
@@ -44,16 +45,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import ANSWER, PACKED_DDL, QUESTION, WITNESS, _rows, part_of, parts_for, to_documents
+from .exchange import ANSWER, PACKED_DDL, QUESTION, WITNESS, Remembered, _rows, pack, part_of, parts_for, shared_keys, to_documents
 from .storage import broadcast_if_small, has_ids, release, shuffle_width, stage, with_rid
-from .textarrays import LOWER, WORD_SEPARATOR, U, chunks, mix, portions, give_back, ragged, rolling, slice_binary, then_give_back
+from .textarrays import LOWER, WORD_SEPARATOR, U, chunks, give_back, mix, portions, ragged, rolling, slice_binary, then_give_back
 
 WORD_SEED, SET_SEED = 41, 42
 SKETCH_BITS, WIDE_BITS, WIDE_FROM = 1024, 8192, 800
 ALL_PAIRS = 12
 HUB = ANSWER  # kind of rows with hubs that stand for a large group of their mapper
 LOCAL_HOT = 24
-HUB_ROUNDS, PARTNER_ROUNDS = 3, 2
+HUB_ROUNDS, PARTNER_ROUNDS = 1, 2
 #: Partners for which a set is sent once; bytes of sets that are intersected together; links that are contracted together.
 FAN, BUCKET_BYTES, CONTRACTED = 256, 16 << 20, 1 << 20
 LOW32 = U(0xFFFFFFFF)
@@ -480,22 +481,51 @@ def _settle_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
     return links, labels
 
 
-def _explode_sets(batches):
-    for batch in batches:
-        flat, counts = ragged(batch.column("set"), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), counts)), pa.array(flat)], names=["node", "shingle"])
-    give_back()
+def _pack_shingles(parts: int):
+    """The shingles of sets as packed keys, for the question which of them another set has."""
+
+    def run(batches):
+        sent = Remembered()
+        for batch in portions(batches, "set"):
+            flat, counts = ragged(batch.column("set"), U)
+            key = mix(flat)
+            owner = np.repeat(np.arange(batch.num_rows), counts)
+            yield from pack(part_of(key, parts), key.astype(np.uint32), owner, batch.column("node").to_numpy(), parts, False, sent)
+
+    return run
+
+
+def _first_keys(percent: int):
+    """The least keys of each set's shared shingles that its prefix holds: the shingles without a partner go first."""
+
+    def run(batches):
+        for batch in batches:
+            flat, shared = ragged(batch.column("found"), np.uint32)
+            n = batch.column("n").to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), shared)
+            order = np.lexsort((flat, owner))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(shared) - shared, shared)
+            take = n - (n * percent + 99) // 100 + 1 - (n - shared)
+            keep = place < take[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[order][keep].astype(np.int64)), batch.column("node").take(pa.array(owner[keep]))], names=["shingle", "node"])
+        give_back()
+
+    return run
 
 
 def _prefixes(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(shingle, node): of each node's set the shingles, rarest among ``nodes`` first, of which it shares one at least with every set it links with."""
-    shingles = sets.join(nodes, "node", "left_semi").select("node", "set").mapInArrow(_explode_sets, "node long, shingle long")
-    shingles = stage(shingles)
-    common = shingles.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
-    held = shingles.join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
-    held = held.join(sets.select("node", "n"), "node")
-    take = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
-    return held.select("node", F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), take).cast("int"))).alias("e")).select(F.col("e.shingle").alias("shingle"), "node")
+    """(shingle, node): of each node's set the first shingles in an order that all share, of which linked sets have one in common.
+
+    Shingles that no other of the sets has come first, then the others by their key of 32
+    bits, which stands for the shingle: two of one key only make a pair more to look at.
+    """
+    some = sets.join(broadcast_if_small(nodes), "node", "left_semi")
+    total = some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(shuffle_width(sets.sparkSession), 1 + 8 * total // BUCKET_BYTES)
+    packed = some.select("node", "set").mapInArrow(_pack_shingles(parts), PACKED_DDL)
+    found, _ = shared_keys(packed, np.uint32, parts)
+    found = found.withColumnRenamed("rid", "node").join(sets.select("node", "n"), "node")
+    return found.select("node", "n", "found").mapInArrow(_first_keys(percent), "shingle long, node long")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -530,8 +560,9 @@ def _close_groups(members: DataFrame, tested: DataFrame, links: DataFrame, label
             more = _across(rows, hubs, "sig", F.col("l_u") != F.col("l_v"), percent)
         else:
             nodes = stage(members.select("node", "label").distinct())
-            prefixes = _prefixes(sets, nodes, percent).join(nodes, "node").join(info.select("node", *SKETCHED), "node")
-            prefixes = stage(prefixes)
+            prefixes = stage(_prefixes(sets, nodes.select("node"), percent).join(nodes, "node").distinct())
+            split = prefixes.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("shingle")
+            prefixes = prefixes.join(broadcast_if_small(split), "shingle", "left_semi").join(info.select("node", *SKETCHED), "node")
             more = _across(prefixes, prefixes, "shingle", F.col("l_u") < F.col("l_v"), percent)
         more = stage(more.join(tested, ["u", "v"], "left_anti"))
         tested = tested.union(more)
