@@ -6,8 +6,8 @@ same first word asks for. Every test suffix is binary-searched in every shard; a
 is extended to the longest verbatim match, whose place and length are returned.
 
 The benchmark is read in blocks of about ``BLOCK_BYTES`` of text (a longer item is a
-block of its own), each shipped with one narrow pass over the documents; passes but the
-last are staged. So the driver and a task hold one block at a time, whatever the size of
+block of its own), each shipped with one narrow pass over the documents, which is
+staged. So the driver and a task hold one block at a time, whatever the size of
 the benchmark.
 
 Words: A-Z lower-cased, runs of bytes outside 00-2F, 3A-60, 7B-7F. Words are numbered by
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import release, stage
+from .storage import broadcast_if_small, release, stage, with_rid
 from .textarrays import ALNUM_SEPARATOR, LOWER, U, chunks, equal_slices, portions
 
 BLOCK_BYTES = 8 << 20
@@ -208,20 +208,17 @@ def _blocks(benchmark: DataFrame, width: int, block_bytes: int):
         yield Block(uuid.uuid4().hex, [r.text for r in rows], [r.item for r in rows], width), k + 1 < number
 
 
-def _search_all(docs: DataFrame, benchmark: DataFrame, width: int, item_column: str, item_text: str, block_bytes: int, drop: bool) -> DataFrame:
-    """``docs`` (text and others) with n_words and matches, without text; with ``drop`` only the rows that match nothing."""
+def _search_all(docs: DataFrame, benchmark: DataFrame, width: int, item_column: str, item_text: str, block_bytes: int) -> DataFrame:
+    """``docs`` (text and others) with n_words and matches, without text; staged."""
     items = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
     first = None
     for block, more in _blocks(items, width, block_bytes):
         kept = [f for f in docs.schema.fields if f.name not in ("matches", "n_words") and (more or f.name != "text")]
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_words long", f"matches {MATCHES}"])
-        found = docs.mapInArrow(_search_block(block, first is not None and not drop, more), schema)
-        found = found.filter(F.size("matches") == 0) if drop else found
-        if more:
-            found = stage(found)
-            if first is not None:
-                release(docs)
-            first = first or found
+        found = stage(docs.mapInArrow(_search_block(block, first is not None, more), schema))
+        if first is not None:
+            release(docs)
+        first = first or found
         docs = found
     return docs
 
@@ -232,7 +229,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_colu
     matches are longest verbatim matches that hold a window of ``width`` words (or a
     whole shorter item); n_hit counts the words inside them.
     """
-    found = _search_all(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), benchmark, width, item_column, item_text, block_bytes, drop=False)
+    found = _search_all(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), benchmark, width, item_column, item_text, block_bytes)
     return found.withColumns({"n_hit": _hit_words("matches"), "items": F.array_sort(F.array_distinct("matches.item"))})
 
 
@@ -246,8 +243,14 @@ def _hit_words(matches: str):
     return F.aggregate(F.array_sort(matches), zero, add, lambda seen: seen["n"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no window of the benchmark occurs."""
-    names = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_column}`").alias("text"))
-    return _search_all(inner, benchmark, width, item_column, item_text, block_bytes, drop=True).select("row.*")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of the benchmark occurs.
+
+    The search stages names of rows only; the texts of what stays are read once more.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = with_rid(docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"), whole))
+    found = _search_all(named.select("rid", "text"), benchmark, width, item_column, item_text, block_bytes)
+    gone = broadcast_if_small(found.filter(F.size("matches") > 0).select("rid").distinct())
+    release(found)
+    return named.join(gone, "rid", "left_anti").select("row.*")

@@ -57,6 +57,8 @@ LOCAL_HOT = 24
 HUB_ROUNDS, PARTNER_ROUNDS = 1, 2
 #: Partners for which a set is sent once; bytes of sets that are intersected together; links that are contracted together.
 FAN, BUCKET_BYTES, CONTRACTED = 256, 16 << 20, 1 << 20
+#: Text whose signatures a worker holds at a time.
+PORTION_BYTES = 4 << 20
 LOW32 = U(0xFFFFFFFF)
 
 
@@ -184,7 +186,7 @@ def _describe(size: int):
 
 def _send_signatures(size: int, percent: int, parts: int):
     def run(batches):
-        for batch in portions(batches):
+        for batch in portions(batches, limit=PORTION_BYTES):
             keys, owners = [], []
             seen: set[int] = set()
             for chunk in chunks(batch.column("text")):
