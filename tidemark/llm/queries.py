@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, mixing, oracle, quality, recompression, sharding, suffixdedup, tokencount, urlfilter, variants
+from . import audio, chat, decontamination, jaccard, mixing, oracle, quality, recompression, sharding, suffixdedup, tokencount, urlfilter, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,17 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(variants.count(words, least_chars=5, least_n=3))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_recompression, op4_urlfilter, op5_chatformat, op6_quality, op7_suffixdedup, op8_decontamination, op9_jaccard, op10_tokencount, op11_variants)}
+def op13_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a WAV file, read back: log-mel tensors and segments, in digests."""
+    rows = audio.features(audio.store(table(spark, sf_dir, "documents")))
+    spoken = F.aggregate("segments", F.lit(0).cast("long"), lambda a, x: a + x["end_ms"] - x["start_ms"])
+    parts = [F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in (("frames", F.col("n_frames")), ("mean", F.round("logmel_mean", 3)), ("segments", F.size("segments")), ("active_ms", spoken), ("tensors", F.crc32("tensors")))]
+    return rows.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.concat_ws(";", *parts).alias("feature"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_recompression, op4_urlfilter, op5_chatformat, op6_quality, op7_suffixdedup, op8_decontamination, op9_jaccard, op10_tokencount, op11_variants, op13_media)}
 
 SQL = oracle.SQL
