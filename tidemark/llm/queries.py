@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, decontamination, jaccard, mixing, oracle, quality, recompression, sharding, suffixdedup, tokencount, urlfilter, variants
+from . import audio, chat, decontamination, hardneg, jaccard, mixing, oracle, quality, recompression, sharding, suffixdedup, tokencount, urlfilter, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,13 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(variants.count(words, least_chars=5, least_n=3))
 
 
+def op12_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors; each seventh is mislabelled."""
+    rows = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(hardneg.usable(rows.withColumn("label", shifted)), F.col("vec_id") % 100 == 0)
+
+
 def op13_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a WAV file, read back: log-mel tensors and segments, in digests."""
     rows = audio.features(audio.store(table(spark, sf_dir, "documents")))
@@ -99,6 +106,6 @@ def op13_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_recompression, op4_urlfilter, op5_chatformat, op6_quality, op7_suffixdedup, op8_decontamination, op9_jaccard, op10_tokencount, op11_variants, op13_media)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_recompression, op4_urlfilter, op5_chatformat, op6_quality, op7_suffixdedup, op8_decontamination, op9_jaccard, op10_tokencount, op11_variants, op12_hardneg, op13_media)}
 
 SQL = oracle.SQL
