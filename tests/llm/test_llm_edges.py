@@ -347,13 +347,13 @@ def test_url_labels_of_the_caller_count(spark):
 
 
 def test_urls_keep_rare_words(spark):
-    """A word of rank 20,000 and more is a word: ``alphabet`` does not fall into ``alpha`` and ``bet``."""
+    """A word of rank 20,000 and more is a word: ``kilobyte`` does not fall into ``kilo`` and ``byte``."""
     letters = "acdefghijklmnopqr"
     rare = F.concat(*[F.substring(F.lit(letters), (F.floor(F.col("id") / 17**k) % 17 + 1).cast("int"), F.lit(1)) for k in range(4)])
     known = spark.range(20_100).select(F.explode(F.array(F.lit(0), F.lit(1))), F.concat(F.lit("http://a.de/z"), rare).alias("url"))
-    names = spark.createDataFrame([(-1, "http://alphabet.org/"), (-2, "http://x.de/alphabet"), *((-3, "http://x.de/alpha") for _ in range(50))], "page_id long, url string")
+    names = spark.createDataFrame([(-1, "http://kilobyte.org/"), (-2, "http://x.de/kilobyte"), *((-3, "http://x.de/kilo") for _ in range(50))], "page_id long, url string")
     got = {r.page_id: r for r in urlfilter.judge(names.unionByName(known.select(F.lit(0).cast("long").alias("page_id"), "url")), []).filter("page_id < 0").collect()}
-    assert got[-1].tokens == ["h:alphabet", "h:org"] and got[-2].tokens[-1] == "p:alphabet"
+    assert got[-1].tokens == ["h:kilobyte", "h:org"] and got[-2].tokens[-1] == "p:kilobyte"
 
 
 def test_chat_layouts(spark):

@@ -65,7 +65,7 @@ def from_wav(file: bytes) -> bytes:
     at, kind = 12, None
     while at + 8 <= len(file):
         name, size = struct.unpack_from("<4sI", file, at)
-        if name == b"fmt ":
+        if name == b"fmt " and at + 24 <= len(file):
             kind = struct.unpack_from("<HHIIHH", file, at + 8)
         elif name == b"data":
             if kind is None or kind[0] != 1 or kind[1] != 1 or kind[2] != RATE or kind[5] != 8:
@@ -216,7 +216,7 @@ def _row(file: bytes | None) -> tuple:
     try:
         payload = from_wav(file or b"")
         stream, spans, number, mean = _packed(payload)
-    except (ValueError, struct.error):
+    except ValueError:
         return (None,) * len(FEATURES)
     return payload, number, mean, [{"start_ms": int(a), "end_ms": int(b)} for a, b in spans], stream
 

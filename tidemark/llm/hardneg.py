@@ -44,7 +44,9 @@ from .textarrays import give_back
 PIVOTS, GROUP_ANCHORS, PART_ROWS = 256, 1024, 1 << 16
 #: Cells of a matrix of scores that a task holds at a time.
 TILE = 1 << 21
-CLIP = float(1 << 56)
+CLIP = 1 << 56
+#: Stands for the score of a row that is out of the question.
+NEVER = -(1 << 62)
 
 
 def usable(rows: DataFrame, vec_id: str = "vec_id", label: str = "label", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -104,9 +106,9 @@ def _slack(space: Space) -> float:
 def _scores(a: np.ndarray, b: np.ndarray, space: Space) -> np.ndarray:
     """Integer inner products, exact, up to CLIP."""
     if space.exact:
-        return np.clip(a @ b.T, -CLIP, CLIP)
-    whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
-    return np.clip(whole(a) @ whole(b).T, -(1 << 56), 1 << 56).astype(np.float64) if a.size and b.size else np.zeros((len(a), len(b)))
+        return (a @ b.T).astype(np.int64)
+    whole = lambda m: np.array([int(x) for x in m.ravel()], object).reshape(m.shape)
+    return np.clip(whole(a) @ whole(b).T, -CLIP, CLIP).astype(np.int64)
 
 
 def pick_pivots(rows: DataFrame, space: Space, number: int) -> np.ndarray:
@@ -203,12 +205,12 @@ def reach(windows: DataFrame, pivots: np.ndarray, space: Space) -> DataFrame:
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k greatest finite scores of each row, ties by the smaller id."""
+    """Rows and columns of the k greatest scores of each row, ties by the smaller id."""
     if score.shape[1] > k:
         least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None]
-        i, j = np.nonzero((score >= least) & (score > -np.inf))
+        i, j = np.nonzero((score >= least) & (score > NEVER))
     else:
-        i, j = np.nonzero(score > -np.inf)
+        i, j = np.nonzero(score > NEVER)
     order = np.lexsort((ids[j], -score[i, j], i))
     i, j = i[order], j[order]
     place = np.arange(len(i)) - np.searchsorted(i, i)
@@ -219,7 +221,7 @@ class _Kept:
     """The k best rows so far for each slot (an anchor, or an anchor and positive)."""
 
     def __init__(self, k: int):
-        self.k, self.slot, self.id, self.score = k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.k, self.slot, self.id, self.score = k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, slot, ids, score) -> None:
         slot, ids, score = np.r_[self.slot, slot], np.r_[self.id, ids], np.r_[self.score, score]
@@ -242,18 +244,18 @@ def _local_join(space: Space, k: int, low: int | None, high: int):
 
         def flush():
             if kept is not None and len(kept.slot):
-                yield pa.RecordBatch.from_arrays([pa.array(anchors["slot_id"][kept.slot]), pa.array(anchors["cap"][kept.slot].astype(np.int64)), pa.array(kept.id), pa.array(kept.score.astype(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(anchors["slot_id"][kept.slot]), pa.array(anchors["cap"][kept.slot]), pa.array(kept.id), pa.array(kept.score)], names=names)
 
         def opened(pieces: list[pa.RecordBatch]) -> dict:
             table = pa.Table.from_batches(pieces)
             v = _matrix(table["v"].combine_chunks(), space.dim)
             ids, label = table["vec_id"].to_numpy(), table["label"].to_numpy()
             if low is None:
-                owner, cap = np.arange(len(ids)), np.zeros(len(ids))
+                owner, cap = np.arange(len(ids)), np.zeros(len(ids), np.int64)
             else:
                 caps = table["caps"].combine_chunks()
-                owner, cap = np.repeat(np.arange(len(ids)), np.diff(caps.offsets.to_numpy())), caps.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            return {"v": v, "id": ids, "label": label, "owner": owner, "cap": cap, "slot_id": ids[owner], "order": np.argsort(owner, kind="stable")}
+                owner, cap = np.repeat(np.arange(len(ids)), np.diff(caps.offsets.to_numpy())), caps.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            return {"v": v, "id": ids, "label": label, "owner": owner, "cap": cap, "slot_id": ids[owner]}
 
         def met(rows: pa.RecordBatch) -> None:
             ids, label, v = rows.column("vec_id").to_numpy(), rows.column("label").to_numpy(), _matrix(rows.column("v"), space.dim)
@@ -265,12 +267,10 @@ def _local_join(space: Space, k: int, low: int | None, high: int):
                 score = _scores(anchors["v"][who], v, space)
                 same = anchors["label"][who][:, None] == label
                 if low is None:
-                    score = np.where(same & (anchors["id"][who][:, None] != ids), score, -np.inf)[back]
+                    score = np.where(same & (anchors["id"][who][:, None] != ids), score, NEVER)[back]
                 else:
-                    score = np.where(same, -np.inf, score)[back]
-                    cap, finite = anchors["cap"][some, None], np.where(np.isfinite(score), score, 0.0)
-                    whole, bound = finite.astype(np.int64), cap.astype(np.int64)
-                    score = np.where((low * bound <= 100 * whole) & (100 * whole <= high * bound), score, -np.inf)
+                    score, other, cap = score[back], ~same[back], anchors["cap"][some, None]
+                    score = np.where(other & (low * cap <= 100 * score) & (100 * score <= high * cap), score, NEVER)
                 i, j = _best(score, ids, k)
                 kept.add(lo + i, ids[j], score[i, j])
 
