@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, scores, text
 from ..operators import advantage, curation, dates, episodes, evaluation, metrics, rendering, retrieval, sampling, taxonomy, traces, volume
-from . import records as records  # registers its queries
+from . import placed as placed  # registers its queries
+from . import records as records
 from . import views as v
 from .registry import QUERIES as QUERIES
 from .registry import SQL as SQL

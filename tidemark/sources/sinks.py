@@ -4,12 +4,22 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def episodes(rows: DataFrame, path: str) -> None:
-    """JSON lines in the order of ``rows``, replacing what was there. One file: an order needs one."""
-    rows.coalesce(1).write.mode("overwrite").json(path)
+    """JSON lines in the order of ``rows``, replacing what was there.
+
+    Tasks write in parallel: the numbers of the part files carry the order, which
+    ``positions.numbered_lines`` reads back.
+    """
+    rows.write.mode("overwrite").json(path)
+
+
+def ordered_lines(rows: DataFrame, keys: list[Column | str], path: str, parts: int | None = None) -> None:
+    """JSON lines in order of ``keys``: each task sorts and writes a range of them, none holds the whole order."""
+    ranges = rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
+    episodes(ranges.sortWithinPartitions(*keys), path)
 
 
 def append_records(rows: DataFrame, path: str) -> None:
