@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers, scores, text
-from ..operators import advantage, curation, dates, episodes, evaluation, metrics, rendering, retrieval, sampling, taxonomy, traces, volume
+from ..operators import advantage, curation, dates, episodes, evaluation, metrics, rendering, retrieval, sampling, taxonomy, traces, vector_index, volume, window_join
+from ..sources.scratch import scratch
 from . import placed as placed  # registers its queries
 from . import records as records
 from . import views as v
@@ -458,6 +459,20 @@ def vector_topk_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(retrieval.search(v.articles(spark, sf_dir), _query_vectors(spark, sf_dir, True), k=5))
 
 
+@query(f"{_SEARCH}, w AS (SELECT * FROM s WHERE published_date BETWEEN start AND cutoff) {_TOP.format(rows='w', k=5, digits=6)}")
+def vector_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a range join of two tables, with more queries than a block holds."""
+    return _hits(window_join.window_join(v.articles(spark, sf_dir), _query_vectors(spark, sf_dir, True), k=5, block=4))
+
+
+@query(f"{_SEARCH} {_TOP.format(rows='s', k=5, digits=6)}")
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact hits by an index of cells that is written, opened and read in part."""
+    path = scratch(spark)
+    vector_index.build(v.articles(spark, sf_dir), path, cells=64)
+    return _hits(vector_index.search(spark, path, _query_vectors(spark, sf_dir, False), k=5)[0])
+
+
 @query(f"""{_SEARCH}, pool AS (SELECT * FROM s WHERE published_date BETWEEN start AND cutoff QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) <= 20),
   b AS (SELECT query_id, article_id, round(0.7 * score + 0.3 * (1.0 - least(greatest(date_diff('day', published_date::DATE, cutoff::DATE), 0) / 180.0, 1.0)), 9) AS score FROM pool) {_TOP.format(rows='b', k=5, digits=8)}""")
 def vector_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
