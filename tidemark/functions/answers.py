@@ -1,8 +1,10 @@
 """Answers and notebooks inside model text.
 
-Tags are found by expressions. The object inside is parsed leniently (strict JSON, then
-bare keys quoted, then a Python literal) in one Arrow-batched function, as neither
-``from_json`` nor ``try_parse_json`` has these rules (both take trailing junk).
+Tags are found by expressions. The object inside is parsed leniently: strict JSON, then bare
+keys quoted, then a Python literal. Strict objects stay in the JVM: they are variants, and a
+check sees to it that nothing follows the object. Only the remainder is sent to one
+Arrow-batched function, which has the rules that no built-in one has; strict rows reach it
+as nulls.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, MapType, StringType, StructType
 
+from ..sources.files import json_object
 from .text import last_tag
 
 _BARE_KEY = re.compile(r"(?<=[{,])(\s*)([^\W\d][\w\- ]*?)(\s*)(?=:)", re.ASCII)
@@ -55,6 +58,9 @@ def numeric_fields(value) -> dict[str, float]:
 def parse_objects(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for text in texts:
+        if text is None:
+            rows.append((False, False, None, 0, False, None))
+            continue
         value, strict = parse_object(text)
         numbers = numeric_fields(value)
         assessment = (value or {}).get("assessment")
@@ -64,10 +70,38 @@ def parse_objects(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["strict", "parsed", "forecast", "n_fields", "has_p", "p"])
 
 
+#: Types of a variant that are numbers, as ``schema_of_variant`` writes them.
+_NUMBER = r"^(BIGINT|DECIMAL|DOUBLE|FLOAT|TINYINT|SMALLINT|INT)"
+
+
+def _numbers(fields: Column) -> Column:
+    """The numeric fields of a map of variants."""
+    kept = F.map_filter(fields, lambda _, x: F.schema_of_variant(x).rlike(_NUMBER))
+    return F.transform_values(kept, lambda _, x: F.try_variant_get(x, "$", "double"))
+
+
+def parsed_object(inner: Column) -> Column:
+    """strict, parsed, forecast, n_fields, has_p and p of the object in a text, as :func:`parse_object` reads it."""
+    text = F.trim(inner, F.lit(" \t\n\r\f\v"))
+    value = F.try_parse_json(text)
+    fields = F.try_variant_get(value, "$", "map<string, variant>")
+    strict = F.coalesce(json_object(text) & fields.isNotNull(), F.lit(False))
+    filled = lambda m: F.when(F.size(m) > 0, m)
+    inside = F.try_variant_get(value, "$.assessment.p", "map<string, variant>")
+    forecast, p = _numbers(fields), _numbers(inside)
+    has_p = F.coalesce((F.size(p) > 0) & (F.size(p) == F.size(inside)), F.lit(False))
+    native = F.struct(
+        F.lit(True).alias("strict"), F.lit(True).alias("parsed"), filled(forecast).alias("forecast"), F.size(fields).cast("int").alias("n_fields"),
+        has_p.alias("has_p"), filled(p).alias("p"),
+    )
+    rest = parse_objects(F.when(~strict, inner))
+    return F.when(strict, native).otherwise(rest)
+
+
 def answer(text: Column | str) -> Column:
     """forecast, tag_present, strict_json and all_numeric of the last ``answer`` tag."""
     inner = last_tag(text, "answer")
-    o = parse_objects(inner)
+    o = parsed_object(inner)
     full = (o["n_fields"] > 0) & (F.coalesce(F.size(o["forecast"]), F.lit(0)) == o["n_fields"])
     return F.struct(o["forecast"].alias("forecast"), inner.isNotNull().alias("tag_present"), o["strict"].alias("strict_json"), F.coalesce(full, F.lit(False)).alias("all_numeric"))
 
@@ -75,5 +109,5 @@ def answer(text: Column | str) -> Column:
 def notebook(text: Column | str) -> Column:
     """raw_inner, tag_present, parseable, has_assessment_p and p of the last ``belief_notebook`` tag."""
     inner = last_tag(text, "belief_notebook")
-    o = parse_objects(inner)
+    o = parsed_object(inner)
     return F.struct(inner.alias("raw_inner"), inner.isNotNull().alias("tag_present"), o["parsed"].alias("parseable"), o["has_p"].alias("has_assessment_p"), o["p"].alias("p"))

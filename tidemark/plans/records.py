@@ -6,14 +6,14 @@ the readers under test; the SQL says what must come back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rewards, text
 from ..operators import dates, episodes, evaluation, metrics
 from ..sources import config, files, loader, sinks
-from ..sources.scratch import scratch
-from ..streaming import runs
+from ..sources.scratch import scratch, staged
+from ..streaming import runs, state
 from . import views as v
 from .registry import query
 from .views import table
@@ -214,7 +214,7 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.merge_counters(spark.read.parquet(f"{folder}/out").select("name", "n"))
 
 
-_STEPS = f"""WITH {v.ARTICLES}, q AS (SELECT vec_id * 10 + i AS query_id, embedding AS e, '2024-01-05' AS start, strftime(DATE '2024-01-15' + CAST(20 * i AS INTEGER), '%Y-%m-%d') AS cutoff FROM embeddings, range(3) r(i) WHERE vec_id % 100 = 0),
+_STEPS = f"""WITH {v.ARTICLES}, q AS (SELECT vec_id * 10 + i AS query_id, embedding AS e, '2024-01-05' AS start, strftime(DATE '2024-01-15' + CAST(20 * i AS INTEGER), '%Y-%m-%d') AS cutoff FROM embeddings, range(3) r(i) WHERE vec_id % 50 = 0),
   s AS (SELECT query_id, article_id, round(list_inner_product(list_transform(e, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_inner_product(list_transform(e, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE))), 6) AS score
     FROM q, articles WHERE published_date BETWEEN start AND cutoff)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) AS INTEGER) AS rank, article_id FROM s QUALIFY rank <= 3"""
@@ -224,7 +224,7 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 def stream_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps that arrive as a stream: each sees the articles up to its own date, 20 days more than the step before."""
     folder = scratch(spark)
-    e = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("vector"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    e = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select("vec_id", F.col("embedding").alias("vector"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
     cutoff = F.date_format(F.date_add(F.lit("2024-01-15").cast("date"), 20 * F.col("i")), "yyyy-MM-dd")
     asked = e.select((F.col("vec_id") * 10 + F.col("i")).alias("query_id"), "vector", F.lit("2024-01-05").alias("start"), cutoff.alias("cutoff"))
     asked.repartition(2).write.parquet(f"{folder}/in")
@@ -233,6 +233,37 @@ def stream_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("query_id", "rank", "article_id")
 
 
+_NOTES = "SELECT user_id AS event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step_idx, CASE WHEN event_id % 3 > 0 THEN event_type END AS notebook FROM events"
+
+
+@query(f"SELECT event_id, step_idx, notebook, lag(notebook) OVER (PARTITION BY event_id ORDER BY step_idx) AS prev_notebook FROM ({_NOTES})")
+def stream_notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notebooks carried by a stream: steps arrive out of order, and the query is stopped half-way and started again."""
+    folder = scratch(spark)
+    e = table(spark, sf_dir, "events")
+    step = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = e.select(F.col("user_id").alias("event_id"), step.cast("long").alias("step_idx"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("notebook"))
+    rows = staged(rows.withColumn("part", F.pmod(F.xxhash64("event_id", "step_idx"), F.lit(2))))
+    for part in (0, 1):
+        rows.filter(F.col("part") == part).drop("part").coalesce(2).write.mode("append").parquet(f"{folder}/in")
+        steps = spark.readStream.schema("event_id long, step_idx long, notebook string").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+        state.carried_notebook(steps, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "step_idx", "notebook", "prev_notebook")
+
+
+@query(f"""SELECT user_id::VARCHAR AS event_id, event_id AS rollout_idx, 1 AS n FROM events WHERE (user_id::VARCHAR, event_id) NOT IN (SELECT event_id, rollout_idx FROM ({_RESULTS}))""")
+def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stopped and restarted stream of units logs, beside an earlier run's records: each unit once, although all of them arrive twice."""
+    folder, done = scratch(spark), files.completed(spark, _result_lines(spark, sf_dir))
+    units = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("event_id"), F.col("event_id").cast("int").alias("rollout_idx"))
+    for part in (units.filter("rollout_idx % 2 = 0"), units):
+        part.repartition(2).write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema("event_id string, rollout_idx int").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        state.evaluation_log(arriving, done, lambda rows: rows, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    log = spark.read.schema("event_id string, rollout_idx int").json(f"{folder}/log")
+    return log.groupBy("event_id", "rollout_idx").agg(F.count("*").cast("int").alias("n"))
+
+
 @query("""SELECT event_id::VARCHAR AS event_id, CASE WHEN event_id % 2 = 0 THEN 'm' END AS model_name, value AS brier, NULL AS reward, 'search' AS prompt_source FROM events""")
 def eval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records in the fixed column order; what a run lacks is null."""
