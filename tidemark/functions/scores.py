@@ -98,6 +98,11 @@ def notebook_quality(parseable: Column, has_p: Column, matches: Column) -> Colum
     return _share(parseable, has_p, matches)
 
 
+def format_quality(answer: Column, notebook: Column) -> Column:
+    """Both halves alike, where the notebook is scored too."""
+    return 0.5 * answer + 0.5 * notebook
+
+
 def score(forecast: Column, truth: Column, crowd: Column, quality: Column, metric: str, normalized: bool = True, eps: float = EPS, coef: float = 1.0) -> Column:
     """The reward record of one answer as a struct; ``forecast`` null or empty means no answer."""
     if metric not in ("brier", "log_prob"):

@@ -21,14 +21,19 @@ def _mean(value: Column, scored: Column) -> Column:
     return F.avg(F.when(scored, value))
 
 
-def scorecard(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def scorecard(records: DataFrame, keys: tuple[str, ...] = (), position: str | None = None) -> DataFrame:
     """Counts and means by ``keys`` (all records without).
 
+    With a ``position``, a column that orders the records, the card begins with the run_id
+    and model_name of the first one, null where it has none.
     ``has_error`` tells whether a record has the error key, even with a null in it.
     Scored records have no such key and a true parse_ok; a mean skips nulls.
     """
     scored = ~F.col("has_error") & F.coalesce(F.col("parse_ok"), F.lit(False))
+    first = F.min_by(F.struct("run_id", "model_name"), position) if position else None
+    identity = [first[c].alias(c) for c in ("run_id", "model_name")] if position else []
     return records.groupBy(*keys).agg(
+        *identity,
         F.count("*").alias("n_rows"),
         F.count_if(scored).alias("n_scored"),
         F.count_if("has_error").alias("n_errors"),

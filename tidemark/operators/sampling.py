@@ -1,6 +1,6 @@
 """One date per event, stratified into early, middle and late.
 
-Events are shuffled by an integer hash, so the draw is the same on any cluster; group
+Events are shuffled by a digest of their key, so the draw is the same on any cluster; group
 sizes are exact thirds of the shuffled order.
 """
 
@@ -13,12 +13,13 @@ GROUPS = ("early", "middle", "late")
 #: Bounds of each group on the relative position, and the place to fall back to.
 BOUNDS = {"early": (0.0, 1 / 3), "middle": (1 / 3, 2 / 3), "late": (2 / 3, 1.0 + 1e-9)}
 CENTRES = {"early": 1 / 6, "middle": 0.5, "late": 5 / 6}
-_MOD = 2147483647
+DRAW_BITS = 60
 
 
 def draw(key: Column, seed: int) -> Column:
-    """A pseudo-random integer below 2**31 - 1, by integer arithmetic alone."""
-    return F.pmod(F.pmod(key.cast("long") + seed, F.lit(1000003)) * 48271 + 12345, F.lit(_MOD)) * 16807 % _MOD
+    """A pseudo-random integer of 60 bits: the head of the MD5 digest of seed and key. A null key is drawn like an empty one."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("long")
 
 
 def relative_positions(rows: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def _of_group(values: dict, part: int | None = None) -> Column:
 
 def assign_groups(events: DataFrame, seed: int) -> DataFrame:
     """(event_id, group): k < n/3 early, k < 2n/3 middle, else late, k by shuffled order."""
-    drawn = events.select("event_id", draw(F.col("event_id"), seed).alias("_d")).withColumn("_b", F.shiftright("_d", 19))
+    drawn = events.select("event_id", draw(F.col("event_id"), seed).alias("_d")).withColumn("_b", F.shiftright("_d", DRAW_BITS - 12))
     buckets = drawn.groupBy("_b").agg(F.count("*").alias("_n"))  # 4096 at most
     upto, whole = Window.orderBy("_b"), Window.partitionBy()
     buckets = buckets.select("_b", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("n"))
@@ -59,8 +60,12 @@ def single_date(rows: DataFrame, seed: int = 20260918) -> DataFrame:
     return placed.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k", "inside")
 
 
-def statistics(chosen: DataFrame) -> DataFrame:
-    """(stat, key, value): group counts, mean r by group and overall, histograms of r, t and T."""
+def statistics(chosen: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(stat, key, value): group counts, mean r by group and overall, histograms of r, t and T.
+
+    With the ``rows`` that the sample was drawn from: their number and that of the sample,
+    of events and fallbacks, and counts of belief_kind before and after.
+    """
     row = lambda stat, key, value: [F.lit(stat).alias("stat"), key.cast("string").alias("key"), value.cast("double").alias("value")]
     count = lambda stat, key: chosen.groupBy(key.alias("k")).agg(F.count("*").alias("n")).select(*row(stat, F.col("k"), F.col("n")))
     r = F.round("r", 4)
@@ -68,7 +73,14 @@ def statistics(chosen: DataFrame) -> DataFrame:
     out = out.unionAll(chosen.groupBy("group").agg(F.round(F.avg(r), 4).alias("m")).select(*row("r_mean_by_group", F.col("group"), F.col("m"))))
     out = out.unionAll(chosen.agg(F.round(F.avg(r), 4).alias("m")).select(*row("r_mean", F.lit(""), F.col("m"))))
     out = out.unionAll(count("r_hist_10bins", F.least(F.floor(r * 10), F.lit(9))))
-    return out.unionAll(count("t_hist", F.col("t"))).unionAll(count("T_Q_hist", F.col("T_Q")))
+    out = out.unionAll(count("t_hist", F.col("t"))).unionAll(count("T_Q_hist", F.col("T_Q")))
+    if rows is None:
+        return out
+    kinds = lambda stat, df: df.groupBy(F.col("belief_kind").alias("k")).agg(F.count("*").alias("n")).select(*row(stat, F.col("k"), F.col("n")))
+    sizes = chosen.agg(F.count("*").alias("rows_out"), F.count_if("fallback").alias("fallbacks")).unpivot([], ["rows_out", "fallbacks"], "stat", "n")
+    before = rows.agg(F.count("*").alias("rows_in"), F.count_distinct("event_id").alias("events")).unpivot([], ["rows_in", "events"], "stat", "n")
+    sizes = sizes.unionAll(before).select("stat", F.lit("").alias("key"), F.col("n").cast("double").alias("value"))
+    return out.unionAll(sizes).unionAll(kinds("kind_out", chosen)).unionAll(kinds("kind_in", rows))
 
 
 def top_labels(chosen: DataFrame, k: int = 6) -> DataFrame:

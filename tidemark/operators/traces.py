@@ -30,6 +30,18 @@ def flatten_message(content: Column) -> Column:
     )
 
 
+#: Message blocks as they are stored; a block has one of the three.
+BLOCKS = """array<struct<text: string, toolUse: struct<toolUseId: string, name: string, input: map<string, string>>,
+toolResult: struct<toolUseId: string, status: string, content: array<struct<text: string>>>>>"""
+
+
+def full_trace(messages: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, pos, role, turn, text, tool_uses, tool_results) from messages (key, pos, role, content of :data:`BLOCKS`)."""
+    flat = messages.withColumn("m", flatten_message(F.coalesce("content", F.array().cast(BLOCKS))))
+    rows = turns(flat.withColumn("tool_result", F.size("m.tool_results") > 0), key)
+    return rows.select(key, "pos", "role", "turn", "m.text", "m.tool_uses", "m.tool_results")
+
+
 def final_response(messages: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, response): the last message's text past any reasoning, null unless an assistant wrote it."""
     last = messages.groupBy(key).agg(F.max_by(F.struct("role", "text"), "pos").alias("m"))

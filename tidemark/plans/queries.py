@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import answers, scores, text
 from ..operators import advantage, curation, dates, episodes, evaluation, metrics, rendering, retrieval, sampling, taxonomy, traces, vector_index, volume, window_join
 from ..sources.scratch import scratch
-from . import placed as placed  # registers its queries
+from . import branches as branches  # registers its queries
+from . import placed as placed
 from . import records as records
 from . import views as v
 from .registry import QUERIES as QUERIES
@@ -21,9 +22,12 @@ def news_volume_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume.daily_volume(v.corpus(spark, sf_dir))
 
 
-@query("SELECT count(*) AS articles, CAST(0 AS BIGINT) AS undated FROM events")
+@query("SELECT count(*) AS articles, count(*) FILTER (event_id % 4 = 1 AND event_id // 4 % 4 <> 2) AS undated FROM events")
 def news_volume_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volume.volume_totals(v.corpus(spark, sf_dir))
+    """Every fourth article has an odd day: none, an empty one, words, or one that no calendar has, which by its form is a day."""
+    odd = F.element_at(F.array(F.lit(None).cast("string"), F.lit(""), F.lit("2024-02-31"), F.lit("last May")), (F.floor(F.col("event_id") / 4) % 4 + 1).cast("int"))
+    day = F.when(F.col("event_id") % 4 == 1, odd).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    return volume.volume_totals(table(spark, sf_dir, "events").select(day.alias("published_date")))
 
 
 @query("SELECT min(strftime(ts, '%Y-%m')) || '-01' AS start FROM events")
@@ -489,14 +493,17 @@ def shard_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {v.ARTICLES}, r AS (SELECT article_id % 7 AS task_id, article_id, published_date, article_id % 3 AS how FROM articles)
-SELECT task_id, article_id AS requested, CASE WHEN how = 2 THEN 'unknown_id' WHEN published_date > '2024-02-10' OR published_date < '2024-01-10' THEN 'out_of_window' ELSE 'ok' END AS status FROM r""")
+SELECT task_id, printf('%08x-0000-0000-0000-000000000000', article_id) AS article_id, CASE WHEN how = 2 THEN 'unknown_id' WHEN published_date > '2024-02-10' OR published_date < '2024-01-10' THEN 'out_of_window' ELSE 'ok' END AS status FROM r
+UNION ALL SELECT -1, printf('%08x-0000-0000-0000-000000000000', article_id), 'nothing_seen' FROM r WHERE task_id = 0 UNION ALL SELECT task_id, '', 'empty_id' FROM r WHERE task_id = 1""")
 def serve_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = v.articles(spark, sf_dir).withColumn("id", F.col("article_id")).withColumn("article_id", F.concat(F.lit("<urn:uuid:"), F.lpad(F.hex("id"), 8, "0"), F.lit("-0000-0000-0000-000000000000>")))
     task = (F.col("id") % 7).alias("task_id")
     seen = articles.filter("id % 3 != 2").select(task, "article_id")
     asked = articles.select(task, F.concat(F.lit(" id="), "article_id", F.lit(", ")).alias("requested"), F.lit("2024-01-10").alias("start"), F.lit("2024-02-10").alias("cutoff"))
+    # A task that has searched nothing, and requests whose id is empty once its wrapping is off.
+    asked = asked.unionAll(asked.filter("task_id = 0").withColumn("task_id", F.lit(-1).cast("long"))).unionAll(asked.filter("task_id = 1").withColumn("requested", F.lit(" id=<>, ")))
     served = retrieval.serve(asked, seen, articles.drop("id"))
-    return served.select("task_id", F.conv(F.substring("article_id", 11, 8), 16, 10).cast("long").alias("requested"), "status")
+    return served.select("task_id", F.lower(F.regexp_replace("article_id", "^<urn:uuid:|>$", "")).alias("article_id"), "status")
 
 
 @query("""WITH b AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), c AS (SELECT *, substr(t, 1, 280) AS s FROM b),
@@ -519,7 +526,7 @@ def _dated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _draw_sql(key: str, seed: int) -> str:
-    return f"(((({key}) + {seed}) % 1000003) * 48271 + 12345) % 2147483647 * 16807 % 2147483647"
+    return f"('0x' || substr(md5('{seed}|' || ({key})::VARCHAR), 1, 15))::BIGINT"
 
 
 _SEED = 20260918
@@ -539,9 +546,13 @@ def single_date_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_SAMPLE}, c AS (SELECT *, round(r, 4) AS q FROM chosen)
 SELECT 'group_counts' AS stat, grp AS key, count(*)::DOUBLE AS value FROM c GROUP BY 2 UNION ALL SELECT 'r_mean_by_group', grp, round(avg(q), 4) FROM c GROUP BY 2
 UNION ALL SELECT 'r_mean', '', round(avg(q), 4) FROM c UNION ALL SELECT 'r_hist_10bins', CAST(least(CAST(floor(q * 10) AS BIGINT), 9) AS VARCHAR), count(*)::DOUBLE FROM c GROUP BY 2
-UNION ALL SELECT 't_hist', CAST(t AS VARCHAR), count(*)::DOUBLE FROM c GROUP BY 2 UNION ALL SELECT 'T_Q_hist', CAST(T_Q AS VARCHAR), count(*)::DOUBLE FROM c GROUP BY 2""")
+UNION ALL SELECT 't_hist', CAST(t AS VARCHAR), count(*)::DOUBLE FROM c GROUP BY 2 UNION ALL SELECT 'T_Q_hist', CAST(T_Q AS VARCHAR), count(*)::DOUBLE FROM c GROUP BY 2
+UNION ALL SELECT 'kind_out', CASE event_id % 3 WHEN 0 THEN 'multi' ELSE 'binary' END, count(*)::DOUBLE FROM c GROUP BY 2 UNION ALL SELECT 'kind_in', CASE event_id % 3 WHEN 0 THEN 'multi' ELSE 'binary' END, count(*)::DOUBLE FROM daily_belief GROUP BY 2
+UNION ALL SELECT 'rows_out', '', count(*)::DOUBLE FROM c UNION ALL SELECT 'fallbacks', '', count(*) FILTER (NOT inside)::DOUBLE FROM c
+UNION ALL SELECT 'rows_in', '', count(*)::DOUBLE FROM daily_belief UNION ALL SELECT 'events', '', count(DISTINCT event_id)::DOUBLE FROM daily_belief""")
 def sample_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.statistics(sampling.single_date(_dated_rows(spark, sf_dir), _SEED))
+    rows = _dated_rows(spark, sf_dir).withColumn("belief_kind", F.when(F.col("event_id") % 3 == 0, "multi").otherwise("binary"))
+    return sampling.statistics(sampling.single_date(rows, _SEED), rows)
 
 
 @query("""SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, min(event_id) LIMIT 6""")
@@ -605,11 +616,15 @@ _SNIP = """b AS (SELECT article_id, text, title, published_date, trim(regexp_rep
 
 @query(f"""{_SEARCH}, w AS (SELECT * FROM s WHERE published_date BETWEEN start AND cutoff), h AS ({_TOP.format(rows="w", k=5, digits=6)}), {_SNIP}
 SELECT query_id, string_agg('[' || rank || '] ' || title || chr(10) || 'url: https://example.org/' || article_id || chr(10) || 'id: ' || article_id || chr(10) || 'published: ' || published_date
-  || chr(10) || 'score: ' || printf('%.4f', score) || chr(10) || snippet, chr(10) || chr(10) ORDER BY rank) AS results FROM h JOIN n USING (article_id) GROUP BY 1""")
+  || chr(10) || 'score: ' || printf('%.4f', score) || chr(10) || snippet, chr(10) || chr(10) ORDER BY rank) AS results FROM h JOIN n USING (article_id) GROUP BY 1
+UNION ALL SELECT -1 - vec_id, 'No results found.' FROM embeddings WHERE vec_id % 50 = 0""")
 def search_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    articles = v.articles(spark, sf_dir)
-    hits = retrieval.search(articles, _query_vectors(spark, sf_dir, True), k=5).withColumn("score", F.round("score", 6))
-    return retrieval.render_hits(hits, articles)
+    """Hits as text; each query asks once more for a year that no article is from."""
+    articles, asked = v.articles(spark, sf_dir), _query_vectors(spark, sf_dir, True)
+    late = asked.withColumns({"query_id": -1 - F.col("query_id"), "start": F.lit("2031-01-01"), "cutoff": F.lit("2031-12-31")})
+    asked = asked.unionByName(late)
+    hits = retrieval.search(articles, asked, k=5).withColumn("score", F.round("score", 6))
+    return retrieval.render_hits(hits, articles, asked)
 
 
 @query(f"""WITH {v.ARTICLES}, w AS (SELECT article_id, text, title, published_date, regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\\s+') AS t FROM articles)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rewards, text
 from ..operators import dates, episodes, evaluation, metrics
-from ..sources import config, files, loader, sinks
+from ..sources import config, files, loader, positions, shards, sinks
 from ..sources.scratch import scratch, staged
 from ..streaming import runs, state
 from . import views as v
@@ -20,7 +20,7 @@ from .views import table
 
 
 def _lines(spark: SparkSession, rows: DataFrame, name: str = "lines") -> str:
-    """``rows`` as JSON lines in one file."""
+    """``rows`` as JSON lines."""
     path = f"{scratch(spark)}/{name}"
     sinks.episodes(rows, path)
     return path
@@ -63,14 +63,15 @@ def resolution_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(key.cast("string").alias("event_id"), F.date_format(resolves, "yyyy-MM-dd").alias("resolves"))
 
 
-@query("""SELECT c_custkey::VARCHAR AS event_id, strftime(DATE '2024-01-01' + CAST(i AS INTEGER), '%Y-%m-%d') AS forecast_date, CASE WHEN i < 2 THEN round(0.1::DOUBLE * (i + 1), 6) END AS crowd_prob, CAST(i AS INTEGER) AS step_idx
-FROM customer, range(3) r(i) WHERE c_custkey BETWEEN 10 AND 59""")
+@query("""SELECT event_id, strftime(DATE '2024-01-01' + CAST(i AS INTEGER), '%Y-%m-%d') AS forecast_date, CASE WHEN i < 2 THEN round(0.1::DOUBLE * (i + 1), 6) END AS crowd_prob, CAST(i AS INTEGER) AS step_idx
+FROM (SELECT c_custkey::VARCHAR AS event_id, row_number() OVER (ORDER BY c_name DESC, c_custkey) - 1 AS position FROM customer), range(3) r(i) WHERE position BETWEEN 10 AND 59""")
 def prepared_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prepared episodes read strictly, cut to rows 10 to 59, decoded and taken apart; the third probability is missing."""
+    """Prepared episodes read strictly, cut to lines 10 to 59, decoded and taken apart; the third probability is missing."""
     meta = F.struct(F.array(*[F.lit(f"2024-01-0{i}") for i in (1, 2, 3)]).alias("forecast_dates"), F.array(F.lit(0.1), F.lit(0.2)).alias("crowd_probs"))
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("event_id"), F.col("c_name").alias("prompt"), meta.alias("metadata"))
-    read = files.strict_json(spark, _lines(spark, rows), files.EPISODE)
-    read = read.select("event_id", "metadata.forecast_dates", "metadata.crowd_probs", F.col("event_id").cast("long").alias("input_pos"))
+    lines = positions.numbered_lines(spark, _lines(spark, rows.orderBy(F.col("prompt").desc(), F.col("event_id").cast("long"))))
+    read = files.strict_rows(lines, files.EPISODE)
+    read = read.select("event_id", "metadata.forecast_dates", "metadata.crowd_probs", F.col("position").alias("input_pos"))
     return episodes.steps(episodes.decode(episodes.check_mode(read, "memory-on"), 10, 60)).select("event_id", "forecast_date", "step_idx", F.round("crowd_prob", 6).alias("crowd_prob"))
 
 
@@ -110,6 +111,15 @@ def _article_files(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def _cut_article_files(spark: SparkSession, sf_dir: str) -> str:
+    """As above, but only January and February have stored truncations."""
+    path = f"{scratch(spark)}/articles"
+    rows = v.articles(spark, sf_dir).select("article_id", "published_date", "title", "text", "shard")
+    rows.filter("shard <= '2024-02'").withColumn("text_truncated", F.concat(F.lit("cut "), "article_id")).write.partitionBy("shard").parquet(path)
+    rows.filter("shard > '2024-02'").write.mode("append").partitionBy("shard").parquet(path)
+    return path
+
+
 @query(f"WITH {v.ARTICLES} SELECT published_date, count(*) AS n FROM articles GROUP BY 1")
 def published_dates_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.published_dates(spark, _article_files(spark, sf_dir)).groupBy("published_date").agg(F.count("*").alias("n"))
@@ -118,8 +128,7 @@ def published_dates_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {v.ARTICLES} SELECT article_id, shard, title, NULL::VARCHAR AS summary, CASE WHEN shard = '2024-02' THEN 'cut ' || article_id END AS cached FROM articles")
 def article_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of all shards with their metadata: only February's were cut for this tokenizer and budget."""
-    path = _article_files(spark, sf_dir)
-    read = files.articles(spark, path).drop("text_truncated").withColumn("text_truncated", F.concat(F.lit("cut "), "article_id")).withColumn("shard", F.date_format("published_date", "yyyy-MM"))
+    read = shards.read_shards(spark, _cut_article_files(spark, sf_dir))
     folder = f"{scratch(spark)}/metadata"
     for shard, made in (("2024-01", {"tokenizer": "other", "token_budget": 8000}), ("2024-02", {"tokenizer": "words", "token_budget": 8000})):
         line = F.to_json(F.struct(F.struct(F.lit(made["tokenizer"]).alias("tokenizer"), F.lit(made["token_budget"]).alias("token_budget")).alias("scrape_truncation")))
@@ -338,7 +347,7 @@ def last_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.keep_last(table(spark, sf_dir, "events").select("event_id", "user_id"), 20, "event_id")
 
 
-@query("SELECT event_id FROM events ORDER BY ((((event_id) + 5) % 1000003) * 48271 + 12345) % 2147483647 * 16807 % 2147483647, event_id LIMIT 20")
+@query("SELECT event_id FROM events ORDER BY ('0x' || substr(md5('5|' || event_id::VARCHAR), 1, 15))::BIGINT, event_id LIMIT 20")
 def rollout_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded sample: the same rows on any cluster."""
     return metrics.random_sample(table(spark, sf_dir, "events").select("event_id"), 20, "event_id", seed=5)

@@ -36,11 +36,17 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(~F.col("value").rlike(r"^\s*$"))
 
 
-def strict_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Fails on a malformed line, also on one that goes on after its object; blank lines are skipped."""
+def strict_rows(lines: DataFrame, schema: str) -> DataFrame:
+    """The objects of ``lines`` (value, beside it what is kept); fails on a malformed one, also on one that goes on after its object."""
     malformed = F.raise_error(F.concat(F.lit("malformed JSON line: "), F.substring("value", 1, 200))).cast("boolean")
-    lines = _lines(spark, path).filter(F.when(json_object("value"), F.lit(True)).otherwise(malformed))
-    return lines.select(F.from_json("value", schema, _STRICT | {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    lines = lines.filter(F.when(json_object("value"), F.lit(True)).otherwise(malformed))
+    kept = [c for c in lines.columns if c != "value"]
+    return lines.select(*kept, F.from_json("value", schema, _STRICT | {"mode": "FAILFAST"}).alias("_r")).select(*kept, "_r.*")
+
+
+def strict_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Fails on a malformed line; blank lines are skipped."""
+    return strict_rows(_lines(spark, path), schema)
 
 
 def valid_json(lines: DataFrame, schema: str) -> DataFrame:
@@ -71,11 +77,17 @@ def history(column: str):
     return F.transform(labels, lambda k, i: F.struct(i.alias("leg_idx"), k.alias("label"), series(k).alias("series")))
 
 
+def result_rows(lines: DataFrame) -> DataFrame:
+    """Evaluation records of ``lines`` (value, beside it what is kept); has_error tells whether the error key is there, null or not."""
+    lines = lines.filter(json_object("value"))
+    kept = [c for c in lines.columns if c != "value"]
+    parsed = lines.select(*kept, F.from_json("value", RESULT, _STRICT).alias("_r"), F.json_object_keys("value").alias("_keys"))
+    return parsed.select(*kept, "_r.*", F.array_contains("_keys", "error").alias("has_error"))
+
+
 def results(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation records; has_error tells whether the error key is there, null or not."""
-    lines = spark.read.text(path).filter(json_object("value"))
-    parsed = lines.select(F.from_json("value", RESULT, _STRICT).alias("r"), F.json_object_keys("value").alias("keys"))
-    return parsed.select("r.*", F.array_contains("keys", "error").alias("has_error"))
+    """Evaluation records; malformed lines are dropped."""
+    return result_rows(spark.read.text(path))
 
 
 def completed(spark: SparkSession, path: str) -> DataFrame:
