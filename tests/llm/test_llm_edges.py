@@ -619,6 +619,21 @@ def test_quality_false_rejections_on_fresh_labels(spark):
         assert sum(not r.kept for r in good) <= 0.05 * len(good) and sum(not r.kept for r in bad) > 0.3 * len(bad)
 
 
+@pytest.mark.parametrize("kind", ["ones", "even", "one large", "random"])
+def test_cuts_do_not_depend_on_the_summary(spark, kind):
+    """Also where the capacity is the least there can be, which a few borders show as well as all do."""
+    draw = np.random.default_rng(12)
+    sizes = {"ones": np.ones(4000, np.int64), "even": np.tile([3, 5, 7, 9], 900), "one large": np.r_[9000, draw.integers(1, 9, 2000)], "random": np.sort(draw.integers(1, 300, 3000))[::-1]}[kind]
+    ends = np.cumsum(sizes)
+    frame = spark.createDataFrame([(int(e),) for e in ends], "end long").repartition(4)
+    total, largest = int(ends[-1]), int(sizes.max())
+    exact = sharding.smallest_capacity(ends, 8, max(largest, -(-total // 8)))
+    want = sharding.pack(ends, exact, 8).tolist()
+    for summary in (10, 64, 1000, 100_000):
+        capacity, cuts = sharding.minimax_cuts(frame, 8, largest, total, summary)
+        assert (capacity, cuts.tolist()) == (exact, want)
+
+
 def test_sharding_of_a_hot_group_and_nulls(spark):
     """A third of all rows are one text, some are null: groups stay whole and the greatest shard is as small as can be."""
     import hashlib

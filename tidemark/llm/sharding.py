@@ -17,7 +17,8 @@ The join of rows with their group's size is one of plain staged tables, in which
 splits a group that exceeds a partition. Null text is a group of its own with size 1 a
 row. Repeated rows are rows. Texts of any length are handled whole. The shards after the
 last group are empty; an empty table gives an empty result. ``text_rows`` ignores extra
-columns; ``assign`` keeps those that its rows have.
+columns; ``assign`` keeps those that its rows have, except that the names ``_weight``,
+``_group``, ``_row``, ``_sum``, ``_part``, ``_start``, ``_index``, ``shard`` and ``slot`` are its own.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def minimax_cuts(ends: DataFrame, shards: int, largest: int, total: int, summary
             some = some.groupBy(F.floor(F.col("end") / step)).agg(F.max("end").alias("end"))
         known = np.unique(np.array([r[0] for r in some.select("end").collect()] + [total], np.int64))
         capacity = smallest_capacity(known, shards, least)
-        if step == 1 or capacity == least:
+        if step == 1:  # all borders that a cut can have: a capacity that was found among some of them has other cuts
             return capacity, pack(known, capacity, shards)
         spans: list[list[int]] = []
         for a, b in _brackets(known, least, capacity, shards):
