@@ -15,8 +15,9 @@ with a smaller id.
    windows that it has sent, so a passage that a third of all documents hold costs a
    part some strings per mapper task.
 4. Each part drops strings it holds of a smaller id and sorts the other suffixes:
-   multikey quicksort on characters of 8 bytes, all partitions of one depth at once,
-   down to ``SHALLOW`` bytes; groups that still agree there are ordered by blind tries.
+   buckets of two bytes, in them multikey quicksort on characters of 8 bytes, all
+   partitions in step, down to ``SHALLOW`` bytes; groups that still agree there and
+   differ later are ordered by blind tries.
    Neighbours that agree in ``width`` bytes are equal windows; the smallest id keeps them.
 
 Null text is empty. A null id is larger than all others. Rows that share an id do not
@@ -38,6 +39,8 @@ from .textarrays import U, binary_buffers, chunks, equal_slices, gather, mix, po
 
 GRAM = 16
 SHALLOW = 40
+#: Partitions of so many strings are left to a simpler sort.
+FEW = 64
 #: Text bytes for each part: its windows take some tens of MB to sort.
 PART_BYTES = 4 << 20
 PIECE = 1 << 20
@@ -261,28 +264,78 @@ class BlindTrie:
                 waiting += [node[1][c] for c in sorted(node[1], reverse=True)]
 
 
+def _pivots(c: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The median of three of each partition's characters."""
+    a, b, d = c[first], c[first + size // 2], c[first + size - 1]
+    return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), d))
+
+
+def _sort_few(char, start, order, first, size, shallow: int) -> np.ndarray:
+    """Orders small partitions in place, as quicksort leaves them to a simpler sort; where new partitions begin."""
+    owner = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(owner)) + (first - (np.cumsum(size) - size))[owner]
+    keys = [char[start[order[at]] + d].astype(U) for d in range(0, shallow, 8)]
+    by = np.lexsort((*keys[::-1], owner))
+    order[at] = order[at[by]]
+    new = np.r_[True, owner[1:] != owner[:-1]]
+    for key in keys:
+        key = key[by]
+        new[1:] |= key[1:] != key[:-1]
+    return at[new]
+
+
 def sort_suffixes(data: np.ndarray, start: np.ndarray, width: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the strings ``data[s:s + width]``, and the number of each one's class of equals."""
+    """Order of the strings ``data[s:s + width]``, and the number of each one's class of equals.
+
+    Multikey quicksort: a partition is split by a pivot character (8 bytes) into the strings
+    below, at and above it; those at the pivot go on with the next character, the others
+    with the same one. All open partitions take their step at once. A partition that has come to the
+    shallow depth is ordered by a blind trie.
+    """
     data = np.r_[data, np.zeros(8, np.uint8)]
     char = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
     n = len(start)
-    order = np.arange(n)
-    group = np.zeros(n, np.int64)
-    single = np.zeros(n, bool) if n > 1 else np.ones(n, bool)
-    depth = 0
     shallow = min(shallow, width // 8 * 8)
-    while depth < shallow and not single.all():  # multikey quicksort, one character for all open partitions
-        open_ = np.flatnonzero(~single)
-        c = char[start[order[open_]] + depth].astype(U)
-        by = np.lexsort((c, group[open_]))
-        order[open_] = order[open_][by]
-        c = c[by]
-        cut = np.r_[True, (c[1:] != c[:-1]) | (group[open_][1:] != group[open_][:-1])]
-        head = np.ones(n, bool)
-        head[open_] = cut
-        group = np.cumsum(head) - 1
-        single = head & np.r_[head[1:], True]
-        depth += 8
+    # Buckets of the first two bytes, by a radix sort; then quicksort within them.
+    pair = (char[start] >> U(48)).astype(np.uint16)
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    cut = np.r_[True, pair[1:] != pair[:-1]] if n else np.zeros(0, bool)  # where a partition begins
+    first = np.flatnonzero(cut)
+    size, depth = np.diff(np.r_[first, n]), np.zeros(len(first), np.int64)
+    while True:
+        open_ = (size > 1) & (depth < shallow)
+        first, size, depth = first[open_], size[open_], depth[open_]
+        if not len(first):
+            break
+        few = size <= FEW
+        if few.any():
+            cut[_sort_few(char, start, order, first[few], size[few], shallow)] = True
+            first, size, depth = first[~few], size[~few], depth[~few]
+            if not len(first):
+                break
+        begin = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(owner)) + (first - begin)[owner]  # places of the open partitions, end to end
+        c = char[start[order[at]] + depth[owner]].astype(U)
+        pivot = _pivots(c, begin, size)[owner]
+        side = (c >= pivot).astype(np.int8) + (c > pivot)
+        held = np.bincount(owner * 3 + side, minlength=3 * len(size))
+        begins = np.repeat(first - begin, 3) + np.cumsum(held) - held
+        to = np.empty(len(owner), np.int64)
+        for k in range(3):
+            those = np.flatnonzero(side == k)
+            of = owner[those]
+            n_of = held[k::3]
+            to[those] = begins[k::3][of] + np.arange(len(those)) - (np.cumsum(n_of) - n_of)[of]
+        order[to] = order[at]
+        depths = np.repeat(depth, 3) + 8 * (np.arange(3 * len(size)) % 3 == 1)
+        some = held > 0
+        first, size, depth = begins[some], held[some], depths[some]
+        cut[first] = True
+    group = np.cumsum(cut) - 1
+    depth = shallow
+    single = cut & np.r_[cut[1:], True] if n else cut
     open_ = np.flatnonzero(~single)
     if len(open_) and depth < width:  # blind tries for what still agrees
         head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -391,6 +444,34 @@ def _remove(batches):
             )
 
 
+#: Colliding names that are made anew one by one; were there more, all would be.
+CLASHES = 1000
+
+
+def _text_name(text, seed: int):
+    return F.xxhash64(text, F.lit(seed))
+
+
+def _named_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs`` with th, a 64-bit name of its text that no other text has; staged (rid, ident, th, digest); staged (digest, first: smallest ident).
+
+    Names of different texts (by MD5) that collide are replaced until none does.
+    """
+    whole = F.coalesce("text", F.lit(""))
+    name, seed = _text_name(whole, 0), 0
+    while True:
+        named = docs.withColumn("th", name)
+        names = stage(named.select("rid", "ident", "th", F.md5(whole).alias("digest")))
+        firsts = stage(names.groupBy("digest").agg(F.min("ident").alias("first"), F.first("th").alias("th")))  # staged: a join of plain scans can split a hot digest
+        clashes = [r.th for r in firsts.groupBy("th").count().filter("count > 1").limit(CLASHES + 1).select("th").collect()]
+        if not clashes:
+            return named, names, firsts.drop("th")
+        release(names, firsts)
+        seed += 1
+        other = _text_name(whole, seed)
+        name = other if len(clashes) > CLASHES else F.when(name.isin(clashes), other).otherwise(name)
+
+
 RESULT = "n_bytes long, n_removed long, removed array<struct<start: long, end: long>>, kept binary"
 
 
@@ -400,12 +481,8 @@ def remove_later(docs: DataFrame, width: int = 50, id_column: str = "doc_id", te
         raise ValueError(f"a window has {GRAM + 8} bytes at least")
     kind = docs.schema[id_column].dataType.simpleString()
     docs = with_rid(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
-    whole = F.coalesce("text", F.lit(""))
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    docs = docs.withColumns({"ident": ident, "th": F.xxhash64(whole)})
+    docs, names, firsts = _named_texts(docs.withColumn("ident", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))))
     parts = parts_for(docs, part_bytes=PART_BYTES)
-    names = stage(docs.select("rid", "ident", "th", F.md5(whole).alias("digest")))
-    firsts = stage(names.groupBy("digest").agg(F.min("ident").alias("first")))  # staged: a join of plain scans can split a hot digest
     named = docs.select("th", "text").mapInArrow(_name_minimizers(width, parts), PACKED_DDL)
     shared, hot = shared_keys(named, np.uint32, parts, distinct=True)
     later = names.join(firsts, "digest").select("rid", "th", (F.col("ident") > F.col("first")).alias("later"))
