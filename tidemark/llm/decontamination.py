@@ -5,10 +5,10 @@ match: those that begin with as many benchmark words as the shortest window with
 same first word asks for. Every test suffix is binary-searched in every shard; a hit
 is extended to the longest verbatim match, whose place and length are returned.
 
-The benchmark is read in blocks of about ``BLOCK_BYTES`` of text (a longer item is a
-block of its own), each shipped with one narrow pass over the documents, which is
-staged. So the driver and a task hold one block at a time, whatever the size of
-the benchmark.
+The benchmark is read in blocks of ``BLOCK_BYTES`` of text at most (a longer item is a
+block of its own), each shipped with one pass over the documents' ids and texts, of which
+only the rows with matches are staged: no block copies the texts. The driver and a
+task hold one block at a time, whatever the size of the benchmark.
 
 Words: A-Z lower-cased, runs of bytes outside 00-2F, 3A-60, 7B-7F. Words are numbered by
 fingerprint and then compared byte for byte, so different words never match. A null text
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -172,7 +173,9 @@ def search(number: np.ndarray, row: np.ndarray, tests: TestSuffixes):
 MATCHES = "array<struct<start: long, length: long, item: string>>"
 
 
-def _search_block(block: Block, carried: bool, passes_on: bool):
+def _search_block(block: Block, hits_only: bool):
+    """Adds n_words and matches, without the text. hits_only: (rid, matches) of the rows that have some."""
+
     def run(batches):
         tests = block.tests()
         items = pa.array(tests.ids, pa.string())
@@ -189,38 +192,56 @@ def _search_block(block: Block, carried: bool, passes_on: bool):
                 found = pa.StructArray.from_arrays([pa.array(at, pa.int64()), pa.array(length, pa.int64()), items.take(pa.array(item, pa.int64()))], ["start", "length", "item"])
                 part = batch.slice(chunk.lo, chunk.rows)
                 lists = pa.ListArray.from_arrays(pa.array(border), found)
-                if carried:
-                    lists = pa.array([(a or []) + b for a, b in zip(part.column("matches").to_pylist(), lists.to_pylist(), strict=True)], lists.type)
+                if hits_only:
+                    some = pa.array(np.diff(border) > 0)
+                    yield pa.RecordBatch.from_arrays([part.column("rid").filter(some), lists.filter(some)], names=["rid", "matches"])
+                    continue
                 counts = pa.array(np.bincount(row, minlength=chunk.rows), pa.int64())
-                names = [c for c in part.schema.names if c not in ("matches", "n_words") and (passes_on or c != "text")]
+                names = [c for c in part.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), counts, lists], names=[*names, "n_words", "matches"])
 
     return run
 
 
 def _blocks(benchmark: DataFrame, width: int, block_bytes: int):
-    """The blocks one after the other, with whether more follow."""
+    """The blocks one after the other: items in order of a hash, cut before one that would exceed ``block_bytes``."""
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 64), F.lit(0))).first()[0]
-    number = 1 + total // block_bytes
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(number))
-    for k in range(number):
-        rows = sorted(benchmark.filter(part == k).collect(), key=lambda r: (r.item, r.text or ""))
-        yield Block(uuid.uuid4().hex, [r.text for r in rows], [r.item for r in rows], width), k + 1 < number
+    keys = [F.xxhash64("item", "text"), "item", "text"]
+    # A partition has about a block, and comes to the driver when its turn is there.
+    rows = benchmark.repartitionByRange(int(1 + total // block_bytes), *keys).sortWithinPartitions(*keys)
+    texts, ids, held = [], [], 0
+    made = lambda: Block(uuid.uuid4().hex, texts, ids, width)
+    for r in rows.toLocalIterator():
+        size = len((r.text or "").encode()) + 64
+        if ids and held + size > block_bytes:
+            yield made()
+            texts, ids, held = [], [], 0
+        texts.append(r.text)
+        ids.append(r.item)
+        held += size
+    yield made()
 
 
 def _search_all(docs: DataFrame, benchmark: DataFrame, width: int, item_column: str, item_text: str, block_bytes: int) -> DataFrame:
-    """``docs`` (text and others) with n_words and matches, without text; staged."""
+    """``docs`` (rid, text and others) with n_words and matches, without text; staged."""
     items = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
-    first = None
-    for block, more in _blocks(items, width, block_bytes):
-        kept = [f for f in docs.schema.fields if f.name not in ("matches", "n_words") and (more or f.name != "text")]
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_words long", f"matches {MATCHES}"])
-        found = stage(docs.mapInArrow(_search_block(block, first is not None, more), schema))
-        if first is not None:
-            release(docs)
-        first = first or found
-        docs = found
-    return docs
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_words long", f"matches {MATCHES}"])
+    first, more = None, []
+    for block in _blocks(items, width, block_bytes):
+        if first is None:
+            first = stage(docs.mapInArrow(_search_block(block, False), schema))
+        else:
+            more.append(stage(docs.select("rid", "text").mapInArrow(_search_block(block, True), f"rid long, matches {MATCHES}")))
+    if not more:
+        return first
+    # Rows of one name have one text: what each block found for them is the same.
+    each = [m.groupBy("rid").agg(F.first("matches").alias("matches")) for m in more]
+    found = reduce(DataFrame.unionAll, each).groupBy("rid").agg(F.flatten(F.collect_list("matches")).alias("_more"))
+    joined = first.join(found, "rid", "left").withColumn("matches", F.concat("matches", F.coalesce("_more", F.array().cast(MATCHES))))
+    out = stage(joined.select(*first.columns))
+    release(first, *more)
+    return out
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -229,7 +250,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_colu
     matches are longest verbatim matches that hold a window of ``width`` words (or a
     whole shorter item); n_hit counts the words inside them.
     """
-    found = _search_all(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), benchmark, width, item_column, item_text, block_bytes)
+    named = with_rid(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
+    found = _search_all(named, benchmark, width, item_column, item_text, block_bytes).drop("rid")
     return found.withColumns({"n_hit": _hit_words("matches"), "items": F.array_sort(F.array_distinct("matches.item"))})
 
 
