@@ -10,11 +10,14 @@ dealt to blocks, and each block gets the counts of the words that its names cont
 all stretches of up to ``LONGEST_WORD`` letters, the bound that the DNS sets to a label,
 and each whole run, however long. Nothing is left out for being rare.
 
-The classifier is fitted on labelled hosts: ``EXAMPLES``, whole names that were labelled
-by kind, and a table of labelled urls if the caller has one, of which up to ``sample``
-rows of least hash are taken. A word weighs as the labels of the hosts that hold it say, for or against;
-``PRIOR`` is the share of hosts expected to be unwanted. The rules are no labels: they
-go by domain and folder, which says nothing on a name. Scoring covers every row.
+The classifier is fitted on labelled examples: ``EXAMPLES`` and ``PATH_EXAMPLES``, names of
+hosts and of folders that were labelled by kind, and a table of labelled urls if the
+caller has one, of which up to ``sample`` rows of least hash are taken; :func:`evidence`
+makes such a table from pages' own html. A word weighs as the labels of the names that
+hold it say, for or against, in a host and in a path apart; a name means in a path what it
+means in a host, so each example counts in both places. ``PRIOR`` is the share of urls
+expected to be unwanted. The rules are no labels: they go by domain and folder, which says
+nothing on a name. Scoring covers every row.
 
 A null url, or one without ``://``, has an empty host and path; an empty host is allowed
 unless a rule says otherwise. Repeated rows are judged alike. Urls of any length are
@@ -57,6 +60,21 @@ EXAMPLES = {
         bread-recipes bike-shop car-parts film-review book-review open-source download-manual linux-forum garden-forum
         history-archive photo-album hotel-guide city-guide language-guide match-day chess-club swim-team hiking-tips""",
 }
+#: Example folders and pages with their labels.
+PATH_EXAMPLES = {
+    "block": """
+        free-spins/casino-bonus slots/jackpot casino/sign-up-bonus poker/free-chips betting/live-odds bets/today roulette/play bingo/win
+        adult/cams porn/videos xxx/gallery escorts/city nude/photos sex/chat-live viagra/order pills/no-prescription pharma/cheap-meds
+        ads/click click/redirect track/pixel tracker/click-id popup/ads out/affiliate-link affiliate/redirect spam/send-bulk
+        warez/crack torrent/download-free keygen/serial crack/full-version payday/cash-now loans/instant-approval malware/setup-exe
+        get-rich/quick-money win-prize/claim-now claim/free-gift lucky-winner/claim""",
+    "allow": """
+        news/politics news/sport news/local articles/science archive/history blog/travel blog/recipes docs/manual docs/install
+        help/contact about/team products/garden shop/books shop/bikes library/catalogue museum/exhibitions school/timetable
+        university/research courses/language health/advice weather/forecast maps/city jobs/search forum/linux wiki/physics
+        reviews/films music/concerts sport/results football/fixtures events/calendar recipes/bread press/releases
+        gallery/paintings download/report track/parcel-status tickets/train account/settings""",
+}
 PRIOR, SMOOTHING = 0.1, 0.1
 #: Frequent parts of names beside the table's own tokens.
 COMMON_WORDS = "best blog buy cheap fast free go home mail my news now online shop store the top web win www your".split()
@@ -64,13 +82,17 @@ LETTERS = re.compile(r"[a-z]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LONGEST_WORD = 63
 SAMPLE = 20_000
+#: Words of the table that go to the tasks as a list (some MB): so few, and stretches that are no words stay where they are.
+LISTED_WORDS = 200_000
 #: Urls of a block, on average; words that a mapper holds before it sends them on.
 BLOCK_ROWS, SEND_WORDS = 10_000, 200_000
 
 
 def examples() -> list[tuple[list[str], bool]]:
-    """Tokens and label (true: block) of each example host."""
-    return [(["h:" + w for w in host.split("-")], label == "block") for label, hosts in EXAMPLES.items() for host in hosts.split()]
+    """Tokens and label (true: block) of each example host, then of the same names and of the example paths as paths."""
+    words = lambda name: name.replace("/", "-").split("-")
+    named = lambda table, place: [([place + w for w in words(name)], label == "block") for label, names in table.items() for name in names.split()]
+    return named(EXAMPLES, "h:") + named(EXAMPLES, "p:") + named(PATH_EXAMPLES, "p:")
 
 
 def host_of(url: str | Column) -> Column:
@@ -190,21 +212,32 @@ def count_words(urls: DataFrame) -> tuple[DataFrame, int]:
     return unigrams, unigrams.agg(F.sum("count")).first()[0]
 
 
-def _substrings(batches):
-    """(block, word): each (block, name) and all its stretches of up to LONGEST_WORD letters, most repeats left out."""
+def _substrings(listed: frozenset[str] | None):
+    """(block, word): each (block, name) and all its stretches of up to LONGEST_WORD letters, most repeats left out; only ``listed`` ones, if there is a list."""
     names = ["block", "word"]
     send = lambda found: pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([w for _, w in found], pa.string())], names=names)
-    found = set()
-    for batch in batches:
-        for block, name in zip(batch.column("block").to_pylist(), batch.column("name").to_pylist(), strict=True):
-            found.add((block, name))
-            for start in range(len(name)):
-                found.update((block, name[start:end]) for end in range(start + 1, min(start + LONGEST_WORD, len(name)) + 1))
-                if len(found) >= SEND_WORDS:
-                    yield send(found)
-                    found = set()
-    if found:
-        yield send(found)
+
+    def run(batches):
+        found = set()
+        for batch in batches:
+            for block, name in zip(batch.column("block").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                found.add((block, name))
+                for start in range(len(name)):
+                    some = (name[start:end] for end in range(start + 1, min(start + LONGEST_WORD, len(name)) + 1))
+                    found.update((block, w) for w in some if listed is None or w in listed)
+                    if len(found) >= SEND_WORDS:
+                        yield send(found)
+                        found = set()
+        if found:
+            yield send(found)
+
+    return run
+
+
+def _listed(unigrams: DataFrame) -> frozenset[str] | None:
+    """All words, if they are few and not long; None if they are not."""
+    n, size = unigrams.agg(F.count("*"), F.sum(F.octet_length("word"))).first()
+    return frozenset(r.word for r in unigrams.select("word").collect()) if n <= LISTED_WORDS and (size or 0) <= 16 * LISTED_WORDS else None
 
 
 def _by_block(urls: DataFrame, unigrams: DataFrame, judge, schema: str) -> DataFrame:
@@ -213,7 +246,7 @@ def _by_block(urls: DataFrame, unigrams: DataFrame, judge, schema: str) -> DataF
     urls = urls.withColumn("block", F.pmod(F.xxhash64(*urls.columns), F.lit(blocks)).cast("long"))
     runs = lambda c: F.regexp_extract_all(c, F.lit("[a-z]+"), 0)
     names = urls.select("block", F.explode(F.array_distinct(F.concat(runs("host"), runs(F.lower("path"))))).alias("name")).distinct()
-    asked = names.mapInArrow(_substrings, "block long, word string").distinct()
+    asked = names.mapInArrow(_substrings(_listed(unigrams)), "block long, word string").distinct()
     words = asked.join(unigrams, "word").select("block", "word", "count")
     return urls.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(judge, schema)
 
@@ -244,6 +277,27 @@ def fit(pages: DataFrame, url_column: str = "url", labelled: DataFrame | None =
     return UrlModel(unigrams, total, NaiveBayes(known))
 
 
+def evidence(pages: DataFrame, url_column: str = "url", html_column: str = "html", least_words: int = 10, most_repeated: float = 0.2) -> DataFrame:
+    """(url, blocked) from the pages' own text: blocked are those of few words, or whose sentences repeat.
+
+    What a page shows is its html without scripts, styles and tags; a page without html says nothing.
+    """
+    shown = F.regexp_replace(F.col(html_column), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    shown = F.regexp_replace(shown, r"(?s)<[^>]*>", " ")
+    sentences = F.transform(F.filter(F.split(shown, r"[.!?\n]+"), lambda s: s.rlike(r"\S")), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
+    rows = pages.filter(F.col(html_column).isNotNull()).select(F.col(url_column).alias("url"), F.size(F.regexp_extract_all(shown, F.lit(r"\S+"), F.lit(0))).alias("n"), sentences.alias("s"))
+    repeated = (F.size("s") - F.size(F.array_distinct("s"))) > most_repeated * F.size("s")
+    return rows.select("url", ((F.col("n") < least_words) | repeated).alias("blocked"))
+
+
+def held_out(labelled: DataFrame, tenth: int = 0, sample: int = SAMPLE) -> DataFrame:
+    """(blocked, verdict, n): verdicts on a tenth of ``labelled`` (url, blocked), by a hash of the host, of a model fitted on the others."""
+    part = F.pmod(F.xxhash64(host_of("url")), F.lit(10))
+    model = fit(labelled, labelled=labelled.filter(part != tenth), sample=sample)
+    rest = labelled.filter(part == tenth).select(F.col("blocked").cast("int").alias("page_id"), "url")
+    return judge(rest, [], model).groupBy((F.col("page_id") == 1).alias("blocked"), "verdict").agg(F.count("*").alias("n"))
+
+
 def _judge(bayes: NaiveBayes, total: int, rules: Rules):
     def run(rows: pa.Table, words: pa.Table) -> pa.Table:
         segmenter = _segmenter(words, total)
