@@ -54,3 +54,20 @@ def test_the_session_keeps_its_setting(spark):
     with state.keyed_state(spark):
         assert "RocksDB" in spark.conf.get(name)
     assert spark.conf.get(name) == before
+
+
+def test_bins_tell_their_best_day_once(spark, tmp_path):
+    kind = "event_id long, day string, t long, n long, k long, bin long, weight double"
+    weights = [0.1, 0.9, 0.9, 0.2, 0.5, 0.5, 0.3]  # 7 days in 3 bins: [0, 2), [2, 4), [4, 7)
+    rows = [(1, f"d{t}", t, 7, 3, ((t + 1) * 3 - 1) // 7, w) for t, w in enumerate(weights)] + [(2, f"d{t}", t, 2, 3, t, 0.0) for t in range(2)]
+
+    def run():
+        days = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        state.dates_by_bin(days, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+        return sorted((r.event_id, r.bin, r.day) for r in spark.read.schema("event_id long, bin long, day string, weight double").parquet(f"{tmp_path}/out").collect())
+
+    _arrive(spark, [rows[6], rows[1], rows[0], rows[0], rows[7]], kind, f"{tmp_path}/in")
+    assert run() == [(1, 0, "d1"), (2, 0, "d0")]
+    _arrive(spark, [rows[4], rows[0], rows[3], rows[6]], kind, f"{tmp_path}/in")
+    _arrive(spark, [rows[5], rows[2], rows[8]], kind, f"{tmp_path}/in")
+    assert run() == [(1, 0, "d1"), (1, 1, "d2"), (1, 2, "d5"), (2, 0, "d0"), (2, 1, "d1")]

@@ -97,8 +97,8 @@ def bin_of(t: Column, n: Column, k: Column) -> Column:
     return F.floor(((t + 1) * k - 1) / n).cast("long")
 
 
-def select_dates(rows: DataFrame, k: int | None = None, alpha: float = ALPHA, ramp: float = RAMP, buffer_days: int = BUFFER_DAYS, k_min: int = 3, k_max: int = 10, c: float = 1.0) -> DataFrame:
-    """The day of greatest weight in each of K equal bins, later days first on a tie.
+def weigh_dates(rows: DataFrame, k: int | None = None, alpha: float = ALPHA, ramp: float = RAMP, buffer_days: int = BUFFER_DAYS, k_min: int = 3, k_max: int = 10, c: float = 1.0) -> DataFrame:
+    """The eligible days of each event, numbered t of n, with the weight of each and its bin of k equal ones.
 
     ``rows``: event_id, pos, day, delta, news (null: 0), resolution (date or null).
     Weights are rounded to 9 digits before they are compared.
@@ -109,6 +109,11 @@ def select_dates(rows: DataFrame, k: int | None = None, alpha: float = ALPHA, ra
     pool = trim_for_leakage(signals, buffer_days).withColumns({"n": F.count("*").over(_event()), "t": F.row_number().over(_days()) - 1})
     pool = pool.withColumn("k", F.lit(k) if k is not None else auto_k(F.col("n"), k_min, k_max, c))
     weight = F.lit(alpha) * F.col("belief") + F.lit(1.0 - alpha) * F.col("volume") + F.lit(ramp) * (F.col("t") / F.greatest(F.col("n") - 1, F.lit(1)))
-    pool = pool.withColumns({"weight": F.round(weight, WEIGHT_DIGITS), "bin": F.when(F.col("n") <= F.col("k"), F.col("t").cast("long")).otherwise(bin_of(F.col("t"), F.col("n"), F.col("k")))})
+    return pool.withColumns({"weight": F.round(weight, WEIGHT_DIGITS), "bin": F.when(F.col("n") <= F.col("k"), F.col("t").cast("long")).otherwise(bin_of(F.col("t"), F.col("n"), F.col("k")))})
+
+
+def select_dates(rows: DataFrame, **settings) -> DataFrame:
+    """The day of greatest weight in each bin of :func:`weigh_dates` (whose settings these are), later days first on a tie."""
+    pool = weigh_dates(rows, **settings)
     best = F.max_by(F.struct("pos", "day", "weight"), F.struct("weight", "t"))
     return pool.groupBy("event_id", "bin").agg(best.alias("b")).select("event_id", "bin", "b.pos", "b.day", "b.weight")

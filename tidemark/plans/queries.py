@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, scores, text
 from ..operators import advantage, curation, dates, episodes, evaluation, metrics, rendering, retrieval, sampling, taxonomy, traces, vector_index, volume, window_join
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, staged
+from ..streaming import state
 from . import branches as branches  # registers its queries
 from . import placed as placed
 from . import records as records
@@ -59,6 +60,18 @@ def select_forecast_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dates.select_dates(_signals(spark, sf_dir))
 
 
+@query(f"{_SELECT} SELECT event_id, CAST(bin AS BIGINT) AS bin, day, weight FROM picked")
+def stream_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that arrive as a stream in two goes and out of order: each bin of the horizon tells its best day once it is complete."""
+    folder = scratch(spark)
+    pool = staged(dates.weigh_dates(_signals(spark, sf_dir)).select("event_id", "day", "t", "n", "k", "bin", "weight"))
+    for part in (0, 1):
+        pool.filter(F.pmod(F.xxhash64("event_id", "day"), F.lit(2)) == part).coalesce(2).write.mode("append").parquet(f"{folder}/in")
+        days = spark.readStream.schema(pool.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+        state.dates_by_bin(days, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "bin", "day", "weight")
+
+
 @query(f"{_DELTA} SELECT event_id, CAST(pos AS INTEGER) AS pos, day, round(delta, 8) AS delta FROM delta")
 def belief_delta_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dates.belief_delta_binary(v.daily_belief(spark, sf_dir)).select("event_id", "pos", "day", F.round("delta", 8).alias("delta"))
@@ -477,13 +490,13 @@ def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(vector_index.search(spark, path, _query_vectors(spark, sf_dir, False), k=5)[0])
 
 
-@query(f"""{_SEARCH}, pool AS (SELECT * FROM s WHERE published_date BETWEEN start AND cutoff QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) <= 20),
-  b AS (SELECT query_id, article_id, round(0.7 * score + 0.3 * (1.0 - least(greatest(date_diff('day', published_date::DATE, cutoff::DATE), 0) / 180.0, 1.0)), 9) AS score FROM pool) {_TOP.format(rows='b', k=5, digits=8)}""")
+@query(f"""{_SEARCH.replace(", 6) AS score FROM q", ", 9) AS score FROM q")}, pool AS (SELECT * FROM s WHERE published_date BETWEEN start AND cutoff QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) <= 20),
+  b AS (SELECT query_id, article_id, round(0.7 * score + 0.3 * (1.0 - least(greatest(date_diff('day', published_date::DATE, cutoff::DATE), 0) / 180.0, 1.0)), 9) AS score FROM pool) {_TOP.format(rows='b', k=5, digits=6)}""")
 def vector_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles, asked = v.articles(spark, sf_dir), _query_vectors(spark, sf_dir, True)
-    pool = retrieval.search(articles, asked, k=20).drop("rank").withColumn("score", F.round("score", 6))
+    pool = retrieval.search(articles, asked, k=20).drop("rank")
     dated = pool.join(articles.select("article_id", "published_date"), "article_id").join(asked.select("query_id", "cutoff"), "query_id")
-    return _hits(retrieval.rerank(dated, 5, 0.7, 180.0), 8)  # blends of 6-digit scores tie at the seventh digit
+    return _hits(retrieval.rerank(dated, 5, 0.7, 180.0))
 
 
 @query(f"WITH {v.ARTICLES} SELECT shard, count(*) AS n FROM articles WHERE shard BETWEEN '2024-01' AND '2024-02' GROUP BY 1")

@@ -8,6 +8,7 @@ file sink's log and the checkpoint belong to one batch). Restart with the same f
 from __future__ import annotations
 
 import contextlib
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -69,6 +70,48 @@ def carried_notebook(steps: DataFrame, path: str, checkpoint: str) -> StreamingQ
         return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class _Bins(StatefulProcessor):
+    """Per event and bin: the best day so far and the places that have come."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.bins = handle.getMapState("bins", "bin long", "weight double, t long, day string, seen array<long>")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        out = []
+        for batch in rows:
+            for r in batch.itertuples():
+                number = min(r.k, r.n)  # bin i holds the places from n i // k to n (i + 1) // k
+                at, size = int(r.bin), r.n * (r.bin + 1) // number - r.n * r.bin // number
+                best, t, day, seen = self.bins.getValue((at,)) if self.bins.containsKey((at,)) else (-math.inf, -1, None, [])
+                if r.t in seen or day == "":  # told before
+                    continue
+                seen = [*seen, int(r.t)]
+                if (r.weight, r.t) > (best, t):
+                    best, t, day = float(r.weight), int(r.t), r.day
+                if len(seen) == size:
+                    out.append((key[0], at, day, best))
+                    day, seen = "", []
+                self.bins.updateValue((at,), (best, t, day, seen))
+        yield pd.DataFrame(out, columns=["event_id", "bin", "day", "weight"]).astype({"bin": "int64", "weight": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def dates_by_bin(days: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The day of greatest weight in each equal bin of an event's horizon, as Parquet, told as soon as the bin is complete.
+
+    ``days``: event_id, day, t (place from 0 on), n (places of the event), k, bin, weight, as
+    ``dates.weigh_dates`` gives them, in whatever order they arrive; later days win ties. The
+    state holds the places of a bin until it is complete.
+    """
+    kind = days.schema["event_id"].dataType.simpleString()
+    rows = days.select("event_id", "day", *[F.col(c).cast("long") for c in ("t", "n", "k", "bin")], F.col("weight").cast("double"))
+    with keyed_state(days.sparkSession):
+        out = rows.groupBy("event_id").transformWithStateInPandas(_Bins(), f"event_id {kind}, bin long, day string, weight double", "Append", "None")
+        return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def evaluation_log(units: DataFrame, done: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """The records that ``work`` makes of units (event_id, rollout_idx, ...) as they arrive, appended to a log of JSON lines.
 
