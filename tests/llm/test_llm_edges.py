@@ -54,6 +54,14 @@ def test_recompression(docs, none):
     assert recompression.remove_repeats(none).count() == 0
 
 
+def rounds_of(word, row):
+    """Symbols after all rounds, in one process: new ones keep their fingerprints as names."""
+    b = recompression.Borders(word, row)
+    for k in range(recompression.ROUNDS):
+        b.round(k)
+    return b
+
+
 @pytest.mark.parametrize("n_symbols", [2, 3, 40])
 def test_recompression_anchors_are_consistent(n_symbols):
     """Equal windows have the same anchor at the same place, or both have none."""
@@ -62,7 +70,7 @@ def test_recompression_anchors_are_consistent(n_symbols):
     word[2000:2400] = word[100:500]
     row = np.repeat([0, 1, 2], 1000)
     first = recompression._starts(row, 35)
-    key, place, anchor = recompression.anchors(word, row, first, 35)
+    key, place, anchor = recompression.anchors(word, rounds_of(word, row), first, 35)
     found: dict = {}
     for p, a in zip(first, anchor, strict=True):
         mine = None if a < 0 else (int(key[a]), int(place[a] - p))
@@ -80,7 +88,7 @@ def test_recompression_anchors_before_periodic_tails():
             docs.append(np.r_[head, np.resize(tail, length), name[draw.integers(0, 4000, 20)]])
     word, row = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     first = recompression._starts(row, 35)
-    key, place, anchor = recompression.anchors(word, row, first, 35)
+    key, place, anchor = recompression.anchors(word, rounds_of(word, row), first, 35)
     found: dict = {}
     for p, a in zip(first, anchor, strict=True):
         mine = None if a < 0 else (int(key[a]), int(place[a] - p))
@@ -479,7 +487,8 @@ def test_a_passage_in_every_document(spark):
     for limit in (exchange.HOT_LIST, 0):
         kept, exchange.HOT_LIST = exchange.HOT_LIST, limit
         try:
-            named = df.withColumn("rid", F.col("doc_id")).mapInArrow(recompression._name_anchors(35, 4), exchange.PACKED_DDL)
+            by_rid = df.select(F.col("doc_id").cast("long").alias("rid"), "text")
+            named = by_rid.join(recompression.compressed(by_rid, 35, 4), "rid").mapInArrow(recompression._name_anchors(35, 4), exchange.PACKED_DDL)
             hot = exchange.shared_keys(named, np.uint32, 4)[1]
             assert hot is None if not limit else len(hot) > 0
             got = {r.doc_id: r.n_removed for r in recompression.remove_repeats(df).collect()}

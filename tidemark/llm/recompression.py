@@ -1,23 +1,27 @@
 """Substring deduplication on words by recompression.
 
-Every document is a sequence of word names. Rounds rename it: a run of one symbol
-becomes one symbol, then pairs whose left symbol falls in one half of all names
-and whose right symbol in the other become one symbol. A name is a 64-bit
-fingerprint of what it stands for, so it is the same in every task: naming is global
-without a table of names, and all rounds run inside one Spark stage.
+Every document is a sequence of words. Rounds rename it: a run of one symbol becomes one
+symbol, then pairs whose left symbol falls in one half of all names and whose right symbol
+in the other become one symbol. Each round is a Spark round (:func:`name_round`): the new
+runs and pairs of all documents meet in parts, get numbers there, and the numbers are joined
+back, so equal symbols have one name everywhere, and the part knows which occur more than once.
 
 Equal substrings get equal interior symbols. How far "interior" reaches is tracked
-exactly: each border between two symbols carries the stretch of words that decided
-it. A border whose stretch lies inside a window is found again wherever the window's
-words occur. Of these, each window takes the one of least fingerprint as its anchor.
-
-1. Anchors' fingerprints meet in a shuffle of packed keys; those seen once end there.
-2. Windows whose anchor is shared are candidates. The few windows without an anchor
+exactly: each border between two symbols carries the stretch of words that decided it. A
+symbol or border whose stretch lies inside a window is found again wherever the window's words
+occur. So a window that repeats has only shared symbols inside; each other window is out.
+
+1. Documents travel through the rounds in bundles of ``BUNDLE_BYTES`` of text (one row
+   each: the symbols' names, lengths and stretches), so a symbol that all documents have is
+   asked for once a bundle.
+2. Of the borders decided inside a window that is left, the one of least fingerprint is its
+   anchor. Anchors' fingerprints meet in a shuffle of packed keys; those seen once end there.
+3. Windows whose anchor is shared are candidates. The few windows without an anchor
    (long periodic stretches) are candidates too. Candidates are dealt by anchor, those
    of hot anchors by all their words, so that a passage of very many documents spreads
    over parts, and compared by a fingerprint of all their words (64 bits, within a part
    of constant size): this verifies.
-3. Words under a window that was met twice are removed.
+4. Words under a window that was met twice are removed.
 
 A row is a document. A null text has no words; a null id is kept as null. Rows that
 repeat another row count as another place, so each of them loses its windows. Texts of
@@ -27,6 +31,7 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,28 +39,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import ANSWER, PACKED_DDL, QUESTION, WITNESS, Remembered, by_document, is_hot, membership, pack, part_of, parts_for, shared_keys, to_documents
+from .exchange import ANSWER, PACKED_DDL, QUESTION, WITNESS, Remembered, by_document, identity, is_hot, membership, pack, part_of, parts_for, shared_keys, to_documents
 from .storage import release, stage, with_rid
-from .textarrays import WORD_SEPARATOR, U, chunks, mix, portions, ragged, rolling, slice_binary, span_lists, spans_of, then_give_back
+from .textarrays import WORD_SEPARATOR, U, chunks, give_back, mix, portions, ragged, rolling, slice_binary, span_lists, spans_of, then_give_back
 
 ROUNDS = 3
+#: Text bytes whose symbols travel together.
+BUNDLE_BYTES = 2 << 20
 WORD_SEED, WINDOW_SEED, CONTEXT_SEED = 11, 12, 13
 ODD, ODDER = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
 class Borders:
-    """Symbol borders of a sequence: places, the stretch [lo, hi) that decided each, names."""
-
-    def __init__(self, word: np.ndarray, row: np.ndarray):
-        n = len(word)
-        self.at = np.arange(n)
-        self.name = word
-        self.head = np.r_[True, row[1:] != row[:-1]]
-        self.tail = np.r_[self.head[1:], True]
-        self.lo, self.hi = self.at.copy(), self.at.copy()
-        self.begin, self.end_decided = self.at[self.head], 0
-
-    def _keep(self, keep: np.ndarray, name: np.ndarray) -> None:
+    """Symbol borders of sequences: places, the stretch [lo, hi) that decided each, names; which symbols are new, which occur more than once."""
+
+    def __init__(self, name: np.ndarray, row: np.ndarray, length: np.ndarray | None = None, lo: np.ndarray | None = None, hi: np.ndarray | None = None, shared: np.ndarray | None = None):
+        n = len(name)
+        self.at = np.arange(n) if length is None else np.cumsum(length) - length
+        self.words = n if length is None else int(length.sum())
+        self.name, self.row = name, row
+        self.head = np.r_[True, row[1:] != row[:-1]] if n else np.zeros(0, bool)
+        self.tail = np.r_[self.head[1:], True] if n else self.head
+        self.lo = self.at.copy() if lo is None else self.at - lo
+        self.hi = self.at.copy() if hi is None else self.at + hi
+        self.end_decided = int(length is not None)
+        self.fresh, self.shared = np.zeros(n, bool), np.ones(n, bool) if shared is None else shared
+
+    def lengths(self) -> np.ndarray:
+        return np.diff(np.r_[self.at, self.words])
+
+    def _keep(self, keep: np.ndarray, name: np.ndarray, fresh: np.ndarray) -> None:
         """Drop borders. What is left now depends on its neighbours of before."""
         lo, hi = np.empty_like(self.lo), np.empty_like(self.hi)
         lo[1:], hi[:-1] = self.lo[:-1], self.hi[1:]
@@ -63,11 +76,14 @@ class Borders:
         end = np.r_[self.at[self.head][1:], self.words]
         hi[self.tail] = end + self.end_decided
         self.end_decided = 1
-        self.at, self.lo, self.hi, self.head, self.name = self.at[keep], lo[keep], hi[keep], self.head[keep], name
+        self.at, self.lo, self.hi, self.head, self.row = self.at[keep], lo[keep], hi[keep], self.head[keep], self.row[keep]
+        self.name, self.fresh, self.shared = name, fresh, self.shared[keep] | fresh
         self.tail = np.r_[self.head[1:], True]
 
-    def round(self, number: int, words: int) -> None:
-        self.words = words
+    def round(self, number: int) -> None:
+        """Runs, then pairs. A new symbol has a fingerprint of what it stands for as its name, until it gets its number."""
+        if not len(self.name):
+            return
         name = self.name
         keep = self.head | np.r_[True, name[1:] != name[:-1]]
         first = np.flatnonzero(keep)
@@ -75,25 +91,45 @@ class Borders:
         name = name[first]
         long = length > 1
         name[long] = mix(name[long] * ODD + length[long].astype(U) + U(2 * number))
-        self._keep(keep, name)
+        self._keep(keep, name, long)
         name = self.name
         right = mix(name ^ U(0xC2B2AE3D27D4EB4F ^ (number << 32))) >> U(63) == 1
         joined = np.r_[False, ~right[:-1] & right[1:]] & ~self.head
-        name = name.copy()
+        name, fresh = name.copy(), self.fresh.copy()
         left = np.flatnonzero(joined) - 1
         name[left] = mix(name[left] * ODD + mix(name[left + 1]) * ODDER + U(2 * number + 1))
-        self._keep(~joined, name[~joined])
+        fresh[left] = True
+        self._keep(~joined, name[~joined], fresh[~joined])
+
+    def asked(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Part and key of each distinct new symbol, in order, whether it is here twice, and the number of each new symbol among them."""
+        name = self.name[self.fresh]
+        ids, at = np.unique(identity(part_of(name, parts), name.astype(np.uint32)), return_inverse=True)
+        return ids, np.bincount(at, minlength=len(ids)) > 1, at
 
+    def renamed(self, number: int, parts: int, ranks: np.ndarray) -> None:
+        """New symbols get the names that the round gave them: its number, their part and rank there."""
+        ids, _, at = self.asked(parts)
+        names = (U(number + 1) << U(56)) | ((ids >> U(32)) << U(32)) | (ranks & np.uint32(0x7FFFFFFF)).astype(U)
+        self.name[self.fresh] = names[at]
+        self.shared[self.fresh] = (ranks >> np.uint32(31) == 1)[at]
 
-def anchors(word: np.ndarray, row: np.ndarray, first: np.ndarray, width: int, rounds: int = ROUNDS):
+
+def revealed(b: Borders, first: np.ndarray, width: int) -> np.ndarray:
+    """Which windows have no symbol inside that occurs once only?"""
+    alone = np.flatnonzero(~b.shared[:-1] & ~b.tail[:-1]) if len(b.at) else np.zeros(0, np.int64)
+    begin, end = np.maximum(b.hi[alone + 1] - width, 0), b.lo[alone] + 1  # starts of the windows that hold it
+    some = end > begin
+    out = np.bincount(begin[some], minlength=b.words + 2) - np.bincount(end[some], minlength=b.words + 2)
+    return np.cumsum(out)[first] == 0
+
+
+def anchors(word: np.ndarray, b: Borders, first: np.ndarray, width: int):
     """Anchor of each window start in ``first``: keys, places (words), and the anchor of each start.
 
     The last is -1 where no border is decided inside the window.
     """
     n = len(word)
-    b = Borders(word, row)
-    for k in range(rounds):
-        b.round(k, n)
     r = rolling(CONTEXT_SEED)
     prefix = r.prefix(word)
     lo, hi = np.clip(b.lo, 0, n), np.clip(b.hi, 0, n)
@@ -127,10 +163,144 @@ def _starts(row: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(row[: n - width + 1] == row[width - 1 :]) if n >= width else np.zeros(0, np.int64)
 
 
-def _parsed(batch: pa.RecordBatch) -> Iterator[tuple]:
+BUNDLE_DDL = "kind tinyint, part int, bundle long, rids binary, symbols binary, name binary, length binary, lo binary, hi binary, flags binary, keys binary, twice binary"
+BUNDLES = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("bundle", pa.int64()), *((c, pa.binary()) for c in ("rids", "symbols", "name", "length", "lo", "hi", "flags", "keys", "twice"))])
+STATE, ASKED = 0, 1
+FRESH, SHARED = 1, 2
+
+
+def _bundle_rows(b: Borders, rids: np.ndarray, parts: int) -> pa.RecordBatch:
+    """The bundle's symbols as one row, and what it asks for as one row per part."""
+    bundle = int.from_bytes(os.urandom(8), "little") >> 1
+    ids, twice, _ = b.asked(parts)
+    part = (ids >> U(32)).astype(np.int32)
+    at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(ids) else np.zeros(0, np.int64)
+    n = len(at)
+    border = np.r_[at, len(ids)]
+    packed = lambda x: x.tobytes()
+    flags = b.fresh * np.uint8(FRESH) | b.shared * np.uint8(SHARED)
+    state = {
+        "rids": packed(rids), "symbols": packed(np.bincount(b.row, minlength=len(rids)).astype(np.int32)), "name": packed(b.name), "length": packed(b.lengths().astype(np.int32)),
+        "lo": packed((b.at - b.lo).astype(np.int32)), "hi": packed((b.hi - b.at).astype(np.int32)), "flags": packed(flags.astype(np.uint8)),
+    }
+    none = slice_binary(np.zeros(0, np.uint8), np.zeros(n + 1, np.int64))
+    own = [pa.concat_arrays([pa.array([v], pa.binary()), none]) for v in state.values()]
+    first = pa.array([b""], pa.binary())
+    asks = [pa.concat_arrays([first, slice_binary(x, border)]) for x in (ids.astype(np.uint32), twice.astype(np.uint8))]
+    return pa.RecordBatch.from_arrays([pa.array(np.r_[STATE, np.full(n, ASKED)].astype(np.int8)), pa.array(np.r_[-1, part[at]].astype(np.int32)), pa.array(np.full(n + 1, bundle)), *own, *asks], schema=BUNDLES)
+
+
+def _opened(batch: pa.RecordBatch, i: int, number: int, parts: int) -> tuple[Borders, np.ndarray]:
+    """A bundle and its rows' names; the symbols that were new in round ``number`` under the names they got."""
+    get = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind).copy()
+    rids, symbols, flags = get("rids", np.int64), get("symbols", np.int32), get("flags", np.uint8)
+    b = Borders(get("name", U), np.repeat(np.arange(len(rids)), symbols), *(get(c, np.int32).astype(np.int64) for c in ("length", "lo", "hi")), flags & SHARED > 0)
+    b.fresh = flags & FRESH > 0
+    found = batch.column("found")[i]
+    if found.is_valid:
+        pieces = sorted((x["part"], x["ranks"]) for x in found.as_py())
+        b.renamed(number, parts, np.concatenate([np.frombuffer(ranks, np.uint32) for _, ranks in pieces]))
+    return b, rids
+
+
+def _first_round(width: int, parts: int):
+    """Bundles of the texts that have a window at all."""
+
+    def run(batches):
+        for batch in portions(batches):
+            rids = batch.column("rid").to_numpy()
+            for chunk in chunks(batch.column("text"), BUNDLE_BYTES):
+                start, end, row = chunk.words(WORD_SEPARATOR)
+                enough = np.bincount(row, minlength=chunk.rows) >= width
+                if not enough.any():
+                    continue
+                word = chunk.fingerprints(start, end, WORD_SEED)
+                some = enough[row]
+                b = Borders(word[some], (np.cumsum(enough) - 1)[row[some]])
+                b.round(0)
+                yield _bundle_rows(b, rids[chunk.lo : chunk.hi][enough], parts)
+
+    return run
+
+
+def _next_round(number: int, parts: int):
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b, rids = _opened(batch, i, number - 1, parts)
+                b.round(number)
+                yield _bundle_rows(b, rids, parts)
+        give_back()
+
+    return run
+
+
+def _numbered(table: pa.Table) -> pa.Table:
+    """Ranks of a part's distinct keys, for each bundle that asked, in the order of its keys; the top bit says that a key occurs more than once."""
+    table = table.combine_chunks()
+    column = lambda c: pa.concat_arrays(table[c].chunks)
+    keys, counts = ragged(column("keys"), np.uint32)
+    twice = ragged(column("twice"), np.uint8)[0] > 0
+    _, at = np.unique(keys, return_inverse=True)
+    shared = (np.bincount(at) > 1) | (np.bincount(at, weights=twice) > 0) if len(at) else np.zeros(0, bool)
+    ranks = at.astype(np.uint32) | (shared[at].astype(np.uint32) << np.uint32(31))
+    return pa.table({"bundle": column("bundle"), "part": column("part"), "ranks": slice_binary(ranks, np.r_[0, np.cumsum(counts)])})
+
+
+def name_round(rows: DataFrame) -> DataFrame:
+    """The bundles of a round with ``found``: the numbers of their new runs and pairs, from all bundles' questions."""
+    asked = rows.filter(F.col("kind") == ASKED).select("part", "bundle", "keys", "twice")
+    numbers = stage(asked.groupBy("part").applyInArrow(then_give_back(_numbered), "bundle long, part int, ranks binary"))
+    found = numbers.groupBy("bundle").agg(F.collect_list(F.struct("part", "ranks")).alias("found"))
+    state = rows.filter(F.col("kind") == STATE).drop("kind", "part", "keys", "twice")
+    return state.join(found, "bundle", "left")
+
+
+def _unbundled(number: int, parts: int):
+    """(rid, length, lo, hi, shared) of each document."""
+    names = ["rid", "length", "lo", "hi", "shared"]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b, rids = _opened(batch, i, number, parts)
+                border = np.searchsorted(b.row, np.arange(len(rids) + 1))
+                columns = [b.lengths().astype(np.int32), (b.at - b.lo).astype(np.int32), (b.hi - b.at).astype(np.int32), b.shared.astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([pa.array(rids), *(slice_binary(c, border) for c in columns)], names=names)
+        give_back()
+
+    return run
+
+
+def compressed(docs: DataFrame, width: int, parts: int, rounds: int = ROUNDS) -> DataFrame:
+    """Staged (rid, length, lo, hi, shared): the symbols of each text (rid, text) after the rounds, one row per rid; texts without a window have none."""
+    rows = stage(docs.select("rid", "text").mapInArrow(_first_round(width, parts), BUNDLE_DDL))
+    for number in range(1, rounds):
+        after = stage(name_round(rows).mapInArrow(_next_round(number, parts), BUNDLE_DDL))
+        release(rows)
+        rows = after
+    each = name_round(rows).mapInArrow(_unbundled(rounds - 1, parts), "rid long, length binary, lo binary, hi binary, shared binary")
+    # Rows that share a rid have one text.
+    out = stage(each.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("length", "lo", "hi", "shared")]))
+    release(rows)
+    return out
+
+
+def _parsed(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
+    """Chunks with their words' fingerprints, symbols, and the starts of the windows that may repeat."""
     for chunk in chunks(batch.column("text")):
         start, end, row = chunk.words(WORD_SEPARATOR)
-        yield chunk, start, end, row, chunk.fingerprints(start, end, WORD_SEED)
+        first = _starts(row, width)
+        if not len(first):
+            continue
+        word = chunk.fingerprints(start, end, WORD_SEED)
+        part = batch.slice(chunk.lo, chunk.rows)
+        (length, symbols), lo, hi = ragged(part.column("length"), np.int32), *(ragged(part.column(c), np.int32)[0] for c in ("lo", "hi"))
+        shared = ragged(part.column("shared"), np.uint8)[0] > 0
+        b = Borders(np.zeros(len(length), U), np.repeat(np.arange(chunk.rows), symbols), *(x.astype(np.int64) for x in (length, lo, hi)), shared)
+        first = first[revealed(b, first, width)]
+        if len(first):
+            yield chunk, row, word, b, first
 
 
 def _packed(batch, parts, part, key, doc, sent):
@@ -144,23 +314,16 @@ def _name_anchors(width: int, parts: int):
         sent = Remembered()
         for batch in portions(batches):
             part, keys, docs = [], [], []
-            for chunk, _, _, row, word in _parsed(batch):
-                first = _starts(row, width)
-                if len(first):
-                    key, place, _ = anchors(word, row, first, width)
-                    part.append(part_of(key, parts))
-                    keys.append(key.astype(np.uint32))
-                    docs.append(row[place] + chunk.lo)
+            for chunk, row, word, b, first in _parsed(batch, width):
+                key, place, _ = anchors(word, b, first, width)
+                part.append(part_of(key, parts))
+                keys.append(key.astype(np.uint32))
+                docs.append(row[place] + chunk.lo)
             yield from _packed(batch, parts, part, keys, docs, sent)
 
     return run
 
 
-def _window_keys(word: np.ndarray, width: int) -> np.ndarray:
-    r = rolling(WINDOW_SEED)
-    return mix(r.windows(r.prefix(word), width))
-
-
 RUNS_DDL = "part int, kind tinyint, docs binary, starts binary, counts binary, keys binary"
 RUNS = pa.schema([("part", pa.int32()), ("kind", pa.int8()), *((c, pa.binary()) for c in ("docs", "starts", "counts", "keys"))])
 
@@ -192,11 +355,8 @@ def _send_windows(width: int, parts: int, hot: np.ndarray | None):
         sent = Remembered()
         for batch in portions(batches):
             found = []
-            for chunk, _, _, row, word in _parsed(batch):
-                first = _starts(row, width)
-                if not len(first):
-                    continue
-                key, place, anchor = anchors(word, row, first, width)
+            for chunk, row, word, b, first in _parsed(batch, width):
+                key, place, anchor = anchors(word, b, first, width)
                 hit = membership(row[place], key.astype(np.uint32), batch.column("found").slice(chunk.lo, chunk.rows), np.uint32)
                 some = np.r_[hit, True][anchor]  # -1: without an anchor
                 first, anchor = first[some], anchor[some]
@@ -315,10 +475,12 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id",
     id_type = docs.schema[id_column].dataType.simpleString()
     docs = with_rid(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
     parts = parts_for(docs)
-    named = docs.select("rid", "text").mapInArrow(_name_anchors(width, parts), PACKED_DDL)
+    symbols = compressed(docs, width, parts)
+    texts = docs.select("rid", "text").join(symbols, "rid")
+    named = texts.mapInArrow(_name_anchors(width, parts), PACKED_DDL)
     shared, hot = shared_keys(named, np.uint32, parts)
-    candidates = docs.select("rid", "text").join(shared, "rid", "left")
+    candidates = texts.join(shared, "rid", "left")
     windows = candidates.mapInArrow(_send_windows(width, parts, hot), RUNS_DDL)
     spans = stage(by_document(windows.groupBy("part").applyInArrow(then_give_back(_settle_windows(width, parts)), PACKED_DDL), np.int64))
-    release(shared)
+    release(shared, symbols)
     return docs.join(spans, "rid", "left").mapInArrow(_remove(), f"doc_id {id_type}, {RESULT}")
