@@ -13,7 +13,7 @@ from tidemark.llm import decontamination, storage, suffixdedup
 
 
 def _staged_bytes(spark) -> int:
-    top = storage.shared_folder(spark).removeprefix("file://") + "/staged"
+    top = storage.application_folder(spark, "staged").removeprefix("file://")
     return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names)
 
 

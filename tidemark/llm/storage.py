@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,16 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset, a temporary folder of a local master, an error on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from ..sources.scratch import application_folder
 
 
 #: Bytes of an Arrow batch while a table is staged: rows hold whole texts, and a worker copies a batch some times.
@@ -49,10 +39,11 @@ def stage(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation. Nothing
-    reads the shuffles of the write again, so they are removed with it.
+    reads the shuffles of the write again, so they are removed with it. What is not released
+    before is deleted when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
+    path = f"{application_folder(spark, 'staged')}/{uuid.uuid4().hex}"
     with staging(spark):
         df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
