@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import staged
 from .selection import medians, order_statistics
 
 #: Fields that are broken down by slice.
@@ -16,16 +15,15 @@ SLICE_FIELDS = ("brier", "log_prob", "accuracy", "p_truth", "info_alpha", "rewar
 _STATS = ("mean", "min", "max", "median")
 
 
-def _statistics(column: str) -> list[Column]:
-    return [F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max")]
+def _statistics(values: DataFrame, keys: list[str], column: str = "value") -> DataFrame:
+    """(keys, n, mean, min, max, median)."""
+    return medians(values, keys, column, also=[F.avg("_v").alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max")])
 
 
 def field_statistics(samples: DataFrame, fields: list[str]) -> DataFrame:
     """(field, n, mean, min, max, median) of scalar fields over the samples that carry them; booleans are 0 or 1."""
     wide = samples.select(*[F.col(f).cast("double").alias(f) for f in fields])
-    long = staged(wide.unpivot([], fields, "field", "value").filter("value is not null"))
-    stats = long.groupBy("field").agg(F.count("*").alias("n"), *_statistics("value"))
-    return stats.join(medians(long, ["field"], "value"), "field").select("field", "n", *_STATS)
+    return _statistics(wide.unpivot([], fields, "field", "value"), ["field"]).select("field", "n", *_STATS)
 
 
 def slice_label(value: Column) -> Column:
@@ -45,9 +43,7 @@ def sliced_statistics(samples: DataFrame, labels: list[Column], fields: list[str
     distinct = F.filter(F.array_distinct(F.array(*[slice_label(x) for x in labels])), lambda x: x.isNotNull())
     rows = samples.select("group_index", F.explode(distinct).alias("slice"), *[F.col(f).cast("double").alias(f) for f in wanted])
     groups = rows.groupBy("slice").agg(F.count_distinct("group_index").alias("n_groups"))
-    long = staged(rows.unpivot(["slice"], wanted, "field", "value").filter("value is not null"))
-    stats = long.groupBy("slice", "field").agg(F.count("*").alias("n"), *_statistics("value")).filter(F.col("n") >= min_samples)
-    stats = stats.join(medians(long, ["slice", "field"], "value"), ["slice", "field"])
+    stats = _statistics(rows.unpivot(["slice"], wanted, "field", "value"), ["slice", "field"]).filter(F.col("n") >= min_samples)
     if min_groups > 1:
         groups = groups.filter(F.col("n_groups") >= min_groups)
     kept = stats.join(groups, "slice")
@@ -136,12 +132,9 @@ def global_rates(totals: DataFrame) -> DataFrame:
 
 def latency_summary(values: DataFrame, key: str, column: str = "value") -> DataFrame:
     """mean, p50 = v[n div 2], p95 = v[min(n - 1, floor(.95 n))], max, n of the sorted values."""
-    rows = staged(values.filter(F.col(column).isNotNull()).select(key, F.col(column).alias("v")))
     n = F.col("n")
     places = {"p50": F.floor(n / 2), "p95": F.least(n - 1, F.floor(n * 95 / 100))}
-    found = order_statistics(rows, [key], "v", places).withColumnRenamed(key, "_key")
-    whole = rows.groupBy(key).agg(F.avg("v").alias("mean"), F.max("v").alias("max"))
-    return whole.join(found, F.col(key).eqNullSafe(F.col("_key"))).select(key, "mean", "p50", "p95", "max", "n")
+    return order_statistics(values, [key], column, places, also=[F.avg("_v").alias("mean"), F.max("_v").alias("max")]).select(key, "mean", "p50", "p95", "max", "n")
 
 
 def merge_counters(parts: DataFrame) -> DataFrame:

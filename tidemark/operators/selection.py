@@ -10,7 +10,8 @@ combined in the tasks before; a hot key costs no task more than its buckets.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,35 +39,36 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_TARGETS else df
 
 
-def values_at(values: DataFrame, keys: list[str], column: str, targets: DataFrame, few: int = FEW) -> DataFrame:
-    """(keys, target, value): the value at each wanted place of its key's sorted values.
+_INF = float("inf")
 
-    ``targets``: keys, target (a name), at (place from 0 on); ``values``: finite or not, nulls
-    left out, NaN after all others. A place beyond the end gives null. Null is a key like any.
-    """
+
+def _prepared(values: DataFrame, keys: list[str], column: str, also: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """Staged rows (keys, _v); staged sums by key: how many values are below, within and beyond the finite ones, the least and greatest finite one, and ``also``."""
     rows = staged(values.filter(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v")))
-    same = [f"_key{i}" for i in range(len(keys))]
-    inf = float("inf")
-    finite = (F.abs("_v") < inf) & ~F.isnan("_v")
-    sizes = rows.groupBy(*keys).agg(
-        F.count_if(F.col("_v") == -inf).alias("_under"), F.count_if(finite).alias("_n"), F.count_if(F.col("_v") == inf).alias("_over"), F.count_if(F.isnan("_v")).alias("_nan"),
-        F.min(F.when(finite, F.col("_v"))).alias("_lo"), F.max(F.when(finite, F.col("_v"))).alias("_hi"),
+    finite = (F.abs("_v") < _INF) & ~F.isnan("_v")
+    sums = rows.groupBy(*keys).agg(
+        F.count_if(F.col("_v") == -_INF).alias("_under"), F.count_if(finite).alias("_n"), F.count_if(F.col("_v") == _INF).alias("_over"), F.count("*").alias("n"),
+        F.min(F.when(finite, F.col("_v"))).alias("_lo"), F.max(F.when(finite, F.col("_v"))).alias("_hi"), *also,
     )
-    renamed = lambda df: df.withColumnsRenamed(dict(zip(keys, same, strict=True)))
-    meet = lambda a, names: [F.col(k).eqNullSafe(a[s]) for k, s in zip(keys, names, strict=True)]
+    return rows, staged(sums.filter("n > 0"))
 
-    asked = renamed(targets.select(*keys, "target", F.col("at").cast("long").alias("_at")))
-    open_ = sizes.join(asked, meet(asked, same) or F.lit(True)).drop(*same).withColumn("_at", F.col("_at") - F.col("_under"))
-    beyond = F.col("_at") - F.col("_n")
-    odd = F.when(F.col("_at") < 0, F.lit(-inf)).when(beyond < F.col("_over"), F.lit(inf)).when(beyond < F.col("_over") + F.col("_nan"), F.lit(float("nan")))
-    open_ = staged(open_.withColumn("_odd", (F.col("_at") < 0) | (beyond >= 0)).withColumn("value", F.when(F.col("_odd"), odd).when(F.col("_lo") == F.col("_hi"), F.col("_lo"))))
-    done = [open_.filter("_odd or _lo = _hi").select(*keys, "target", "value")]
-    now = open_.filter("not _odd and _lo < _hi").select(*keys, "target", "_at", "_n", "_lo", "_hi")
 
+def _found(rows: DataFrame, asked: DataFrame, keys: list[str], few: int) -> DataFrame:
+    """(keys, target, value) for ``asked``: the sums of each key with target and at."""
+    same = [f"_key{i}" for i in range(len(keys))]
+    renamed = lambda df: df.withColumnsRenamed(dict(zip(keys, same, strict=True)))
+    at = F.col("at").cast("long") - F.col("_under")
+    beyond = at - F.col("_n")
+    rest = F.col("n") - F.col("_under") - F.col("_n")
+    odd = F.when(at < 0, F.lit(-_INF)).when(beyond < F.col("_over"), F.lit(_INF)).when(beyond < rest, F.lit(float("nan")))
+    told = F.when((at < 0) | (beyond >= 0), odd).when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
+    settled = (at < 0) | (beyond >= 0) | (F.col("_lo") == F.col("_hi"))
+    done = [asked.filter(settled).select(*keys, "target", told.alias("value"))]
+    now = asked.filter(~settled).select(*keys, "target", at.alias("_at"), "_n", "_lo", "_hi")
     by_magnitude = False
     while not (wide := now.filter(F.col("_n") > few)).isEmpty():
         t = _small(renamed(wide))
-        inside = rows.join(t, [*meet(t, same), F.col("_v") >= t["_lo"], F.col("_v") <= t["_hi"]])
+        inside = rows.join(t, [*(F.col(k).eqNullSafe(t[s]) for k, s in zip(keys, same, strict=True)), F.col("_v") >= t["_lo"], F.col("_v") <= t["_hi"]])
         counted = inside.groupBy(*keys, "target", "_at", _bucket(F.col("_v"), F.col("_lo"), F.col("_hi"), by_magnitude).alias("_b"))
         counted = counted.agg(F.count("*").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         upto = F.sum("_m").over(Window.partitionBy(*keys, "target").orderBy("_b"))  # BUCKETS rows at most
@@ -76,29 +78,30 @@ def values_at(values: DataFrame, keys: list[str], column: str, targets: DataFram
         now = now.filter(F.col("_n") <= few).unionByName(held.filter("_lo < _hi"))
         by_magnitude = not by_magnitude
     t = _small(renamed(now))
-    last = rows.join(t, [*meet(t, same), F.col("_v") >= t["_lo"], F.col("_v") <= t["_hi"]])
+    last = rows.join(t, [*(F.col(k).eqNullSafe(t[s]) for k, s in zip(keys, same, strict=True)), F.col("_v") >= t["_lo"], F.col("_v") <= t["_hi"]])
     place = F.row_number().over(Window.partitionBy(*keys, "target").orderBy("_v")) - 1  # ``few`` rows at most
     done.append(last.withColumn("_p", place).filter(F.col("_p") == F.col("_at")).select(*keys, "target", F.col("_v").alias("value")))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    return reduce(DataFrame.unionByName, done)
 
 
-def order_statistics(values: DataFrame, keys: list[str], column: str, places: Mapping[str, Column], few: int = FEW) -> DataFrame:
-    """(keys, n, one column per name): the values at places that are given as expressions of the count ``n``; nulls don't count."""
-    sizes = staged(values.filter(F.col(column).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n")))
+def order_statistics(values: DataFrame, keys: list[str], column: str, places: Mapping[str, Column], few: int = FEW, also: Sequence[Column] = ()) -> DataFrame:
+    """(keys, n, what ``also`` sums up, one column per place): the values at places, counted from 0, that are expressions of the count ``n``.
+
+    Nulls don't count; NaN comes after all others; a null key is a key like any; a place
+    beyond the end gives null. ``also`` are aggregates of ``_v``, the value as a double.
+    """
+    rows, sums = _prepared(values, keys, column, also)
     named = F.explode(F.array(*[F.struct(F.lit(name).alias("target"), at.cast("long").alias("at")) for name, at in places.items()]))
-    targets = sizes.select(*keys, named.alias("t")).select(*keys, "t.target", "t.at")
-    found = values_at(values, keys, column, targets, few)
+    found = _found(rows, sums.withColumn("_t", named).select(*sums.columns, "_t.target", "_t.at"), keys, few)
     wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("target") == name, F.col("value"))).alias(name) for name in places])
     other = wide.withColumnsRenamed({k: f"_w{i}" for i, k in enumerate(keys)})
-    joined = sizes.join(other, [F.col(k).eqNullSafe(F.col(f"_w{i}")) for i, k in enumerate(keys)] or F.lit(True))
-    return joined.select(*keys, "n", *places)
+    joined = sums.join(other, [F.col(k).eqNullSafe(F.col(f"_w{i}")) for i, k in enumerate(keys)] or F.lit(True))
+    return joined.select(*keys, "n", *[c for c in sums.columns if c not in (*keys, "n") and not c.startswith("_")], *places)
 
 
-def medians(values: DataFrame, keys: list[str], column: str, few: int = FEW) -> DataFrame:
-    """(keys, median): the middle value, or the mean of the two middle ones."""
+def medians(values: DataFrame, keys: list[str], column: str, few: int = FEW, also: Sequence[Column] = ()) -> DataFrame:
+    """(keys, n, what ``also`` sums up, median): the middle value, or the mean of the two middle ones."""
     n = F.col("n")
-    both = order_statistics(values, keys, column, {"_below": F.floor((n - 1) / 2), "_above": F.floor(n / 2)}, few)
-    return both.select(*keys, F.when(F.col("_below") == F.col("_above"), F.col("_below")).otherwise(0.5 * F.col("_below") + 0.5 * F.col("_above")).alias("median"))
+    both = order_statistics(values, keys, column, {"_below": F.floor((n - 1) / 2), "_above": F.floor(n / 2)}, few, also)
+    middle = F.when(F.col("_below") == F.col("_above"), F.col("_below")).otherwise(0.5 * F.col("_below") + 0.5 * F.col("_above"))
+    return both.withColumn("median", middle).drop("_below", "_above")
