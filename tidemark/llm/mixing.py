@@ -71,7 +71,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """Copies of each row: the columns of ``docs`` (id, source, size, and what else it has), source_size, target, copies.
 
-    ``docs`` needs ``doc_id``, ``source`` and ``size``; keep it narrow.
+    ``docs`` needs ``doc_id``, ``source`` and ``size``; keep it narrow. The names ``place``, ``_row``,
+    ``_part``, ``_at``, ``source_size``, ``target`` and ``copies`` are the plan's own.
     """
     docs = stage(docs)
     names = docs.columns

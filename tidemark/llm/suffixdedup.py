@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .exchange import PACKED_DDL, Remembered, by_document, is_hot, membership, pack, part_of, parts_for, shared_keys, to_documents
 from .storage import release, stage, with_rid
-from .textarrays import U, binary_buffers, chunks, equal_slices, gather, mix, portions, ragged, rolling, slice_binary, span_lists, spans_of, then_give_back
+from .textarrays import WIDEST, U, binary_buffers, chunks, equal_slices, gather, mix, portions, ragged, rolling, slice_binary, span_lists, spans_of, then_give_back
 
 GRAM = 16
 SHALLOW = 40
@@ -477,8 +477,8 @@ RESULT = "n_bytes long, n_removed long, removed array<struct<start: long, end: l
 
 def remove_later(docs: DataFrame, width: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, removed (maximal byte spans) and kept (bytes) of each row. Ids are integers."""
-    if width < GRAM + 8:
-        raise ValueError(f"a window has {GRAM + 8} bytes at least")
+    if not GRAM + 8 <= width <= WIDEST:
+        raise ValueError(f"a window has {GRAM + 8} to {WIDEST} bytes")
     kind = docs.schema[id_column].dataType.simpleString()
     docs = with_rid(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
     docs, names, firsts = _named_texts(docs.withColumn("ident", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))))

@@ -42,11 +42,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Symbols of a window that a rolling fingerprint may stand for.
+WIDEST = 400
+
+
 class Rolling:
     """Polynomial fingerprints modulo 2**64 of any slice of a sequence of values.
 
     For short windows over mixed values: patterns that defeat this modulus for every base
-    (the Thue-Morse sequence) need about a thousand symbols; windows have 50 at most.
+    (the Thue-Morse sequence) need about a thousand symbols; windows have ``WIDEST`` at most.
     """
 
     def __init__(self, seed: int):
