@@ -45,6 +45,7 @@ def scorecard(records: DataFrame, keys: tuple[str, ...] = (), position: str | No
     )
 
 
+#: Names and order of a card's lines.
 CARD = ("n_rows", "n_scored", "n_errors", "brier", "log_loss", "accuracy", "info_alpha")
 
 
