@@ -67,7 +67,7 @@ def test_names_are_the_same_in_all_bundles(spark, monkeypatch):
         core = (at - lo >= 40) & (ends <= 120)
         assert core.sum() > 10 and shared[core].all()
         inside.add(tuple(zip(at[core].tolist(), length[core].tolist(), strict=True)))
-        merged = (length > 1) & ((ends <= 40) | (at - lo >= 120))
+        merged = (length > 1) & ((ends <= 40) | (at - lo >= 120))  # told by what the document holds beside the passage
         assert merged.any() and not shared[merged].any()
     assert len(found) == 12 and len(inside) == 1
 

@@ -9,7 +9,8 @@ back, so equal symbols have one name everywhere, and the part knows which occur
 Equal substrings get equal interior symbols. How far "interior" reaches is tracked
 exactly: each border between two symbols carries the stretch of words that decided it. A
 symbol or border whose stretch lies inside a window is found again wherever the window's words
-occur. So a window that repeats has only shared symbols inside; each other window is out.
+occur. So a window that repeats has only shared symbols inside; each other window is out,
+and a document without a window that is left takes no part in further rounds.
 
 1. Documents travel through the rounds in bundles of ``BUNDLE_BYTES`` of text (one row
    each: the symbols' names, lengths and stretches), so a symbol that all documents have is
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .exchange import ANSWER, PACKED_DDL, QUESTION, WITNESS, Remembered, by_document, identity, is_hot, membership, pack, part_of, parts_for, shared_keys, to_documents
 from .storage import release, stage, with_rid
-from .textarrays import WORD_SEPARATOR, U, chunks, give_back, mix, portions, ragged, rolling, slice_binary, span_lists, spans_of, then_give_back
+from .textarrays import WIDEST, WORD_SEPARATOR, U, chunks, give_back, mix, portions, ragged, rolling, slice_binary, span_lists, spans_of, then_give_back
 
 ROUNDS = 3
 #: Text bytes whose symbols travel together.
@@ -101,19 +102,26 @@ class Borders:
         fresh[left] = True
         self._keep(~joined, name[~joined], fresh[~joined])
 
-    def asked(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Part and key of each distinct new symbol, in order, whether it is here twice, and the number of each new symbol among them."""
+    def asked(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Part and key of each distinct new symbol, in order, and whether it is here twice. New symbols are called by their place in that list."""
         name = self.name[self.fresh]
         ids, at = np.unique(identity(part_of(name, parts), name.astype(np.uint32)), return_inverse=True)
-        return ids, np.bincount(at, minlength=len(ids)) > 1, at
+        self.name[self.fresh] = at.astype(U)
+        return ids, np.bincount(at, minlength=len(ids)) > 1
 
-    def renamed(self, number: int, parts: int, ranks: np.ndarray) -> None:
+    def renamed(self, number: int, part: np.ndarray, ranks: np.ndarray) -> None:
         """New symbols get the names that the round gave them: its number, their part and rank there."""
-        ids, _, at = self.asked(parts)
-        names = (U(number + 1) << U(56)) | ((ids >> U(32)) << U(32)) | (ranks & np.uint32(0x7FFFFFFF)).astype(U)
+        at = self.name[self.fresh].astype(np.int64)
+        names = (U(number + 1) << U(56)) | (part.astype(U) << U(32)) | (ranks & np.uint32(0x7FFFFFFF)).astype(U)
         self.name[self.fresh] = names[at]
         self.shared[self.fresh] = (ranks >> np.uint32(31) == 1)[at]
 
+    def only(self, rows: np.ndarray) -> Borders:
+        """The sequences of some rows (a mask), numbered anew."""
+        keep = rows[self.row]
+        number = np.cumsum(rows) - 1
+        return Borders(self.name[keep], number[self.row[keep]], self.lengths()[keep], (self.at - self.lo)[keep], (self.hi - self.at)[keep], self.shared[keep])
+
 
 def revealed(b: Borders, first: np.ndarray, width: int) -> np.ndarray:
     """Which windows have no symbol inside that occurs once only?"""
@@ -163,6 +171,16 @@ def _starts(row: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(row[: n - width + 1] == row[width - 1 :]) if n >= width else np.zeros(0, np.int64)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones, and so on: most are zeros, which compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _unplaned(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.array(np.frombuffer(data, np.uint8).reshape(size, -1).T, order="C").view(kind).reshape(-1)
+
+
 BUNDLE_DDL = "kind tinyint, part int, bundle long, rids binary, symbols binary, name binary, length binary, lo binary, hi binary, flags binary, keys binary, twice binary"
 BUNDLES = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("bundle", pa.int64()), *((c, pa.binary()) for c in ("rids", "symbols", "name", "length", "lo", "hi", "flags", "keys", "twice"))])
 STATE, ASKED = 0, 1
@@ -172,16 +190,15 @@ FRESH, SHARED = 1, 2
 def _bundle_rows(b: Borders, rids: np.ndarray, parts: int) -> pa.RecordBatch:
     """The bundle's symbols as one row, and what it asks for as one row per part."""
     bundle = int.from_bytes(os.urandom(8), "little") >> 1
-    ids, twice, _ = b.asked(parts)
+    ids, twice = b.asked(parts)
     part = (ids >> U(32)).astype(np.int32)
     at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(ids) else np.zeros(0, np.int64)
     n = len(at)
     border = np.r_[at, len(ids)]
-    packed = lambda x: x.tobytes()
     flags = b.fresh * np.uint8(FRESH) | b.shared * np.uint8(SHARED)
     state = {
-        "rids": packed(rids), "symbols": packed(np.bincount(b.row, minlength=len(rids)).astype(np.int32)), "name": packed(b.name), "length": packed(b.lengths().astype(np.int32)),
-        "lo": packed((b.at - b.lo).astype(np.int32)), "hi": packed((b.hi - b.at).astype(np.int32)), "flags": packed(flags.astype(np.uint8)),
+        "rids": rids.tobytes(), "symbols": np.bincount(b.row, minlength=len(rids)).astype(np.int32).tobytes(), "name": _planes(b.name), "length": _planes(b.lengths().astype(np.int32)),
+        "lo": _planes((b.at - b.lo).astype(np.int32)), "hi": _planes((b.hi - b.at).astype(np.int32)), "flags": flags.astype(np.uint8).tobytes(),
     }
     none = slice_binary(np.zeros(0, np.uint8), np.zeros(n + 1, np.int64))
     own = [pa.concat_arrays([pa.array([v], pa.binary()), none]) for v in state.values()]
@@ -190,17 +207,23 @@ def _bundle_rows(b: Borders, rids: np.ndarray, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.r_[STATE, np.full(n, ASKED)].astype(np.int8)), pa.array(np.r_[-1, part[at]].astype(np.int32)), pa.array(np.full(n + 1, bundle)), *own, *asks], schema=BUNDLES)
 
 
-def _opened(batch: pa.RecordBatch, i: int, number: int, parts: int) -> tuple[Borders, np.ndarray]:
-    """A bundle and its rows' names; the symbols that were new in round ``number`` under the names they got."""
-    get = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind).copy()
+def _opened(batch: pa.RecordBatch, i: int, number: int, width: int) -> tuple[Borders, np.ndarray]:
+    """A bundle with the names that round ``number`` gave to its new symbols, and its rows' ids; rows without a window that may repeat are gone."""
+    get = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind)
     rids, symbols, flags = get("rids", np.int64), get("symbols", np.int32), get("flags", np.uint8)
-    b = Borders(get("name", U), np.repeat(np.arange(len(rids)), symbols), *(get(c, np.int32).astype(np.int64) for c in ("length", "lo", "hi")), flags & SHARED > 0)
+    name, length, lo, hi = (_unplaned(batch.column(c)[i].as_buffer(), kind) for c, kind in (("name", U), ("length", np.int32), ("lo", np.int32), ("hi", np.int32)))
+    b = Borders(name, np.repeat(np.arange(len(rids)), symbols), length.astype(np.int64), lo.astype(np.int64), hi.astype(np.int64), flags & SHARED > 0)
     b.fresh = flags & FRESH > 0
     found = batch.column("found")[i]
     if found.is_valid:
         pieces = sorted((x["part"], x["ranks"]) for x in found.as_py())
-        b.renamed(number, parts, np.concatenate([np.frombuffer(ranks, np.uint32) for _, ranks in pieces]))
-    return b, rids
+        ranks = [np.frombuffer(r, np.uint32) for _, r in pieces]
+        b.renamed(number, np.repeat([p for p, _ in pieces], [len(r) for r in ranks]), np.concatenate(ranks))
+    row = np.repeat(b.row, length)
+    first = _starts(row, width)
+    stay = np.zeros(len(rids), bool)
+    stay[row[first[revealed(b, first, width)]]] = True
+    return b.only(stay), rids[stay]
 
 
 def _first_round(width: int, parts: int):
@@ -216,20 +239,22 @@ def _first_round(width: int, parts: int):
                     continue
                 word = chunk.fingerprints(start, end, WORD_SEED)
                 some = enough[row]
-                b = Borders(word[some], (np.cumsum(enough) - 1)[row[some]])
+                # 32 bits for a word: two that share a name are told apart by the last comparison.
+                b = Borders(word[some] & U(0xFFFFFFFF), (np.cumsum(enough) - 1)[row[some]])
                 b.round(0)
                 yield _bundle_rows(b, rids[chunk.lo : chunk.hi][enough], parts)
 
     return run
 
 
-def _next_round(number: int, parts: int):
+def _next_round(number: int, width: int, parts: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                b, rids = _opened(batch, i, number - 1, parts)
-                b.round(number)
-                yield _bundle_rows(b, rids, parts)
+                b, rids = _opened(batch, i, number - 1, width)
+                if len(rids):
+                    b.round(number)
+                    yield _bundle_rows(b, rids, parts)
         give_back()
 
     return run
@@ -247,23 +272,23 @@ def _numbered(table: pa.Table) -> pa.Table:
     return pa.table({"bundle": column("bundle"), "part": column("part"), "ranks": slice_binary(ranks, np.r_[0, np.cumsum(counts)])})
 
 
-def name_round(rows: DataFrame) -> DataFrame:
-    """The bundles of a round with ``found``: the numbers of their new runs and pairs, from all bundles' questions."""
+def name_round(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The bundles of a round with ``found``: the numbers of their new runs and pairs, from all bundles' questions; the staged numbers."""
     asked = rows.filter(F.col("kind") == ASKED).select("part", "bundle", "keys", "twice")
     numbers = stage(asked.groupBy("part").applyInArrow(then_give_back(_numbered), "bundle long, part int, ranks binary"))
     found = numbers.groupBy("bundle").agg(F.collect_list(F.struct("part", "ranks")).alias("found"))
     state = rows.filter(F.col("kind") == STATE).drop("kind", "part", "keys", "twice")
-    return state.join(found, "bundle", "left")
+    return state.join(found, "bundle", "left"), numbers
 
 
-def _unbundled(number: int, parts: int):
-    """(rid, length, lo, hi, shared) of each document."""
+def _unbundled(number: int, width: int):
+    """(rid, length, lo, hi, shared) of each document with a window that may repeat."""
     names = ["rid", "length", "lo", "hi", "shared"]
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                b, rids = _opened(batch, i, number, parts)
+                b, rids = _opened(batch, i, number, width)
                 border = np.searchsorted(b.row, np.arange(len(rids) + 1))
                 columns = [b.lengths().astype(np.int32), (b.at - b.lo).astype(np.int32), (b.hi - b.at).astype(np.int32), b.shared.astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays([pa.array(rids), *(slice_binary(c, border) for c in columns)], names=names)
@@ -273,16 +298,18 @@ def _unbundled(number: int, parts: int):
 
 
 def compressed(docs: DataFrame, width: int, parts: int, rounds: int = ROUNDS) -> DataFrame:
-    """Staged (rid, length, lo, hi, shared): the symbols of each text (rid, text) after the rounds, one row per rid; texts without a window have none."""
+    """Staged (rid, length, lo, hi, shared): the symbols of each text (rid, text) after the rounds, one row per rid; texts without a window that may repeat have none."""
     rows = stage(docs.select("rid", "text").mapInArrow(_first_round(width, parts), BUNDLE_DDL))
     for number in range(1, rounds):
-        after = stage(name_round(rows).mapInArrow(_next_round(number, parts), BUNDLE_DDL))
-        release(rows)
+        named, numbers = name_round(rows)
+        after = stage(named.mapInArrow(_next_round(number, width, parts), BUNDLE_DDL))
+        release(rows, numbers)
         rows = after
-    each = name_round(rows).mapInArrow(_unbundled(rounds - 1, parts), "rid long, length binary, lo binary, hi binary, shared binary")
+    named, numbers = name_round(rows)
+    each = named.mapInArrow(_unbundled(rounds - 1, width), "rid long, length binary, lo binary, hi binary, shared binary")
     # Rows that share a rid have one text.
     out = stage(each.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("length", "lo", "hi", "shared")]))
-    release(rows)
+    release(rows, numbers)
     return out
 
 
@@ -470,8 +497,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id",
     Returns doc_id, n_words, n_removed, removed (spans of word numbers) and kept_text
     (kept words, joined by one space), one row for each row of ``docs``.
     """
-    if width < 2:
-        raise ValueError("a window has two words at least")
+    if not 2 <= width <= WIDEST:
+        raise ValueError(f"a window has 2 to {WIDEST} words")
     id_type = docs.schema[id_column].dataType.simpleString()
     docs = with_rid(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
     parts = parts_for(docs)
