@@ -17,7 +17,7 @@ _STATS = ("mean", "min", "max", "median")
 
 def _statistics(values: DataFrame, keys: list[str], column: str = "value") -> DataFrame:
     """(keys, n, mean, min, max, median)."""
-    return medians(values, keys, column, also=[F.avg("_v").alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max")])
+    return medians(values, keys, column, also=["mean", "min", "max"])
 
 
 def field_statistics(samples: DataFrame, fields: list[str]) -> DataFrame:
@@ -134,7 +134,7 @@ def latency_summary(values: DataFrame, key: str, column: str = "value") -> DataF
     """mean, p50 = v[n div 2], p95 = v[min(n - 1, floor(.95 n))], max, n of the sorted values."""
     n = F.col("n")
     places = {"p50": F.floor(n / 2), "p95": F.least(n - 1, F.floor(n * 95 / 100))}
-    return order_statistics(values, [key], column, places, also=[F.avg("_v").alias("mean"), F.max("_v").alias("max")]).select(key, "mean", "p50", "p95", "max", "n")
+    return order_statistics(values, [key], column, places, also=["mean", "max"]).select(key, "mean", "p50", "p95", "max", "n")
 
 
 def merge_counters(parts: DataFrame) -> DataFrame:
