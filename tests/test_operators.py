@@ -169,6 +169,26 @@ def test_render(spark, small):
     assert line.startswith("[1] ") and "\nscore: " in line
 
 
+def test_numbers_are_rounded_as_stored(spark):
+    numbers = [0.35445, 0.38615, 0.41405, 0.03125, 0.09375, -0.35445, -0.00001, 0.0, 12345.67895, 1.0]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    assert [r.s for r in rows.select("i", text.fixed("x", 4).alias("s")).orderBy("i").collect()] == [f"{x:.4f}" for x in numbers]
+
+
+def test_render_of_halves_and_ties_matches_sql(spark, tmp_path):
+    """Scores that print as their stored value rounds, and scores that are equal in the digits that rank them."""
+    from compare import TABLES, differences
+
+    from tidemark.plans.queries import SQL, search_render
+
+    first = {0: 1.0, 4: 0.5000001, 5: 0.5000004, 6: 0.35445, 7: 0.38615, 8: 0.41405}
+    spark.createDataFrame([(i, [x, 0.0], 0) for i, x in first.items()], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(i, f"text {i}", "s") for i in first], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in set(TABLES) - {"embeddings", "documents"}:
+        spark.range(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert not differences(search_render(spark, str(tmp_path)), SQL["search_render"], str(tmp_path))
+
+
 def test_turns_and_advantage(spark):
     rows = [(1, 0, "user", False), (1, 1, "assistant", False), (1, 2, "user", True), (1, 3, "assistant", False), (1, 4, "user", False)]
     got = traces.turns(spark.createDataFrame(rows, "conv_id int, pos int, role string, tool_result boolean"))

@@ -636,7 +636,7 @@ def search_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles, asked = v.articles(spark, sf_dir), _query_vectors(spark, sf_dir, True)
     late = asked.withColumns({"query_id": -1 - F.col("query_id"), "start": F.lit("2031-01-01"), "cutoff": F.lit("2031-12-31")})
     asked = asked.unionByName(late)
-    hits = retrieval.search(articles, asked, k=5).withColumn("score", F.round("score", 6))
+    hits = retrieval.search(articles, asked, k=5, digits=6)
     return retrieval.render_hits(hits, articles, asked)
 
 
