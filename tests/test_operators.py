@@ -267,6 +267,58 @@ def test_sources_and_sinks(spark, tmp_path):
         config.RunConfig.from_dict({"nope": 1})
 
 
+@pytest.fixture
+def small_splits(spark):
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+@pytest.mark.parametrize("style", [{}, {"separators": (",", ":")}, {"indent": 2}])
+@pytest.mark.parametrize("tail", ["", ", x", ',"\\\\', ",, ,", ' \\" {é}'])
+def test_volume_object_in_splits(spark, tmp_path, small_splits, style, tail, monkeypatch):
+    """An object that lies in several splits; keys with commas, quotes, braces and backslashes."""
+    monkeypatch.setattr(files, "_STRETCH", 100)
+    raw = {f"2025-01-{i % 7 + 1:02d} {i}{tail}": i * 37 % 1001 for i in range(600)}
+    (tmp_path / "v.json").write_text(json.dumps(raw, **style))
+    assert {r.day: r.n for r in files.volume_json(spark, str(tmp_path / "v.json")).collect()} == {k[:10]: n for k, n in raw.items()}
+
+
+def test_volume_objects(spark, tmp_path):
+    for name, text_ in (("a", ' {"2025-01-01": 1, "2025-01-02": 7, "2025-01-01": 2}\n'), ("b", "{ }"), ("c", '{"2025-01-02T1,5": 3}\n'), ("d", '{"2025-01-03": 9}')):
+        (tmp_path / name).write_text(text_)
+    assert {r.day: r.n for r in files.volume_json(spark, str(tmp_path)).collect()} == {"2025-01-01": 2, "2025-01-02": 3, "2025-01-03": 9}
+
+
+@pytest.mark.parametrize(
+    "broken", ['{"2025-01-01": 1,}', '{"2025-01-01": 1,, "2025-01-02": 2}', '{"2025-01-01": 1, "2025-01-02": 2', '"2025-01-01": 1, "2025-01-02": 2}', '{"2025-01-01": 1} {}', '{"2025-01-01": 1, 2}', '{"2025-01-01": "x"}', '{"2025-01-01, 1}']
+)
+def test_volume_that_is_no_object(spark, tmp_path, broken):
+    (tmp_path / "v.json").write_text(broken)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.volume_json(spark, str(tmp_path / "v.json")).collect()
+
+
+def test_volume_of_many_keys(spark, tmp_path, monkeypatch):
+    """A hundred thousand keys took more than a minute while each key was looked up in the whole object."""
+    import time
+
+    from compare import TABLES, differences
+
+    from tidemark.plans import records
+    from tidemark.plans.registry import SQL
+
+    monkeypatch.setattr(records, "_KEYS", 70_000)
+    ts = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 7_000_000)
+    spark.range(200_000).select(F.col("id").alias("event_id"), ts.alias("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    for name in set(TABLES) - {"events"}:
+        spark.range(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    start = time.time()
+    assert not differences(records.volume_scan(spark, str(tmp_path)), SQL["volume_scan"], str(tmp_path))
+    assert time.time() - start < 60
+
+
 def test_articles_with_optional_columns(spark, tmp_path):
     spark.createDataFrame([("t", "x", "1", "u")], "title string, text string, article_id string, url string").write.parquet(str(tmp_path / "a" / "shard=2025-01"))
     rows = files.articles(spark, str(tmp_path / "a"))

@@ -137,14 +137,21 @@ def article_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.served_text(read, metadata, "words", 8000).select("article_id", "shard", "title", "summary", "cached")
 
 
+#: Events of one volume object.
+_KEYS = 100_000
+
+
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, max(event_id) AS n FROM events GROUP BY 1")
 def volume_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A volume object with a key for each event: keys are cut to the day, the last of a day wins."""
+    """Volume objects with a key for each event, one in a file of ``_KEYS`` events at most: keys are cut to the day, the last of a day wins."""
     e = table(spark, sf_dir, "events")
-    entries = F.sort_array(F.collect_list(F.struct("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("k"))))
-    pairs = F.transform(entries, lambda x: F.concat(F.lit('"'), x["k"], F.lit("#"), x["event_id"], F.lit('":'), x["event_id"]))
+    pair = F.concat(F.lit('"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("#"), F.col("event_id"), F.lit('":'), F.col("event_id"))
+    rows = e.select("event_id", pair.alias("pair"), F.format_string("%015d", F.floor(F.col("event_id") / _KEYS)).alias("object")).filter("pair is not null")
+    order = Window.partitionBy("object").orderBy("event_id")
+    head, tail = F.when(F.row_number().over(order) == 1, "{").otherwise(""), F.when(F.lead("event_id").over(order).isNull(), "}").otherwise(",")
     path = f"{scratch(spark)}/volume"
-    e.agg(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("value")).write.text(path)
+    rows = rows.select("object", "event_id", F.concat(head, "pair", tail).alias("value")).sortWithinPartitions("object", "event_id")
+    rows.select("object", "value").write.partitionBy("object").text(path)
     return files.volume_json(spark, path)
 
 

@@ -18,9 +18,9 @@ from .scratch import staged
 BROADCAST_SPLITS = 200_000
 
 
-def _lines(spark: SparkSession, paths: str | list[str], blank: bool) -> DataFrame:
+def _lines(spark: SparkSession, paths: str | list[str], blank: bool, sep: str | None = None) -> DataFrame:
     """(value, _file, _block, _at); _at ascends by one from line to line of a split."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    lines = spark.read.text(paths, lineSep=sep).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
     if not blank:
         lines = lines.filter(~F.col("value").rlike(r"^\s*$"))
     return lines.withColumn("_at", F.monotonically_increasing_id())
@@ -32,17 +32,28 @@ def file_counts(spark: SparkSession, path: str, blank: bool = False) -> DataFram
     return staged(counts.withColumn("before", F.sum("n").over(Window.orderBy("file")) - F.col("n")))
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str], blank: bool = False, first: int = 0) -> DataFrame:
-    """(position, value) of all lines, from ``first`` on. blank: blank lines count and are kept."""
-    lines = _lines(spark, path, blank)
+def _numbered(lines: DataFrame, first: int = 0) -> DataFrame:
+    """(position, value, first, last) of ``lines``: first and last of a file."""
     splits = lines.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     within = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block")) - F.col("_n")
     splits = staged(splits.withColumn("_within", within))
     files = splits.groupBy("_file").agg(F.sum("_n").alias("_n"))
-    files = files.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
-    starts = splits.join(files, "_file").select("_file", "_block", (F.col("_before") + F.col("_within") - F.col("_first") + first).alias("_shift"))
+    files = files.select("_file", F.col("_n").alias("_of"), (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
+    starts = splits.join(files, "_file").select("_file", "_block", (F.col("_before") + first).alias("_start"), (F.col("_before") + F.col("_within") - F.col("_first") + first).alias("_shift"), "_of")
     starts = F.broadcast(starts) if splits.count() <= BROADCAST_SPLITS else starts
-    return lines.join(starts, ["_file", "_block"]).select((F.col("_at") + F.col("_shift")).alias("position"), "value")
+    position = F.col("_at") + F.col("_shift")
+    place = position - F.col("_start")
+    return lines.join(starts, ["_file", "_block"]).select(position.alias("position"), "value", (place == 0).alias("first"), (place == F.col("_of") - 1).alias("last"))
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str], blank: bool = False, first: int = 0) -> DataFrame:
+    """(position, value) of all lines, from ``first`` on. blank: blank lines count and are kept."""
+    return _numbered(_lines(spark, path, blank), first).select("position", "value")
+
+
+def numbered_pieces(spark: SparkSession, path: str | list[str], sep: str) -> DataFrame:
+    """(position, value, first, last) of what ``sep`` separates, blank or not; a long line is read in splits too."""
+    return _numbered(_lines(spark, path, True, sep))
 
 
 def slice_lines(spark: SparkSession, path: str, start: int = 0, end: int | None = None, blank: bool = False) -> DataFrame:
